@@ -50,12 +50,13 @@ def exchange(rows: DataFrame, reduce: Callable[[int, list[dict]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for b in batches:
-            for r in b.to_pylist():
-                if r["bucket"] != bucket:
+            names = b.schema.names
+            for i, own in enumerate(b.column("bucket").to_pylist()):
+                if own != bucket:
                     if held:
                         yield from reduce(bucket, held)
-                    bucket, held = r["bucket"], []
-                held.append(r)
+                    bucket, held = own, []
+                held.append({n: b.column(k)[i].as_py() for k, n in enumerate(names)})
         if held:
             yield from reduce(bucket, held)
 

@@ -33,7 +33,7 @@ class Params:
     """Counts above ``k`` are not discounted; ``block`` bytes of text are counted before they are sent."""
 
     k: int = 5
-    block: int = 8 << 20
+    block: int = 3 << 20
 
 
 @dataclass

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._text import mix
+from ._text import _INV, _MULT, _power, mix
 
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 _SPACE = "▁"
@@ -34,7 +34,7 @@ class Params:
     model: str = MODEL
     alpha: float = 1.0
     seed: int = 17
-    most_edges: int = 4_000_000
+    most_edges: int = 9_000_000
 
 
 class Vocabulary:
@@ -43,6 +43,8 @@ class Vocabulary:
     def __init__(self, surfaces: list[bytes], ids: dict[str, int], weights: dict[int, float], byte_ids: list[int], byte_weight: float):
         self.surfaces, self.ids, self.weights, self.byte_ids, self.byte_weight = surfaces, ids, weights, byte_ids, byte_weight
         self.longest = max(map(len, ids), default=1)
+        self.single = frozenset(t for t in ids if len(t) == 1)
+        self.tables = self._tables()
         self.letters, self.pattern = self._units()
 
     @classmethod
@@ -65,6 +67,18 @@ class Vocabulary:
                 rank += 1
         return cls(surfaces, ids, weights, byte_ids, (2.0 * n) ** -p.alpha)
 
+    def _tables(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length in characters: sorted hashes of the pieces, their ids and weights."""
+        out = {}
+        for size in sorted(set(map(len, self.ids))):
+            own = [t for t in self.ids if len(t) == size]
+            points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(len(own), size)
+            h = ((points.astype(np.uint64) + np.uint64(1)) * _power(_MULT, size)).sum(1, dtype=np.uint64)
+            order = np.argsort(h)
+            ids = np.array([self.ids[t] for t in own], np.int32)[order]
+            out[size] = (h[order], ids, np.array([self.weights[i] for i in ids.tolist()]))
+        return out
+
     def _units(self) -> tuple[str, re.Pattern]:
         """The pattern of units; its cuts are only where no piece of this vocabulary continues."""
         if any(" " in t.lstrip(" ") or "\n" in t for t in self.ids):
@@ -140,17 +154,72 @@ class Sampler:
         self.last[unit] = node[n]
         return node[n]
 
+    def add_many(self, units: list[str]) -> None:
+        """Forward filtering of many units at once, position by position over all of them.
+
+        Long units and those with a character that is no piece go one by one, as their weights may need rescaling.
+        """
+        v, own = self.v, []
+        for u in units:
+            if len(u) <= 60 and v.single.issuperset(u):
+                own.append(u)
+            else:
+                self.add(u)
+        if not own:
+            return
+        size = np.array([len(u) for u in own])
+        stop = np.cumsum(size)
+        begin = stop - size
+        points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n = len(points)
+        total = np.append(np.uint64(0), np.cumsum(points * _power(_MULT, n), dtype=np.uint64))
+        inverse, first, left = _power(_INV, n), np.repeat(begin, size), np.repeat(stop, size) - np.arange(n)
+        starts, ends, pieces, weights = [], [], [], []
+        for length, (hashes, ids, weight) in v.tables.items():
+            i = np.flatnonzero(left >= length)
+            if not len(i):
+                break
+            h = (total[i + length] - total[i]) * inverse[i]
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = hashes[at] == h
+            i, at = i[hit], at[hit]
+            starts.append(i)
+            ends.append(i + length - 1)
+            pieces.append(ids[at])
+            weights.append(weight[at])
+        start, end, piece, weight = map(np.concatenate, (starts, ends, pieces, weights))
+        # by place in the unit, so that all starts are done before an end; then by end
+        order = np.lexsort((start, end, end - first[end]))
+        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
+        fresh = start == first[start]
+        place = end - first[end]
+        cut = np.searchsorted(place, np.arange(place[-1] + 2))
+        alpha, x = np.zeros(n), np.empty(len(start))
+        for a, b in zip(cut[:-1], cut[1:]):
+            x[a:b] = np.where(fresh[a:b], 1.0, alpha[start[a:b] - 1]) * weight[a:b]
+            head = np.flatnonzero(np.append(True, end[a + 1 : b] != end[a : b - 1]))
+            alpha[end[a:b][head]] = np.add.reduceat(x[a:b], head)
+        x /= alpha[end]
+        order = np.lexsort((start, end))
+        start, end, piece, x, fresh = start[order], end[order], piece[order], x[order], fresh[order]
+        cum = np.minimum(self.nodes + np.cumsum(x), self.nodes + end + 1.0)
+        last = np.append(end[1:] != end[:-1], True)
+        cum[last] = self.nodes + end[last] + 1.0
+        self.cum.frombytes(cum.tobytes())
+        self.prev.frombytes(np.where(fresh, 0, self.nodes + start - 1).astype(np.int32).tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
+        self.last.update(zip(own, (self.nodes + stop - 1).tolist()))
+        self.nodes += n
+
     def encode(self, keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, n + 1 offsets)."""
         if len(self.cum) > self.p.most_edges:
             self.reset()
-        find, last, nodes, first = self.v.pattern.findall, self.last, [], [0]
-        for t in texts:
-            units = find(t)
-            try:
-                nodes += [last[u] for u in units]
-            except KeyError:
-                nodes += [last[u] if u in last else self.add(u) for u in units]
+        found = list(map(self.v.pattern.findall, texts))
+        self.add_many([u for u in set().union(*found) if u not in self.last])
+        look, nodes, first = self.last.__getitem__, [], [0]
+        for units in found:
+            nodes += map(look, units)
             first.append(len(nodes))
         first = np.array(first)
         count = np.diff(first)
