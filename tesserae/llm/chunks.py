@@ -25,12 +25,16 @@ _GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 @dataclass(frozen=True)
 class Params:
-    """Chunk sizes in bytes; ``bits`` vanishing bits make the mean about ``least + 2**bits``. ``least`` is 32 or more."""
+    """Chunk sizes in bytes; ``bits`` vanishing bits make the mean about ``least + 2**bits``. ``least`` is 32 or more.
+
+    ``samples`` bounds the payloads that the compression dictionary is made from.
+    """
 
     least: int = 256
     bits: int = 10
     most: int = 8192
     level: int = 3
+    samples: int = 400
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -68,80 +72,165 @@ def cuts(data: np.ndarray, offsets: np.ndarray, p: Params) -> list[list[int]]:
     return out
 
 
-def split(media: DataFrame, key: str, payload: str, p: Params = Params()) -> DataFrame:
-    """(media_id, nth, digest, size, packed): a row for each chunk, compressed, except that a task sends equal bytes of a batch once.
+def _press(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def _unpress(dictionary: bytes) -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+
+
+def dictionary(payloads: DataFrame, p: Params) -> bytes:
+    """A compression dictionary from at most ``samples`` payloads; empty where they are too few. It changes sizes alone."""
+    rows = payloads.orderBy(F.xxhash64("payload")).limit(p.samples).select(F.substring("payload", 1, 1 << 16).alias("x")).collect()
+    try:
+        return zstandard.train_dictionary(1 << 16, [bytes(r.x) for r in rows]).as_bytes() if len(rows) >= 20 else b""
+    except zstandard.ZstdError:
+        return b""
 
-    Rows without a key or payload are left out.
-    """
+
+def references(payloads: DataFrame, p: Params = Params()) -> DataFrame:
+    """(blob, nth, digest) of every chunk of ``payloads(payload)``: the ordered chunk lists. A blob is a payload's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=p.level, write_content_size=True)
         for b in batches:
-            for i, j, data, offsets in slices(b.column(1), 1 << 21):
-                raw, sent, rows = data.tobytes(), set(), ([], [], [], [], [])
-                for k, (begin, ends) in enumerate(zip(offsets[:-1].tolist(), cuts(data, offsets, p))):
-                    media_id = b.column(0)[i + k].as_py()
+            for _, _, data, offsets in slices(b.column(0), 1 << 21):
+                raw, rows = data.tobytes(), ([], [], [])
+                for begin, stop, ends in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cuts(data, offsets, p)):
+                    blob = hashlib.sha256(raw[begin:stop]).digest()
                     for nth, end in enumerate(ends):
-                        chunk = raw[begin:end]
-                        digest = hashlib.sha256(chunk).digest()
-                        for column, value in zip(rows, (media_id, nth, digest, end - begin, None if digest in sent else press.compress(chunk))):
+                        for column, value in zip(rows, (blob, nth, hashlib.sha256(raw[begin:end]).digest())):
                             column.append(value)
-                        sent.add(digest)
                         begin = end
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["media_id", "nth", "digest", "size", "packed"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int32(), pa.binary()))], ["blob", "nth", "digest"])
+
+    return payloads.select("payload").mapInArrow(run, "blob binary, nth int, digest binary")
+
 
-    rows = media.select(F.col(key).cast("bigint"), F.col(payload).cast("binary")).dropna()
-    return rows.mapInArrow(run, "media_id bigint, nth int, digest binary, size int, packed binary")
+PLAIN, LENT, BORROWED = 0, 1, 2
 
 
-def store(chunks: DataFrame) -> DataFrame:
-    """(digest, size, packed): every distinct chunk once."""
-    return chunks.groupBy("digest").agg(F.max("size").alias("size"), F.max("packed").alias("packed"))
+def roles(refs: DataFrame) -> DataFrame:
+    """(blob, nth, digest, role) of the chunks that stand in several places: the first place lends it, the others borrow."""
+    owners = refs.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("blob", "nth")).alias("owner")).where("n > 1")
+    mine = F.struct("blob", "nth") == F.col("owner")
+    return refs.join(owners, "digest").select("blob", "nth", "digest", F.when(mine, LENT).otherwise(BORROWED).alias("role"))
 
 
-def manifest(chunks: DataFrame) -> DataFrame:
-    """(media_id, nth, digest): the ordered chunk list of every payload."""
-    return chunks.select("media_id", "nth", "digest")
+_STORE = "blob binary, size bigint, borrows int, lends int, parts array<struct<nth:int,size:int,digest:binary,role:int>>, frame binary"
 
 
-def reconstruct(lists: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(media_id, chunks, size, sha256, broken) of payloads put together again from the store; null bytes never leave the task.
+def store(payloads: DataFrame, shared: DataFrame, p: Params, words: bytes) -> DataFrame:
+    """A row for each blob: its chunk list, and a compressed frame of those of its chunks that it doesn't borrow.
 
-    Each chunk is unpacked and held against its digest; ``broken`` counts those that fail or are missing.
+    Every distinct chunk is in one frame only. A payload moves once, compressed, to meet the roles of its chunks.
     """
-    whole = lists.join(chunks.select("digest", "packed"), "digest", "left").groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("nth", "digest", "packed"))).alias("parts"))
+
+    def shut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = _press(words, p.level)
+        for b in batches:
+            raw = b.column(0).to_pylist()
+            yield pa.record_batch([pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([press.compress(x) for x in raw], pa.binary())], ["blob", "whole"])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, unpress = _press(words, p.level), _unpress(words)
+        kind = pa.list_(pa.struct([("nth", pa.int32()), ("size", pa.int32()), ("digest", pa.binary()), ("role", pa.int32())]))
+        for b in batches:
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for k in range(b.num_rows):
+                raw = unpress.decompress(b.column(1)[k].as_py())
+                role = {x["nth"]: x["role"] for x in b.column(2)[k].as_py() or ()}
+                data, begin, parts, own = np.frombuffer(raw, np.uint8), 0, [], []
+                for nth, end in enumerate(cuts(data, np.array([0, len(raw)]), p)[0]):
+                    chunk = raw[begin:end]
+                    parts.append({"nth": nth, "size": len(chunk), "digest": hashlib.sha256(chunk).digest(), "role": role.get(nth, PLAIN)})
+                    if parts[-1]["role"] != BORROWED:
+                        own.append(chunk)
+                    begin = end
+                values = list(role.values())
+                for column, value in zip(rows, (b.column(0)[k].as_py(), len(raw), values.count(BORROWED), values.count(LENT), parts, press.compress(b"".join(own)))):
+                    column.append(value)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), kind, pa.binary()))], ["blob", "size", "borrows", "lends", "parts", "frame"])
+
+    whole = payloads.select("payload").mapInArrow(shut, "blob binary, whole binary").groupBy("blob").agg(F.first("whole").alias("whole"))
+    marks = shared.groupBy("blob").agg(F.collect_list(F.struct("nth", "role")).alias("marks"))
+    return whole.join(marks, "blob", "left").select("blob", "whole", "marks").mapInArrow(lay, _STORE)
+
+
+def _lend(words: bytes, level: int):
+    """The bytes of the lent chunks of store rows (parts, frame)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, unpress = _press(words, level), _unpress(words)
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for k in range(b.num_rows):
+                raw, at = unpress.decompress(b.column(1)[k].as_py()), 0
+                for part in b.column(0)[k].as_py():
+                    if part["role"] != BORROWED:
+                        if part["role"] == LENT:
+                            out[0].append(part["digest"])
+                            out[1].append(press.compress(raw[at : at + part["size"]]))
+                        at += part["size"]
+            yield pa.record_batch([pa.array(x, pa.binary()) for x in out], ["digest", "packed"])
+
+    return run
+
+
+def _rebuild(words: bytes):
+    """Put payloads together from (blob, size, parts, frame, fetched) and hold every chunk and the whole against its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpress = zstandard.ZstdDecompressor()
+        unpress = _unpress(words)
         for b in batches:
-            rows = []
-            for media_id, parts in zip(b.column(0).to_pylist(), b.column(1)):
-                sha, size, broken, n = hashlib.sha256(), 0, 0, 0
+            out = []
+            for k in range(b.num_rows):
+                blob, size, parts = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py()
+                raw, at, sha, ok = unpress.decompress(b.column(3)[k].as_py()), 0, hashlib.sha256(), True
+                fetched = {x["nth"]: x["packed"] for x in b.column(4)[k].as_py() or ()}
                 for part in parts:
-                    raw = part["packed"].as_py()
-                    raw = unpress.decompress(raw) if raw is not None else b""
-                    broken += hashlib.sha256(raw).digest() != part["digest"].as_py()
-                    sha.update(raw)
-                    size, n = size + len(raw), n + 1
-                rows.append((media_id, n, size, sha.hexdigest(), broken))
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int32()))], ["media_id", "chunks", "size", "sha256", "broken"])
+                    if part["role"] == BORROWED:
+                        packed = fetched.get(part["nth"])
+                        chunk = unpress.decompress(packed) if packed is not None else b""
+                    else:
+                        chunk = raw[at : at + part["size"]]
+                        at += part["size"]
+                    ok &= hashlib.sha256(chunk).digest() == part["digest"]
+                    sha.update(chunk)
+                out.append((blob, len(parts), size, ok and sha.digest() == blob))
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.bool_())
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["blob", "chunks", "size", "verified"])
 
-    return whole.mapInArrow(run, "media_id bigint, chunks int, size bigint, sha256 string, broken int")
+    return run
+
+
+_BUILT = "blob binary, chunks int, size bigint, verified boolean"
+
+
+def reconstruct(stored: DataFrame, words: bytes, level: int = 3) -> DataFrame:
+    """(blob, chunks, size, verified) of every stored payload, rebuilt and checked.
+
+    A payload that borrows nothing is rebuilt where it lies; for the others the lent chunks come by a join on the digest.
+    """
+    none = F.lit(None).cast("array<struct<nth:int,packed:binary>>").alias("fetched")
+    alone = stored.where("borrows = 0").select("blob", "size", "parts", "frame", none)
+    needs = stored.where("borrows > 0")
+    wanted = needs.select("blob", F.explode("parts").alias("x")).where(F.col("x.role") == BORROWED).select("blob", "x.nth", "x.digest")
+    lent = stored.where("lends > 0").select("parts", "frame").mapInArrow(_lend(words, level), "digest binary, packed binary")
+    fetched = wanted.join(lent, "digest").groupBy("blob").agg(F.collect_list(F.struct("nth", "packed")).alias("fetched"))
+    joined = needs.join(fetched, "blob", "left").select("blob", "size", "parts", "frame", "fetched")
+    return alone.mapInArrow(_rebuild(words), _BUILT).unionByName(joined.mapInArrow(_rebuild(words), _BUILT))
 
 
 def chunked(media: DataFrame, key: str, payload: str, p: Params = Params()) -> DataFrame:
     """(media_id, chunks, size, verified) of every payload after a round trip through the deduplicated store.
 
-    ``verified`` holds SHA-256 of the rebuilt payload against that of the original. An empty payload has 0 chunks and is
-    verified; rows with a null key or payload are left out. A key that repeats with an equal payload gives one row; with
-    different payloads it is ambiguous and gives ``verified = false``.
+    ``verified`` says that each chunk and the whole have their digests again. An empty payload has 0 chunks. Rows with a null
+    key or payload are left out; equal rows give one row, and a key with several payloads a row for each of them.
     """
-    # a repeated key would interleave its chunk lists: only one row of each key goes on, and a clash is reported
     rows = media.select(F.col(key).cast("bigint").alias("media_id"), F.col(payload).cast("binary").alias("payload")).dropna()
-    original = rows.groupBy("media_id").agg(F.min(F.sha2("payload", 256)).alias("sha"), F.max(F.sha2("payload", 256)).alias("other"))
-    parts = materialize(split(rows, "media_id", "payload", p), "chunks")
-    built = reconstruct(manifest(parts).distinct(), store(parts))
-    return original.join(built, "media_id", "left").select(
-        "media_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("size", F.lit(0)).alias("size"),
-        ((F.col("sha") == F.col("other")) & (F.col("sha") == F.coalesce("sha256", F.sha2(F.lit(b""), 256))) & (F.coalesce("broken", F.lit(0)) == 0)).alias("verified"),
-    )
+    payloads, words = rows.select("payload"), dictionary(rows.select("payload"), p)
+    refs = materialize(references(payloads, p).distinct(), "chunk-references")
+    stored = materialize(store(payloads, roles(refs), p, words), "chunk-store")
+    names = rows.select("media_id", F.unhex(F.sha2("payload", 256)).alias("blob")).distinct()
+    return names.join(reconstruct(stored, words, p.level), "blob").select("media_id", "chunks", "size", "verified")
