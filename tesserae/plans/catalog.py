@@ -1,4 +1,277 @@
-"""Registered queries of the retrieval operators."""
+"""Registered queries of the retrieval operators, each with its SQL.
+
+The collection is documents joined to embeddings on their ids, with labels as metadata that may be absent; vectors are
+scaled by 1 + id % 7, lest all metrics rank alike.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.distance import Metric
+from ..functions.filters import compile_filter
+from ..functions.quantize import codes, restored, symmetric_distance
+from ..functions.schema import metadata
+from ..operators import ann, bm25, search
+from ..functions.text import STOP_WORDS
+from ..sources.store import deletion_ratio, integrity, memory_estimate, partial_update, replay, upsert
+from . import access, observe
+
+TEXT = "the hand of thing and er on the thing"
+WORDS = "that it was on thing"
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def collection(spark: SparkSession, sf: str) -> DataFrame:
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: (x * (1 + F.col("vec_id") % 7).cast("float")).cast("float")).alias("embedding"))
+    rows = read(spark, sf, "documents").join(e, "doc_id").join(read(spark, sf, "labels"), "doc_id", "left")
+    meta = metadata(
+        lang=("s", F.col("lang")), source=("s", F.col("source")), n_chars=("i", F.col("n_chars")), quality=("i", F.col("quality")),
+        toxic=("i", F.col("toxic")), kilo=("f", F.col("n_chars") / 1000.0), long=("b", F.col("n_chars") > 1500),
+    )
+    return rows.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), "text", "embedding", meta.alias("metadata"))
+
+
+def query_vector(spark: SparkSession, sf: str, vec_id: int = 3) -> list[float]:
+    return list(read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
+
+
+def rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("score", F.round("score", 6))
+
+
+_C = """c AS (SELECT d.doc_id AS seq, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic, d.n_chars / 1000.0::DOUBLE AS kilo, d.n_chars > 1500 AS long,
+  list_transform(e.embedding, lambda x: CAST(x * CAST(1 + e.vec_id % 7 AS FLOAT) AS FLOAT)) AS fv,
+  list_transform(e.embedding, lambda x: CAST(CAST(x * CAST(1 + e.vec_id % 7 AS FLOAT) AS FLOAT) AS DOUBLE)) AS v
+  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id),
+q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 3)"""
+_SIM = {"cosine": "list_cosine_similarity(v, q)", "euclidean": "1 - list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "dot_product": "1 + list_inner_product(v, q)"}
+_RESTORE = """k AS (SELECT *, list_min(fv) AS mn, list_max(fv) AS mx, CAST(list_max(fv) - list_min(fv) AS FLOAT) AS span FROM c),
+z AS (SELECT *, CASE WHEN span < CAST(1.1920928955078125e-07 AS FLOAT) THEN CAST(0 AS FLOAT) ELSE CAST(span / CAST(255 AS FLOAT) AS FLOAT) END AS sc,
+  CASE WHEN span < CAST(1.1920928955078125e-07 AS FLOAT) THEN list_transform(fv, lambda x: 128) ELSE list_transform(fv, lambda x: CAST(least(255.0, floor(CAST(CAST((x - mn) * CAST(CAST(255 AS FLOAT) / span AS FLOAT) AS FLOAT) AS DOUBLE) + 0.5)) AS INTEGER)) END AS codes FROM k),
+r AS (SELECT *, list_transform(codes, lambda x: CAST(CAST(mn + CAST(CAST(x AS FLOAT) * sc AS FLOAT) AS FLOAT) AS DOUBLE)) AS rv FROM z)"""
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+def _toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({x}), '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) > 1 AND NOT list_contains([{_STOP}], t))"
+
+
+def _vec_sql(metric="cosine", where="true", k=10, tail="", extra="") -> str:
+    return f"WITH {_C} SELECT seq, round(score, 6) AS score FROM (SELECT seq, {_SIM[metric]} AS score FROM c, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {k} {extra}) {tail}"
+
+
+def _bm_ctes(text: str, where: str = "true") -> str:
+    return f"""t AS (SELECT seq, {_toks("text")} AS w FROM c),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM t),
+qt AS (SELECT t AS term, count(*) AS qtf FROM (SELECT unnest({_toks("'" + text + "'")}) AS t) GROUP BY t),
+tf AS (SELECT seq, dl, term, count(*) AS tf FROM (SELECT seq, len(w) AS dl, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY seq, dl, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+bm AS (SELECT seq, list_reduce(list_sort(list(qtf * (ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))))), lambda a, b: a + b) AS score
+  FROM tf JOIN qt USING (term) JOIN df USING (term), n WHERE seq IN (SELECT seq FROM c WHERE {where}) GROUP BY seq)"""
+
+
+def _bm_sql(text: str, where: str | None = None, pre: str = "true", k: int = 10) -> str:
+    tail = f"WHERE seq IN (SELECT seq FROM c WHERE {where})" if where else ""
+    return f"WITH {_C}, {_bm_ctes(text, pre)} SELECT seq, round(score, 6) AS score FROM (SELECT * FROM bm ORDER BY score DESC, seq DESC LIMIT {k}) {tail}"
+
+
+_EN = {"must": [{"field": "lang", "op": "eq", "value": "en"}]}
+
+
+def _hyb_sql(method: str, alpha: float = 0.7, k: int = 10, where: str = "true", minimum: float | None = None, sides: str = "both") -> str:
+    v = f"v AS (SELECT seq, {_SIM['cosine']} AS score FROM c, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {0 if sides == 'text' else k})"
+    w = f"w AS (SELECT * FROM (SELECT * FROM bm ORDER BY score DESC, seq DESC LIMIT {0 if sides == 'vector' else k}) WHERE seq IN (SELECT seq FROM c WHERE {where}))"
+    if method == "rrf":
+        fused = """SELECT seq, list_reduce(list_sort(list(p)), lambda a, b: a + b) AS score FROM (
+          SELECT seq, 1 / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, seq DESC)) AS p FROM v UNION ALL
+          SELECT seq, 1 / (60.0::DOUBLE + row_number() OVER (ORDER BY score DESC, seq DESC)) FROM w) GROUP BY seq"""
+    else:
+        s = "SELECT seq, CASE WHEN max(score) OVER () - min(score) OVER () < 1.1920928955078125e-07 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS s FROM"
+        fused = f"SELECT seq, {alpha}::DOUBLE * coalesce(x.s, 0) + {1 - alpha}::DOUBLE * coalesce(y.s, 0) AS score FROM ({s} v) x FULL JOIN ({s} w) y USING (seq)"
+    tail = "" if minimum is None else f"WHERE score >= {minimum}"
+    return f"WITH {_C}, {_bm_ctes(TEXT)}, {v}, {w}, f AS ({fused}) SELECT seq, round(score, 6) AS score FROM (SELECT * FROM f ORDER BY score DESC, seq DESC LIMIT {k}) {tail}"
+
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _vec(**kw):
+    return lambda s, d: rounded(search.vector_search(collection(s, d), query_vector(s, d), **kw))
+
+
+for _m in ("cosine", "euclidean", "dot_product"):
+    _short = _m.replace("_product", "")
+    _add(f"vec_{_short}_topk", _vec(metric=_m), _vec_sql(_m))
+    _compact = {"cosine": "CASE WHEN sc = 0 THEN 0 ELSE list_cosine_similarity(rv, q) END", "euclidean": _SIM["euclidean"].replace("(v,", "(rv,"), "dot_product": "1 + list_inner_product(rv, q)"}[_m]
+    _add(f"vec_compact_{_short}_topk", _vec(metric=_m, mode="compact"), f"WITH {_C}, {_RESTORE} SELECT seq, round(score, 6) AS score FROM (SELECT seq, {_compact} AS score FROM r, q ORDER BY score DESC, seq DESC LIMIT 10)")
+_add("vec_filtered_topk", _vec(where=_EN), _vec_sql(where="lang = 'en'"))
+_add("vec_min_similarity", _vec(k=50, min_similarity=0.2), _vec_sql(k=50, tail="WHERE score >= 0.2"))
+
+
+def _batch(s, d):
+    q = read(s, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rounded(search.batch_search(collection(s, d), q, 5))
+
+
+_add("vec_batch_topk", _batch, f"""WITH {_C} SELECT query_id, seq, round(score, 6) AS score FROM (
+SELECT query_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq DESC) AS n FROM (
+SELECT vec_id AS query_id, seq, list_cosine_similarity(v, list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS score FROM c, embeddings)) WHERE n <= 5""")
+
+
+def _symmetric(s, d):
+    c = collection(s, d).select("seq", codes(F.col("embedding")).alias("q"))
+    base = F.broadcast(c.where("seq = 3").select(F.col("q").alias("p")))
+    each = [F.round(symmetric_distance(m, F.col("p"), F.col("q")), 4).alias(m.value) for m in Metric]
+    return c.crossJoin(base).select("seq", *each)
+
+
+_add("vec_symmetric_u8_distances", _symmetric, f"""WITH {_C}, {_RESTORE}, e AS (SELECT seq, sc, list_transform(codes, lambda x: CAST(mn AS DOUBLE) + x * CAST(sc AS DOUBLE)) AS x FROM r), p AS (SELECT x AS y, sc AS s2 FROM e WHERE seq = 3)
+SELECT seq, round(1 - CASE WHEN sc = 0 OR s2 = 0 THEN 0 ELSE list_cosine_similarity(x, y) END, 4) AS cosine, round(list_sum(list_transform(list_zip(x, y), lambda t: (t[1] - t[2]) * (t[1] - t[2]))), 4) AS euclidean, round(-list_inner_product(x, y), 4) AS dot_product FROM e, p""")
+_add("quantize_codes", lambda s, d: collection(s, d).select("seq", codes(F.col("embedding")).alias("q")).select("seq", F.posexplode("q.codes").alias("i", "code")).select("seq", "i", F.col("code").cast("int").alias("code")),
+     f"WITH {_C}, {_RESTORE} SELECT seq, CAST(i - 1 AS INTEGER) AS i, CAST(codes[i] AS INTEGER) AS code FROM (SELECT seq, codes, unnest(range(1, len(codes) + 1)) AS i FROM r)")
+_add("dequantize_values", lambda s, d: collection(s, d).select("seq", restored(codes(F.col("embedding"))).alias("v")).select("seq", F.posexplode("v").alias("i", "x")).select("seq", "i", (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x")),
+     f"WITH {_C}, {_RESTORE} SELECT seq, CAST(i - 1 AS INTEGER) AS i, round(rv[i], 5) + 0.0 AS x FROM (SELECT seq, rv, unnest(range(1, len(rv) + 1)) AS i FROM r)")
+
+_FILTERS: dict[str, tuple[dict, str]] = {
+    "flt_eq_string": (_EN, "lang = 'en'"),
+    "flt_eq_int_float_cross": ({"must": [{"field": "quality", "op": "eq", "value": 1.0}]}, "quality = 1"),
+    "flt_eq_bool": ({"must": [{"field": "long", "op": "eq", "value": True}]}, "long"),
+    "flt_ne_missing_field": ({"must": [{"field": "quality", "op": "ne", "value": 1}]}, "quality <> 1"),
+    "flt_ne_type_mismatch": ({"must": [{"field": "lang", "op": "ne", "value": 5}]}, "true"),
+    "flt_gt": ({"must": [{"field": "n_chars", "op": "gt", "value": 1500}]}, "n_chars > 1500"),
+    "flt_lt": ({"must": [{"field": "kilo", "op": "lt", "value": 1}]}, "kilo < 1"),
+    "flt_gte": ({"must": [{"field": "kilo", "op": "gte", "value": 2.5}]}, "kilo >= 2.5"),
+    "flt_lte": ({"must": [{"field": "toxic", "op": "lte", "value": 0}]}, "toxic <= 0"),
+    "flt_order_of_string": ({"must": [{"field": "lang", "op": "gt", "value": 1}]}, "false"),
+    "flt_in": ({"must": [{"field": "source", "op": "in", "values": ["src1", "src2", 7]}]}, "source IN ('src1', 'src2')"),
+    "flt_must_not": ({"must_not": [{"field": "quality", "op": "eq", "value": 1}]}, "NOT coalesce(quality = 1, false)"),
+    "flt_combined": ({"must": [{"field": "lang", "op": "in", "values": ["en", "de"]}, {"field": "n_chars", "op": "gt", "value": 500}], "must_not": [{"field": "toxic", "op": "eq", "value": 1}]}, "lang IN ('en', 'de') AND n_chars > 500 AND NOT coalesce(toxic = 1, false)"),
+}
+for _name, (_clause, _sql) in _FILTERS.items():
+    _add(_name, lambda s, d, c=_clause: collection(s, d).where(compile_filter(c)).select("seq"), f"WITH {_C} SELECT seq FROM c WHERE {_sql}")
+
+_add("txt_tokens", lambda s, d: bm25.doc_terms(collection(s, d)).select("seq", F.posexplode("terms").alias("i", "term")), f"WITH {_C} SELECT seq, CAST(i - 1 AS INTEGER) AS i, w[i] AS term FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, {_toks('text')} AS w FROM c))")
+_add("txt_doc_lengths", lambda s, d: bm25.lengths(collection(s, d)), f"WITH {_C} SELECT seq, CAST(len({_toks('text')}) AS INTEGER) AS dl FROM c")
+_add("txt_postings", lambda s, d: bm25.postings(collection(s, d)), f"WITH {_C} SELECT term, seq, CAST(count(*) AS INTEGER) AS tf FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term, seq")
+_add("txt_df_idf", lambda s, d: bm25.document_frequency(collection(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {_C} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term), (SELECT count(*) AS n FROM c)")
+_add("txt_bm25_topk", lambda s, d: rounded(search.keyword_search(collection(s, d), WORDS)), _bm_sql(WORDS))
+_add("txt_bm25_duplicate_terms", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT)), _bm_sql(TEXT))
+_add("txt_bm25_postfilter", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT, where={"must": [{"field": "source", "op": "in", "values": ["src1", "src2", "src3", "src4"]}]})), _bm_sql(TEXT, "source IN ('src1', 'src2', 'src3', 'src4')"))
+_add("txt_bm25_prefilter", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT, where={"must": [{"field": "source", "op": "in", "values": ["src1", "src2"]}]}, prefilter=True)), _bm_sql(TEXT, pre="source IN ('src1', 'src2')"))
+_add("txt_empty_query", lambda s, d: rounded(search.keyword_search(collection(s, d), "the of a")), f"WITH {_C} SELECT seq, 0.0::DOUBLE AS score FROM c WHERE false")
+
+
+def _hyb(**kw):
+    sides = kw.pop("sides", "both")
+    return lambda s, d: rounded(search.hybrid_search(collection(s, d), None if sides == "text" else query_vector(s, d), None if sides == "vector" else TEXT, **kw))
+
+
+_add("hyb_rrf", _hyb(), _hyb_sql("rrf"))
+_add("hyb_linear", _hyb(method="linear"), _hyb_sql("linear"))
+_add("hyb_linear_alpha0", _hyb(method="linear", alpha=0.0), _hyb_sql("linear", 0.0))
+_add("hyb_linear_alpha1", _hyb(method="linear", alpha=1.0), _hyb_sql("linear", 1.0))
+_add("hyb_filtered", _hyb(method="linear", where=_EN), _hyb_sql("linear", where="lang = 'en'"))
+_add("hyb_min_similarity", _hyb(k=40, min_similarity=0.0135), _hyb_sql("rrf", k=40, minimum=0.0135))
+_add("hyb_one_sided", _hyb(sides="vector"), _hyb_sql("rrf", sides="vector"))
+_add("hyb_text_only", _hyb(sides="text", method="linear"), _hyb_sql("linear", sides="text"))
+_PAGE = f"SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq DESC) AS rank FROM (SELECT seq, {_SIM['cosine']} AS score FROM c, q ORDER BY score DESC, seq DESC LIMIT 25)"
+_add("page_offset", lambda s, d: rounded(search.search(collection(s, d), query_vector(s, d), k=10, offset=15)), f"WITH {_C}, w AS ({_PAGE}) SELECT seq, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM w WHERE rank > 15")
+
+
+def _counts(s, d):
+    window = search.search(collection(s, d), query_vector(s, d), k=25)
+    return window.agg(F.count_if(F.col("rank") > 15).alias("count"), F.count("*").alias("total"))
+
+
+_add("page_counts", _counts, f"WITH {_C}, w AS ({_PAGE}) SELECT count(*) FILTER (rank > 15) AS count, count(*) AS total FROM w")
+
+_add("doc_get", lambda s, d: collection(s, d).where(F.col("id") == "42").select("id", "text"), f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, text FROM c WHERE seq = 42")
+_gone = lambda s, d: read(s, d, "events").where("event_type = 'purchase'").select((F.col("event_id") % 1000).cast("string").alias("id")).distinct()
+_GONE = "(SELECT DISTINCT event_id % 1000 FROM events WHERE event_type = 'purchase')"
+_add("doc_delete", lambda s, d: collection(s, d).join(_gone(s, d), "id", "left_anti").select("seq"), f"WITH {_C} SELECT seq FROM c WHERE seq NOT IN {_GONE}")
+
+
+def _changes(s, d) -> DataFrame:
+    """Documents 0, 7, 14 ... shortened, and new ones numbered from a million."""
+    c = collection(s, d)
+    new = c.where("seq % 7 = 0").withColumn("text", F.reverse(F.left("text", F.lit(40))))
+    return new.unionByName(new.withColumn("id", (F.col("seq") + 1_000_000).cast("string")).withColumn("seq", F.col("seq") + 1_000_000))
+
+
+_add("doc_upsert", lambda s, d: upsert(collection(s, d), _changes(s, d)).select("id", F.length("text").alias("n")), f"""WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CAST(CASE WHEN seq % 7 = 0 THEN least(length(text), 40) ELSE length(text) END AS INTEGER) AS n FROM c
+UNION ALL SELECT CAST(seq + 1000000 AS VARCHAR), CAST(least(length(text), 40) AS INTEGER) FROM c WHERE seq % 7 = 0""")
+
+
+def _partial(s, d):
+    c = collection(s, d)
+    new = c.where("seq % 5 = 0").select("id", F.lit("new text").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(c.schema["metadata"].dataType).alias("metadata"))
+    return partial_update(c, new).select("id", F.left("text", F.lit(8)).alias("text"), F.size("embedding").alias("dim"))
+
+
+_add("doc_partial_update", _partial, f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CASE WHEN seq % 5 = 0 THEN 'new text' ELSE left(text, 8) END AS text, CAST(len(fv) AS INTEGER) AS dim FROM c")
+
+
+def _log(s, d) -> DataFrame:
+    op = F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "click", "update").otherwise("insert")
+    return read(s, d, "events").select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("id"), F.col("props").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("map<string,struct<b:boolean,i:bigint,f:double,s:string>>").alias("metadata"))
+
+
+_add("log_replay", lambda s, d: replay(_log(s, d)).select("id", "seq", "text"), """SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, props AS text FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'purchase'""")
+
+
+def _stats(s, d):
+    c = collection(s, d).withColumn("deleted", F.col("seq") % 11 == 0)
+    return c.agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("deleted"), F.max(F.size("embedding")).alias("dimension"))
+
+
+_add("col_stats", _stats, f"WITH {_C} SELECT count(*) FILTER (seq % 11 <> 0) AS live, count(*) FILTER (seq % 11 = 0) AS deleted, CAST(max(len(fv)) AS INTEGER) AS dimension FROM c")
+_add("col_memory_estimate", lambda s, d: memory_estimate(collection(s, d)), f"""WITH {_C}, t AS (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term)
+SELECT CAST((SELECT sum(len(fv) + 8 + 2 + 4 + strlen(text) + 16 + 64 * (5 + 2 * (quality IS NOT NULL)::INT) + 64 + 24 + 16) FROM c) + (SELECT sum(strlen(term) + 24 + 8 * df + 24) FROM t) AS BIGINT) AS bytes""")
+_add("col_deletion_ratio", lambda s, d: deletion_ratio(collection(s, d).withColumn("deleted", F.col("seq") % 11 == 0)), f"WITH {_C} SELECT (count(*) FILTER (seq % 11 = 0))::DOUBLE / count(*) AS ratio FROM c")
+_add("col_scope_filter", lambda s, d: read(s, d, "nation").select(F.lower("n_name").alias("name")).where(access.scope(F.col("name"), ["nation_1*", "nation_7", "*nothing"])), "SELECT lower(n_name) AS name FROM nation WHERE starts_with(lower(n_name), 'nation_1') OR lower(n_name) = 'nation_7'")
+
+
+def _broken(s, d):
+    c = collection(s, d)
+    twice = c.where("seq % 50 = 0").unionByName(c.where("seq % 75 = 0").withColumn("embedding", F.slice("embedding", 1, 10)))
+    return integrity(c.unionByName(twice), 64)
+
+
+_add("col_integrity_check", _broken, f"""WITH {_C} SELECT 'duplicate_id' AS problem, count(*) AS n FROM c WHERE seq % 50 = 0 OR seq % 75 = 0
+UNION ALL SELECT 'wrong_dimension', count(*) FROM c WHERE seq % 75 = 0 UNION ALL SELECT 'not_finite', 0 UNION ALL SELECT 'missing_field', 0""")
+_add("ops_metrics", lambda s, d: observe.metrics(read(s, d, "events").select(F.col("event_type").alias("op"), (F.col("user_id") % 3).cast("string").alias("collection"), "value"), "value"), """SELECT CAST(user_id % 3 AS VARCHAR) AS collection, event_type AS op, count(*) AS requests, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+
+
+def _ivf(s, d):
+    index = ann.build_ivf(collection(s, d))
+    return rounded(index.search(query_vector(s, d), 10, 8))
+
+
+def _recall(s, d):
+    index, q = ann.build_ivf(collection(s, d)), query_vector(s, d)
+    true = search.vector_search(collection(s, d), q, 10)
+    return s.createDataFrame([(n, ann.recall(index.search(q, 10, n), true)) for n in (1, 2, 4, 8, 16)], "nprobe int, recall double")
+
+
+def _pq(s, d):
+    c = collection(s, d)
+    pq = ann.Pq.train(c, 8)
+    return rounded(pq.search(pq.encode(c), query_vector(s, d), 10))
+
+
+_add("ann_ivf_topk", _ivf)
+_add("ann_recall", _recall)
+_add("pq_adc_topk", _pq)
