@@ -33,7 +33,7 @@ class Params:
     least: int = 256
     bits: int = 10
     most: int = 8192
-    level: int = 3
+    level: int = 6
     samples: int = 400
 
 
@@ -231,6 +231,7 @@ def chunked(media: DataFrame, key: str, payload: str, p: Params = Params()) -> D
     rows = media.select(F.col(key).cast("bigint").alias("media_id"), F.col(payload).cast("binary").alias("payload")).dropna()
     payloads, words = rows.select("payload"), dictionary(rows.select("payload"), p)
     refs = materialize(references(payloads, p).distinct(), "chunk-references")
-    stored = materialize(store(payloads, roles(refs), p, words), "chunk-store")
+    shared = materialize(roles(refs), "chunk-roles")  # a table of its own, so that its shuffles are gone before payloads move
+    stored = materialize(store(payloads, shared, p, words), "chunk-store")
     names = rows.select("media_id", F.unhex(F.sha2("payload", 256)).alias("blob")).distinct()
     return names.join(reconstruct(stored, words, p.level), "blob").select("media_id", "chunks", "size", "verified")
