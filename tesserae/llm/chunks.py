@@ -82,7 +82,10 @@ def _unpress(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def dictionary(payloads: DataFrame, p: Params) -> bytes:
     """A compression dictionary from at most ``samples`` payloads; empty where they are too few. It changes sizes alone."""
-    rows = payloads.orderBy(F.xxhash64("payload")).limit(p.samples).select(F.substring("payload", 1, 1 << 16).alias("x")).collect()
+    # the cut is found on hashes alone, so that no task sends payloads that another one's hashes beat
+    h = F.xxhash64("payload")
+    cut = payloads.select(h.alias("h")).orderBy("h").limit(p.samples).agg(F.max("h")).first()[0]
+    rows = payloads.where(h <= F.lit(cut)).select(F.substring("payload", 1, 1 << 16).alias("x")).limit(p.samples).collect()
     try:
         return zstandard.train_dictionary(1 << 16, [bytes(r.x) for r in rows]).as_bytes() if len(rows) >= 20 else b""
     except zstandard.ZstdError:
