@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.distance import Metric, distance, vector
 from ..functions.limits import PQ_CENTROIDS, PQ_ITERATIONS
 
+SHORT = 1e-4  # two vectors of at least this length have a cosine similarity that is not put to 0
+
 
 def kmeans(x: np.ndarray, k: int, iterations: int = PQ_ITERATIONS, seed: int = 42) -> np.ndarray:
     """Centres by Lloyd's rounds from k-means++ seeds; rows of zeros fill up if there are fewer points than centres."""
@@ -52,6 +54,12 @@ def _sample(docs: DataFrame, most: int) -> np.ndarray:
     return np.array([r.embedding for r in rows], float)
 
 
+def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows at unit length (zeros stay) and their lengths before."""
+    norm = np.sqrt((x * x).sum(1))
+    return x / np.where(norm > 0, norm, 1)[:, None], norm
+
+
 @dataclass
 class Ivf:
     """Vectors with their list number, and the centres."""
@@ -99,44 +107,75 @@ def recall(found: DataFrame, true: DataFrame) -> float:
 
 @dataclass
 class Pq:
-    """Centres [subspaces, 256, dim / subspaces] of a product quantizer."""
+    """Centres [subspaces, 256, dim / subspaces] of a product quantizer; for cosine, those of vectors of unit length."""
 
     centres: np.ndarray
+    metric: Metric
 
     @classmethod
-    def train(cls, docs: DataFrame, subspaces: int, sample: int = 20_000, seed: int = 42) -> "Pq":
+    def train(cls, docs: DataFrame, subspaces: int, sample: int = 20_000, seed: int = 42, metric: Metric | str = Metric.COSINE) -> "Pq":
         """One k-means a subspace on at most ``sample`` vectors; ValueError unless the dimension divides."""
-        x = _sample(docs, sample)
+        x, metric = _sample(docs, sample), Metric.of(metric)
         if not len(x) or subspaces < 1 or x.shape[1] % subspaces:
             raise ValueError("the dimension must be a multiple of the number of subspaces, and there must be vectors")
-        return cls(np.stack([kmeans(part, PQ_CENTROIDS, seed=seed + j) for j, part in enumerate(np.split(x, subspaces, 1))]))
+        x = _unit(x)[0] if metric is Metric.COSINE else x
+        return cls(np.stack([kmeans(part, PQ_CENTROIDS, seed=seed + j) for j, part in enumerate(np.split(x, subspaces, 1))]), metric)
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        """(seq, embedding, code): the nearest centre in each subspace."""
-        shared = docs.sparkSession.sparkContext.broadcast(self.centres)
+        """(seq, embedding, code, err): the nearest centre in each subspace, and how far all of them are from the vector.
+
+        A vector too short to be told from zero has an infinite ``err``, so that no bound leaves it out.
+        """
+        shared, cosine = docs.sparkSession.sparkContext.broadcast(self.centres), self.metric is Metric.COSINE
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
             for b in batches:
                 if b.num_rows:
                     v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
-                    code = np.stack([nearest(p, c[j]) for j, p in enumerate(np.split(v, len(c), 1))], 1).astype(np.int16)
-                    yield pa.record_batch([b.column(0), b.column(1), pa.array(list(code), pa.list_(pa.int16()))], ["seq", "embedding", "code"])
-
-        return docs.where("embedding is not null").select("seq", "embedding").mapInArrow(run, "seq bigint, embedding array<float>, code array<smallint>")
-
-    def table(self, query, metric: Metric) -> np.ndarray:
-        """Partial distances [subspaces, 256]; cosine is stood for by the negated product, which reranking puts right."""
-        parts = np.split(np.asarray(query, float), len(self.centres))
-        if metric is Metric.EUCLIDEAN:
-            return np.stack([((c - q) ** 2).sum(1) for c, q in zip(self.centres, parts)])
-        return np.stack([-(c @ q) for c, q in zip(self.centres, parts)])
-
-    def search(self, coded: DataFrame, query, k: int, metric: Metric | str = Metric.COSINE, oversample: int = 4) -> DataFrame:
-        """(seq, score): candidates by table lookups, reranked by exact distance."""
-        metric = Metric.of(metric)
-        flat = F.array(*[F.lit(float(x)) for x in self.table(query, metric).ravel()])
-        place = F.transform("code", lambda c, j: F.get(flat, j * PQ_CENTROIDS + c))
-        near = coded.withColumn("near", F.aggregate(place, F.lit(0.0), lambda s, x: s + x)).orderBy("near", F.desc("seq")).limit(k * oversample)
-        score = (1 - distance(metric, vector(query), F.col("embedding"))).alias("score")
-        return near.select("seq", score).orderBy(F.desc("score"), F.desc("seq")).limit(k)
+                    v, norm = _unit(v) if cosine else (v, np.ones(len(v)))
+                    parts = np.split(v, len(c), 1)
+                    code = np.stack([nearest(p, c[j]) for j, p in enumerate(parts)], 1).astype(np.int16)
+                    err = np.sqrt(sum(((p - c[j][code[:, j]]) ** 2).sum(1) for j, p in enumerate(parts)))
+                    err[norm < SHORT] = np.inf
+                    yield pa.record_batch([b.column(0), b.column(1), pa.array(list(code), pa.list_(pa.int16())), pa.array(err)], ["seq", "embedding", "code", "err"])
+
+        return docs.where("embedding is not null").select("seq", "embedding").mapInArrow(run, "seq bigint, embedding array<float>, code array<smallint>, err double")
+
+    def table(self, query: np.ndarray) -> np.ndarray:
+        """Partial scores [subspaces, 256]: products, or negated squared distances."""
+        parts = np.split(query, len(self.centres))
+        if self.metric is Metric.EUCLIDEAN:
+            return np.stack([-((c - q) ** 2).sum(1) for c, q in zip(self.centres, parts)])
+        return np.stack([c @ q for c, q in zip(self.centres, parts)])
+
+    def search(self, coded: DataFrame, query, k: int, oversample: int = 4) -> DataFrame:
+        """(seq, score) of the k best, all of them.
+
+        The k-th exact score of the first ``k * oversample`` candidates by table lookups is a floor; then every row whose
+        lookup and ``err`` let it reach the floor is reranked by exact distance.
+        """
+        q = np.asarray(query, np.float32).astype(float)
+        length = float(np.sqrt((q * q).sum()))
+        cosine, euclidean = self.metric is Metric.COSINE, self.metric is Metric.EUCLIDEAN
+        table = self.table(q / length if cosine and length else q)
+        reach = 1.0 if cosine else length
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                code = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                near, err = table[np.arange(len(table)), code].sum(1), b.column(3).to_numpy()
+                if euclidean:
+                    bound = 1 - np.maximum(np.sqrt(np.maximum(-near, 0)) - err, 0) ** 2
+                else:
+                    bound = near + reach * err + (0 if cosine else 1)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(near), pa.array(bound)], ["seq", "embedding", "near", "bound"])
+
+        rows = coded.select("seq", "embedding", "code", "err").mapInArrow(run, "seq bigint, embedding array<float>, near double, bound double")
+        score = (1 - distance(self.metric, vector(query), F.col("embedding"))).alias("score")
+        first = rows.orderBy(F.desc("near"), F.desc("seq")).limit(k * oversample).select("seq", score)
+        floor = first.orderBy(F.desc("score"), F.desc("seq")).limit(k).agg(F.count("*").alias("n"), F.min("score").alias("s")).first()
+        # a cosine similarity of 0 stands for that to a query too short, whatever the bound
+        if floor.n == k and k > 0 and not (cosine and length < SHORT):
+            rows = rows.where(F.col("bound") >= floor.s - 1e-6 * (1 + abs(floor.s)))
+        return rows.select("seq", score).orderBy(F.desc("score"), F.desc("seq")).limit(k)
