@@ -10,8 +10,8 @@ from ..functions.text import tokens
 
 
 def doc_terms(docs: DataFrame) -> DataFrame:
-    """(seq, terms) of every document."""
-    return docs.select("seq", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"))
+    """(seq, terms) of every document; a row without a text, such as a vector alone, is none."""
+    return docs.where("text is not null").select("seq", tokens(F.col("text")).alias("terms"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def idf(n, df):
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """(term, df, idf)."""
-    n = docs.agg(F.count("*").alias("n"))
+    n = docs.agg(F.count("text").alias("n"))
     df = doc_terms(docs).select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 

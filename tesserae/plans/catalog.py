@@ -1,7 +1,8 @@
 """Registered queries of the retrieval operators, each with its SQL.
 
-The collection is documents joined to embeddings on their ids, with labels as metadata that may be absent; vectors are
-scaled by 1 + id % 7, lest all metrics rank alike.
+The collection is documents and embeddings, joined in full on their ids: a document may have no vector, and a vector no
+document. Labels are metadata that may be absent; vectors are scaled by 1 + id % 7, lest all metrics rank alike. The SQL still
+joins inner, so it agrees only where both tables have the same ids.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def collection(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: (x * (1 + F.col("vec_id") % 7).cast("float")).cast("float")).alias("embedding"))
-    rows = read(spark, sf, "documents").join(e, "doc_id").join(read(spark, sf, "labels"), "doc_id", "left")
+    rows = read(spark, sf, "documents").join(e, "doc_id", "full").join(read(spark, sf, "labels"), "doc_id", "left")
     meta = metadata(
         lang=("s", F.col("lang")), source=("s", F.col("source")), n_chars=("i", F.col("n_chars")), quality=("i", F.col("quality")),
         toxic=("i", F.col("toxic")), kilo=("f", F.col("n_chars") / 1000.0), long=("b", F.col("n_chars") > 1500),
@@ -36,6 +37,11 @@ def collection(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("id"), "text", "embedding", meta.alias("metadata"))
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The collection's texts, for queries that ask for no more: no join moves them."""
+    return read(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("seq"), "text")
+
+
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 3) -> list[float]:
     return list(read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
 
@@ -131,7 +137,7 @@ SELECT vec_id AS query_id, seq, list_cosine_similarity(v, list_transform(embeddi
 
 
 def _symmetric(s, d):
-    c = collection(s, d).select("seq", codes(F.col("embedding")).alias("q"))
+    c = collection(s, d).where("embedding is not null").select("seq", codes(F.col("embedding")).alias("q"))
     base = F.broadcast(c.where("seq = 3").select(F.col("q").alias("p")))
     each = [F.round(symmetric_distance(m, F.col("p"), F.col("q")), 4).alias(m.value) for m in Metric]
     return c.crossJoin(base).select("seq", *each)
@@ -162,12 +168,12 @@ _FILTERS: dict[str, tuple[dict, str]] = {
 for _name, (_clause, _sql) in _FILTERS.items():
     _add(_name, lambda s, d, c=_clause: collection(s, d).where(compile_filter(c)).select("seq"), f"WITH {_C} SELECT seq FROM c WHERE {_sql}")
 
-_add("txt_tokens", lambda s, d: bm25.doc_terms(collection(s, d)).select("seq", F.posexplode("terms").alias("i", "term")), f"WITH {_C} SELECT seq, CAST(i - 1 AS INTEGER) AS i, w[i] AS term FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, {_toks('text')} AS w FROM c))")
-_add("txt_doc_lengths", lambda s, d: bm25.lengths(collection(s, d)), f"WITH {_C} SELECT seq, CAST(len({_toks('text')}) AS INTEGER) AS dl FROM c")
-_add("txt_postings", lambda s, d: bm25.postings(collection(s, d)), f"WITH {_C} SELECT term, seq, CAST(count(*) AS INTEGER) AS tf FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term, seq")
-_add("txt_df_idf", lambda s, d: bm25.document_frequency(collection(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {_C} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term), (SELECT count(*) AS n FROM c)")
-_add("txt_bm25_topk", lambda s, d: rounded(search.keyword_search(collection(s, d), WORDS)), _bm_sql(WORDS))
-_add("txt_bm25_duplicate_terms", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT)), _bm_sql(TEXT))
+_add("txt_tokens", lambda s, d: bm25.doc_terms(texts(s, d)).select("seq", F.posexplode("terms").alias("i", "term")), f"WITH {_C} SELECT seq, CAST(i - 1 AS INTEGER) AS i, w[i] AS term FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, {_toks('text')} AS w FROM c))")
+_add("txt_doc_lengths", lambda s, d: bm25.lengths(texts(s, d)), f"WITH {_C} SELECT seq, CAST(len({_toks('text')}) AS INTEGER) AS dl FROM c")
+_add("txt_postings", lambda s, d: bm25.postings(texts(s, d)), f"WITH {_C} SELECT term, seq, CAST(count(*) AS INTEGER) AS tf FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term, seq")
+_add("txt_df_idf", lambda s, d: bm25.document_frequency(texts(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {_C} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term), (SELECT count(*) AS n FROM c)")
+_add("txt_bm25_topk", lambda s, d: rounded(search.keyword_search(texts(s, d), WORDS)), _bm_sql(WORDS))
+_add("txt_bm25_duplicate_terms", lambda s, d: rounded(search.keyword_search(texts(s, d), TEXT)), _bm_sql(TEXT))
 _add("txt_bm25_postfilter", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT, where={"must": [{"field": "source", "op": "in", "values": ["src1", "src2", "src3", "src4"]}]})), _bm_sql(TEXT, "source IN ('src1', 'src2', 'src3', 'src4')"))
 _add("txt_bm25_prefilter", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT, where={"must": [{"field": "source", "op": "in", "values": ["src1", "src2"]}]}, prefilter=True)), _bm_sql(TEXT, pre="source IN ('src1', 'src2')"))
 _add("txt_empty_query", lambda s, d: rounded(search.keyword_search(collection(s, d), "the of a")), f"WITH {_C} SELECT seq, 0.0::DOUBLE AS score FROM c WHERE false")

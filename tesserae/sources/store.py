@@ -48,8 +48,9 @@ def deletion_ratio(docs: DataFrame) -> DataFrame:
 
 def memory_estimate(docs: DataFrame, raw: bool = False) -> DataFrame:
     """(bytes) that an in-memory index of the documents would need, without a graph."""
-    dim, words = F.size("embedding"), bm25.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
-    each = dim * (5 if raw else 1) + 8 + 2 + 4 + F.octet_length("text") + 16 + F.size("metadata") * 64 + 64 + 24 + 16
+    none = F.lit(0)
+    dim, words = F.when(F.col("embedding").isNull(), none).otherwise(F.size("embedding")), bm25.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    each = dim * (5 if raw else 1) + 8 + 2 + 4 + F.coalesce(F.octet_length("text"), none) + 16 + F.size("metadata") * 64 + 64 + 24 + 16
     terms = words.agg(F.sum(F.octet_length("term") + 24 + F.col("df") * 8 + 24).alias("t"))
     return docs.agg(F.sum(each).alias("d")).crossJoin(terms).select((F.coalesce("d", F.lit(0)) + F.coalesce("t", F.lit(0))).cast("bigint").alias("bytes"))
 
