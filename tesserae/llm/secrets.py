@@ -17,12 +17,16 @@ from ..sources.scratch import new_path, tidy_shuffles
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern, and literals of which every match contains one (checked before the pattern is tried)."""
+    """A pattern, and literals of which every match contains one (checked before the pattern is tried).
+
+    ``folded``: the literals are sought in the text in lower case.
+    """
 
     name: str
     version: int
     pattern: str
     literals: tuple[str, ...]
+    folded: bool = False
 
 
 RULES = (
@@ -31,15 +35,16 @@ RULES = (
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
     Rule("slack_token", 1, r"xox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
     Rule("stripe_key", 1, r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", ("k_live_", "k_test_")),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", ("PRIVATE KEY-----",)),
     Rule("json_web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyJ",)),
-    Rule("assigned_secret", 1, r"(?:api_key|apikey|secret|token|password|passwd)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_/+=-]{12,}", ("api_key", "apikey", "secret", "token", "passw")),
+    Rule("assigned_secret", 2, r"(?i)(?:api_key|apikey|secret|token|password|passwd)[\"']?\s*[=:][ \t]*[\"']?[A-Za-z0-9_/+=-]{12,}", ("api_key", "apikey", "secret", "token", "passw"), True),
 )
 LEDGER = "blob binary, rule string, version int"
 FINDINGS = "blob binary, rule string, version int, nth int, secret string"
 
 
 def mentions(rule: Rule, text: Column) -> Column:
+    text = F.lower(text) if rule.folded else text
     return reduce(lambda a, b: a | b, [text.contains(x) for x in rule.literals])
 
 
@@ -110,9 +115,14 @@ def redact(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] =
     return docs.where(~maybe).unionByName(rows)
 
 
+#: The SQL has version 1 of these: only the first line of a key, and names in lower case with nothing but spaces behind them.
+_FIRST = {
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "assigned_secret": r"(?:api_key|apikey|secret|token|password|passwd)[ ]*[=:][ ]*[\"']?[A-Za-z0-9_/+=-]{12,}",
+}
 SCAN_SQL = "\nUNION ALL\n".join(
     f"""SELECT doc_id, '{r.name}' AS rule, CAST(n - 1 AS INTEGER) AS nth, sha256(s[n]) AS secret_sha256, left(s[n], 4) AS hint FROM (
   SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS n FROM (
-    SELECT doc_id, regexp_extract_all(text, '{r.pattern.replace("'", "''")}') AS s FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL))"""
+    SELECT doc_id, regexp_extract_all(text, '{_FIRST.get(r.name, r.pattern).replace("'", "''")}') AS s FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL))"""
     for r in RULES
 )

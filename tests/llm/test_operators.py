@@ -59,6 +59,18 @@ def test_secrets(spark, odd, tmp_path):
     assert secrets.redact(odd).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_whole_keys_and_any_assignment(spark):
+    key = lambda c: f"-----BEGIN RSA PRIVATE KEY-----\n{c * 64}\n{c * 20}==\n-----END RSA PRIVATE KEY-----"
+    value = "Zq3" * 6
+    texts = [f"a\n{key('k')}\nb\n{key('m')}\nc", "x " + key("k")[:80], f"API_KEY={value}", f"Password\t: {value}", f'{{"token": "{value}"}}', f"secret = {value}"]
+    found = [(r.doc_id, r.rule, r.secret_sha256) for r in secrets.scan(frame(spark, texts)).collect()]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(x for x in found if x[0] < 2) == sorted([(0, "private_key", sha(key("k"))), (0, "private_key", sha(key("m"))), (1, "private_key", sha(key("k")[:80]))])
+    assert sorted(x[:2] for x in found if x[0] >= 2) == [(i, "assigned_secret") for i in range(2, 6)]
+    clean = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
+    assert clean[0] == "a\n[private_key]\nb\n[private_key]\nc" and clean[1] == "x [private_key]" and not any(value in t for t in clean.values())
+
+
 def test_chunks(spark, odd):
     rng = random.Random(1)
     shared = rng.randbytes(20_000)
