@@ -1,62 +1,70 @@
-"""Language-model scoring by Katz backoff over counted bigrams.
+"""Language-model scoring by Katz backoff over counted n-grams of any order from 2.
 
-    P(w | v) = d(c) c(v, w) / c(v)        if the bigram was seen
-             = a(v) P(w)                  otherwise
+    P(w | h) = d(c) c(h, w) / c(h)        if the n-gram was seen
+             = a(h) P(w | h')             otherwise; h' is h without its first word
     P(w)     = d'(c) c(w) / N             if the word was seen, else the mass that discounting left for unknown words
 
-d are Good-Turing discounts of counts up to ``k``; a(v) makes each distribution sum to exactly 1. Counts live in two tables
-partitioned by bucket, words by their own hash and bigrams by that of their context. A task sends packed arrays to the
-buckets: every distinct bigram of a block of documents once, with the documents that hold it. Scoring asks the bigram
-buckets first and passes on to the word buckets what they have not seen.
+d are Good-Turing discounts, for each order, of counts up to ``k``; a(h) makes each distribution sum to exactly 1. Counts live
+in a table for each order, partitioned by bucket, words by their own hash and n-grams by that of their context. A task sends
+packed arrays to the buckets: every distinct n-gram of a block of documents once, with the documents that hold it. Scoring asks
+the buckets of the highest order first and passes on to those of the next lower what they have not seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from ._packed import ascending, bounds, buckets, exchange, planes, unascending, unplanes
-from ._text import Tokens, slices
+from ._text import Tokens, pair, slices
 
 U64 = np.uint64
-BEGIN = U64(0x2545F4914F6CDD1D)  # the context of a first word
+BEGIN = U64(0x2545F4914F6CDD1D)  # stands for each word before the first
 
 
 @dataclass(frozen=True)
 class Params:
-    """Counts above ``k`` are not discounted; ``block`` bytes of text are counted before they are sent."""
+    """Counts above ``k`` are not discounted; ``block`` bytes of text are counted before they are sent; ``order`` words at most
+    make an n-gram."""
 
     k: int = 5
     block: int = 3 << 20
+    order: int = 2
 
 
 @dataclass
 class Model:
-    """``words`` (bucket, w, p) and ``pairs`` (bucket, ctx, first, w, p, back), packed; ``unknown`` is log10 of P(unknown)."""
+    """``words`` (bucket, w, p) and, for each order from 2, ``grams`` (bucket, ctx, size, words, at, p, back), packed; ``unknown``
+    is log10 of P(unknown)."""
 
     words: DataFrame
-    pairs: DataFrame
+    grams: list[DataFrame]
     unknown: float
     buckets: int
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ctx, w, doc, ids) of about ``size`` bytes of whole documents at a time."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ctx, w, doc, ids) of about ``size`` bytes of whole documents at a time; ctx[:, m] names the m + 1 words before each."""
     held: list[tuple] = []
     n = docs = 0
     for b in batches:
         ids = b.column(0).to_numpy()
         for i, j, data, offsets in slices(b.column(1), 1 << 20):
             t = Tokens(data, offsets)
-            ctx = np.empty_like(t.hash)
-            ctx[1:] = t.hash[:-1]
-            ctx[t.first[:-1][np.diff(t.first) > 0]] = BEGIN
+            place = np.arange(len(t.hash)) - t.first[t.doc]
+            ctx = np.empty((len(t.hash), order - 1), np.uint64)
+            for m in range(order - 1):
+                back = np.full(len(t.hash), BEGIN)
+                back[m + 1 :] = t.hash[: max(0, len(t.hash) - m - 1)]
+                back[place <= m] = BEGIN
+                ctx[:, m] = pair(ctx[:, m - 1], back) if m else back
             held.append((ctx, t.hash, t.doc + docs, ids[i:j]))
             n, docs = n + len(data), docs + j - i
             if n >= size:
@@ -88,7 +96,8 @@ def _unpack_pairs(r: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(unascending(r["ctx"]), unplanes(r["size"], np.uint32)), unascending(r["words"])[unplanes(r["at"], np.uint32)]
 
 
-_COUNTS = "kind int, bucket int, ctx binary, size binary, words binary, at binary, n binary"
+_COUNTS = "kind int, bucket int, ctx binary, size binary, words binary, at binary, n binary, low binary"
+_KIND = 1 << 24  # buckets of one order are numbered apart from those of others while they are counted
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -97,23 +106,26 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _count(p: Params, count: int):
-    names = ["kind", "bucket", "ctx", "size", "words", "at", "n"]
+    names = ["kind", "bucket", "ctx", "size", "words", "at", "n", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, w, _, _ in blocks(batches, p.block):
-            order = np.lexsort((w, ctx))
-            ctx, w = ctx[order], w[order]
-            head = _runs(ctx, w)
-            ctx, w, n = ctx[head], w[head], np.diff(np.append(head, len(ctx))).astype(np.uint32)
-            rows, cut = [], bounds(ctx, count)
+        for ctx, w, _, _ in blocks(batches, p.block, p.order):
+            for m in range(2, p.order + 1):
+                order = np.lexsort((w, ctx[:, m - 2]))
+                head = _runs(ctx[order, m - 2], w[order])
+                n = np.diff(np.append(head, len(w))).astype(np.uint32)
+                head = order[head]
+                c, x, low = ctx[head, m - 2], w[head], ctx[head, m - 3] if m > 2 else None
+                rows, cut = [], bounds(c, count)
+                for k in np.flatnonzero(np.diff(cut)):
+                    s = slice(cut[k], cut[k + 1])
+                    rows.append((m, int(k) + m * _KIND, *_pack_pairs(c[s], x[s]), planes(n[s]), b"" if m == 2 else planes(low[s][_runs(c[s])])))
+                yield _batch(rows, names)
+            words, n = np.unique(w, return_counts=True)
+            rows, cut = [], bounds(words, count)
             for k in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[k], cut[k + 1])
-                rows.append((2, int(k), *_pack_pairs(ctx[s], w[s]), planes(n[s])))
-            words, at = np.unique(w, return_inverse=True)
-            n, cut = np.bincount(at, weights=n).astype(np.uint32), bounds(words, count)
-            for k in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[k], cut[k + 1])
-                rows.append((1, int(k), b"", b"", ascending(words[s]), b"", planes(n[s])))
+                rows.append((1, int(k) + _KIND, b"", b"", ascending(words[s]), b"", planes(n[s].astype(np.uint32)), b""))
             yield _batch(rows, names)
 
     return run
@@ -125,24 +137,26 @@ def _few(n: np.ndarray, k: int) -> bytes:
 
 def _sum(p: Params):
     """Total counts of a bucket, as a row of its table, with counts of counts and the sum."""
-    names = ["kind", "bucket", "ctx", "size", "words", "at", "n", "few", "total"]
+    names = ["kind", "bucket", "ctx", "size", "words", "at", "n", "low", "few", "total"]
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        one = [r for r in rows if r["kind"] == 1]
-        two = [r for r in rows if r["kind"] == 2]
-        if one:
-            w, n = np.concatenate([unascending(r["words"]) for r in one]), np.concatenate([unplanes(r["n"], np.uint32) for r in one])
-            w, at = np.unique(w, return_inverse=True)
+        kind, bucket = divmod(bucket, _KIND)
+        n = np.concatenate([unplanes(r["n"], np.uint32) for r in rows])
+        if kind == 1:
+            w, at = np.unique(np.concatenate([unascending(r["words"]) for r in rows]), return_inverse=True)
             n = np.bincount(at, weights=n).astype(np.uint64)
-            yield _batch([(1, bucket, b"", b"", ascending(w), b"", planes(n), _few(n, p.k), int(n.sum()))], names)
-        if two:
-            parts = [_unpack_pairs(r) for r in two]
-            ctx, w, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), np.concatenate([unplanes(r["n"], np.uint32) for r in two])
-            order = np.lexsort((w, ctx))
-            ctx, w, n = ctx[order], w[order], n[order].astype(np.uint64)
-            head = _runs(ctx, w)
-            ctx, w, n = ctx[head], w[head], np.add.reduceat(n, head)
-            yield _batch([(2, bucket, *_pack_pairs(ctx, w), planes(n), _few(n, p.k), int(n.sum()))], names)
+            yield _batch([(1, bucket, b"", b"", ascending(w), b"", planes(n), b"", _few(n, p.k), int(n.sum()))], names)
+            return
+        parts = [_unpack_pairs(r) for r in rows]
+        ctx, w = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        low = np.concatenate([np.repeat(unplanes(r["low"], np.uint64), unplanes(r["size"], np.uint32)) for r in rows]) if kind > 2 else None
+        del parts
+        order = np.lexsort((w, ctx))
+        ctx, w, n = ctx[order], w[order], n[order].astype(np.uint64)
+        head = _runs(ctx, w)
+        low = planes(low[order][head][_runs(ctx[head])]) if kind > 2 else b""
+        ctx, w, n = ctx[head], w[head], np.add.reduceat(n, head)
+        yield _batch([(kind, bucket, *_pack_pairs(ctx, w), planes(n), low, _few(n, p.k), int(n.sum()))], names)
 
     return reduce
 
@@ -191,19 +205,75 @@ def _answer(d: np.ndarray, total: float):
     return reduce
 
 
-def _weigh(d: np.ndarray):
-    """Probabilities of the bigrams of a bucket and the backoff weight of each of its contexts."""
+class _Table:
+    """The packed n-grams of a bucket, to be looked up."""
+
+    def __init__(self, r: dict):
+        self.heads, self.words, size = unascending(r["ctx"]), unascending(r["words"]), unplanes(r["size"], np.uint32).astype(np.int64)
+        # (context, word) as one number: places in both sorted lists
+        self.keys = np.repeat(np.arange(len(self.heads)), size) * len(self.words) + unplanes(r["at"], np.uint32).astype(np.int64)
+
+    def find(self, ctx: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Whether the context and the n-gram of each pair are known, and their places."""
+        h = np.minimum(np.searchsorted(self.heads, ctx), len(self.heads) - 1)
+        v = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        known = self.heads[h] == ctx
+        at = np.minimum(np.searchsorted(self.keys, key := h * len(self.words) + v), len(self.keys) - 1)
+        return known, h, known & (self.words[v] == w) & (self.keys[at] == key), at
+
+
+def _lower(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (lower context, word) of the n-grams of a bucket, sorted, and order and number of each n-gram among them."""
+    _, w = _unpack_pairs(r)
+    low = np.repeat(unplanes(r["low"], np.uint64), unplanes(r["size"], np.uint32))
+    order = np.lexsort((w, low))
+    head = _runs(low[order], w[order])
+    nth = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w))))
+    return low[order][head], w[order][head], order, nth
+
+
+def _ask_lower(count: int):
+    """The distinct lower n-grams of a bucket, sent to their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                c, w, _, _ = _lower(r)
+                cut = bounds(c, count)
+                for k in np.flatnonzero(np.diff(cut)):
+                    s = slice(cut[k], cut[k + 1])
+                    yield _batch([(int(k), r["bucket"], *_pack_pairs(c[s], w[s]))], ["bucket", "source", "ctx", "size", "words", "at"])
+
+    return run
+
+
+def _answer_lower(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    own = next(r for r in rows if r["source"] < 0)
+    table, prob = _Table(own), np.frombuffer(own["p"])
+    for r in rows:
+        if r["source"] >= 0:
+            yield _batch([(r["source"], bucket, prob[table.find(*_unpack_pairs(r))[3]].tobytes())], ["bucket", "source", "p"])
+
+
+def _weigh(kind: int, d: np.ndarray):
+    """Probabilities of the n-grams of a bucket and the backoff weight of each of its contexts."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         own = next(r for r in rows if r["source"] < 0)
         back = sorted((r for r in rows if r["source"] >= 0), key=lambda r: r["source"])
-        low = np.concatenate([np.frombuffer(r["p"]) for r in back])  # by word bucket, hence in the order of the words
+        told = np.concatenate([np.frombuffer(r["p"]) for r in back])  # by lower bucket, hence in the order of what was asked
         size, n = unplanes(own["size"], np.uint32).astype(np.int64), unplanes(own["n"], np.uint64).astype(float)
+        if kind == 2:
+            low = told[unplanes(own["at"], np.uint32)]
+        else:
+            _, _, order, nth = _lower(own)
+            low = np.empty(len(n))
+            low[order] = 10 ** told[nth]
         head = np.cumsum(size) - size
         total, kept = np.add.reduceat(n, head), np.add.reduceat(discounted(n, d), head)
         # a context none of whose counts is discounted would leave nothing: one more is added to its total
         total = np.where(total - kept < 1e-9, total + 1, total)
-        rest = np.maximum(1 - np.add.reduceat(low[unplanes(own["at"], np.uint32)], head), 1e-12)
+        rest = np.maximum(1 - np.add.reduceat(low, head), 1e-12)
         prob = np.log10(discounted(n, d) / np.repeat(total, size))
         yield _batch([(bucket, own["ctx"], own["size"], own["words"], own["at"], prob.tobytes(), np.log10((1 - kept / total) / rest).tobytes())], ["bucket", "ctx", "size", "words", "at", "p", "back"])
 
@@ -213,56 +283,72 @@ def _weigh(d: np.ndarray):
 _PAIRS = "bucket int, ctx binary, size binary, words binary, at binary, p binary, back binary"
 
 
+def _none(*names: str) -> list[Column]:
+    return [F.lit(None).cast("binary").alias(c) for c in names]
+
+
 def train(docs: DataFrame, p: Params = Params()) -> Model:
-    """Count the words and bigrams of all documents (rows with an id and text) and store the normalised tables.
+    """Count the n-grams of all orders of all documents (rows with an id and text) and store the normalised tables.
 
     Repeated rows count again. Without a word the tables are empty and every word is unknown, of probability 1.
     """
+    if p.order < 2:
+        raise ValueError("the order must be at least 2")
     spark = docs.sparkSession
     count = buckets(spark)
     rows = docs.select("doc_id", "text").dropna()
     table = exchange(rows.mapInArrow(_count(p, count), _COUNTS), _sum(p), _COUNTS + ", few binary, total bigint")
     table = materialize(table, "ngram-counts", ("kind",))
-    few, total = {1: np.zeros(p.k + 2), 2: np.zeros(p.k + 2)}, {1: 0, 2: 0}
-    for r in table.select("kind", "few", "total").collect():  # k + 2 numbers a bucket
+    few, total = {m: np.zeros(p.k + 2) for m in range(1, p.order + 1)}, 0
+    for r in table.select("kind", "few", "total").collect():  # k + 2 numbers a bucket and order
         few[r.kind] += np.frombuffer(bytes(r.few), np.int64)
-        total[r.kind] += r.total
-    d1, d2 = discounts(few[1], p.k), discounts(few[2], p.k)
-    n = np.arange(p.k + 1)
-    lost = float((few[1][: p.k + 1] * n * (1 - d1)).sum())
-    denominator = float(total[1]) if lost >= 1e-9 else float(total[1] + 1)
-    lost = denominator - (total[1] - lost)
-    ones, twos = table.where("kind = 1"), table.where("kind = 2")
-    ask = twos.select("bucket", "words").mapInArrow(_ask(count), "bucket int, source int, words binary").withColumn("n", F.lit(None).cast("binary"))
+        total += r.total if r.kind == 1 else 0
+    d = {m: discounts(few[m], p.k) for m in few}
+    lost = float((few[1][: p.k + 1] * np.arange(p.k + 1) * (1 - d[1])).sum())
+    denominator = float(total) if lost >= 1e-9 else float(total + 1)
+    lost = denominator - (total - lost)
+    ones = table.where("kind = 1")
+    ask = table.where("kind = 2").select("bucket", "words").mapInArrow(_ask(count), "bucket int, source int, words binary").withColumn("n", F.lit(None).cast("binary"))
     ask = ask.unionByName(ones.select("bucket", F.lit(-1).alias("source"), "words", "n"))
-    told = materialize(exchange(ask, _answer(d1, denominator), "bucket int, source int, words binary, p binary"), "word-probabilities")
-    mine = twos.select("bucket", F.lit(-1).alias("source"), "ctx", "size", "words", "at", "n", F.lit(None).cast("binary").alias("p"))
-    back = told.where("bucket >= 0").select("bucket", "source", *[F.lit(None).cast("binary").alias(c) for c in ("ctx", "size", "words", "at", "n")], "p")
-    pairs = materialize(exchange(mine.unionByName(back), _weigh(d2), _PAIRS), "bigrams")
+    told = materialize(exchange(ask, _answer(d[1], denominator), "bucket int, source int, words binary, p binary"), "word-probabilities")
     words = told.where("bucket < 0").select(F.col("source").alias("bucket"), "words", "p")
-    return Model(words, pairs, float(np.log10(lost / denominator)), count)
-
-
-_ASKED = "bucket int, ctx binary, size binary, words binary, at binary, many binary, doc binary, ids binary"
-_PART = "bucket int, words binary, doc binary, ids binary, sum binary, n binary"
-_NAMES = ["bucket", "words", "doc", "ids", "sum", "n"]
+    back, grams = told.where("bucket >= 0"), []
+    for m in range(2, p.order + 1):
+        own = table.where(f"kind = {m}")
+        if m > 2:
+            ask = own.select("bucket", "size", "words", "at", "low", "ctx").mapInArrow(_ask_lower(count), "bucket int, source int, ctx binary, size binary, words binary, at binary")
+            lower = grams[-1].select("bucket", F.lit(-1).alias("source"), "ctx", "size", "words", "at", "p")
+            back = materialize(exchange(ask.select("*", *_none("p")).unionByName(lower), _answer_lower, "bucket int, source int, p binary"), f"lower-{m}")
+        mine = own.select("bucket", F.lit(-1).alias("source"), "ctx", "size", "words", "at", "n", "low", *_none("p"))
+        back = back.select("bucket", "source", *_none("ctx", "size", "words", "at", "n", "low"), "p")
+        grams.append(materialize(exchange(mine.unionByName(back), _weigh(m, d[m]), _PAIRS), f"grams-{m}"))
+    return Model(words, grams, float(np.log10(lost / denominator)), count)
+
+
+_NAMES = ["bucket", "ctx", "size", "words", "at", "many", "doc", "ids", "low", "sum", "n"]
+_PART = "bucket int, " + ", ".join(f"{x} binary" for x in _NAMES[1:])
+
+
+def _send(ctx: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray, low: np.ndarray, weight: np.ndarray | None, count: int) -> list[tuple]:
+    """Occurrences of n-grams, one row a bucket: ``low`` has the shorter contexts of each, longest last, ``weight`` what was added."""
+    order = np.lexsort((w, ctx))
+    ctx, w, doc, low = ctx[order], w[order], doc[order], low[order]
+    rows, cut = [], bounds(ctx, count)
+    for k in np.flatnonzero(np.diff(cut)):
+        s = slice(cut[k], cut[k + 1])
+        c, x = ctx[s], w[s]
+        head = _runs(c, x)
+        local, at = np.unique(doc[s], return_inverse=True)
+        at = at.astype(np.uint16) if len(local) < 1 << 16 else at.astype(np.uint32)
+        many = planes(np.diff(np.append(head, len(c))).astype(np.uint32))
+        rows.append((int(k), *_pack_pairs(c[head], x[head]), many, planes(at), ids[local].tobytes(), planes(low[s][_runs(c)].ravel()) if low.shape[1] else b"", b"" if weight is None else weight[order[s]].tobytes(), b""))
+    return rows
 
 
 def _lookups(p: Params, count: int):
-    names = ["bucket", "ctx", "size", "words", "at", "many", "doc", "ids"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, w, doc, ids in blocks(batches, p.block):
-            order = np.lexsort((w, ctx))
-            ctx, w, doc = ctx[order], w[order], doc[order]
-            rows, cut = [], bounds(ctx, count)
-            for k in np.flatnonzero(np.diff(cut)):
-                c, x = ctx[cut[k] : cut[k + 1]], w[cut[k] : cut[k + 1]]
-                head = _runs(c, x)
-                local, at = np.unique(doc[cut[k] : cut[k + 1]], return_inverse=True)
-                at = at.astype(np.uint16) if len(local) < 1 << 16 else at.astype(np.uint32)
-                rows.append((int(k), *_pack_pairs(c[head], x[head]), planes(np.diff(np.append(head, len(c))).astype(np.uint32)), planes(at), ids[local].tobytes()))
-            yield _batch(rows, names)
+        for ctx, w, doc, ids in blocks(batches, p.block, p.order):
+            yield _batch(_send(ctx[:, -1], w, doc, ids, ctx[:, :-1], None, count), _NAMES)
 
     return run
 
@@ -272,48 +358,43 @@ def _place(r: dict) -> np.ndarray:
     return unplanes(r["doc"], np.uint16 if len(r["ids"]) // 8 < 1 << 16 else np.uint32).astype(np.int64)
 
 
-def _look_up(count: int):
-    """Sums by document of the log probabilities of seen bigrams; the others, to the word buckets, with their backoff weight."""
+def _look_up(kind: int, count: int):
+    """Sums by document of the log probabilities of seen n-grams; the others, to the next lower buckets, with their backoff weight."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         own = [r for r in rows if r["p"] is not None]
         if own:
-            ctx, w = _unpack_pairs(own[0])
-            heads, prob, back = unascending(own[0]["ctx"]), np.frombuffer(own[0]["p"]), np.frombuffer(own[0]["back"])
-            first = np.cumsum(s := unplanes(own[0]["size"], np.uint32).astype(np.int64)) - s
-            size, words = s, unascending(own[0]["words"])
-            place = unplanes(own[0]["at"], np.uint32).astype(np.int64)
+            table, prob, back = _Table(own[0]), np.frombuffer(own[0]["p"]), np.frombuffer(own[0]["back"])
         for r in rows:
             if r["p"] is not None:
                 continue
             c, x = _unpack_pairs(r)
             value, seen, weight = np.zeros(len(c)), np.zeros(len(c), bool), np.zeros(len(c))
-            if own and len(heads):
-                h = np.minimum(np.searchsorted(heads, c), len(heads) - 1)
-                known = heads[h] == c
+            if own:
+                known, h, seen, at = table.find(c, x)
                 weight[known] = back[h[known]]
-                v = np.minimum(np.searchsorted(words, x), len(words) - 1)
-                known &= words[v] == x
-                # (context, word) as one number: places in both sorted lists
-                key = h * len(words) + v
-                table = np.repeat(np.arange(len(heads)), size) * len(words) + place
-                at = np.minimum(np.searchsorted(table, key), len(table) - 1)
-                seen = known & (table[at] == key)
                 value[seen] = prob[at[seen]]
             many, doc = unplanes(r["many"], np.uint32).astype(np.int64), _place(r)
             each = np.repeat(np.arange(len(c)), many)
+            before = np.frombuffer(r["sum"]) if r["sum"] else np.zeros(len(each))
             ids = np.frombuffer(r["ids"], np.int64)
             hit = seen[each]
             n = np.bincount(doc[hit], minlength=len(ids))
             some = np.flatnonzero(n)
-            out = [(-1, b"", b"", ids[some].tobytes(), np.bincount(doc[hit], weights=value[each][hit], minlength=len(ids))[some].tobytes(), planes(n[some].astype(np.uint32)))]
-            open_w, open_doc, open_weight = x[each][~hit], doc[~hit], weight[each][~hit]
-            order = np.argsort(open_w, kind="stable")
-            open_w, open_doc, open_weight = open_w[order], open_doc[order], open_weight[order]
-            cut = bounds(open_w, count)
-            for k in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[k], cut[k + 1])
-                out.append((int(k), ascending(open_w[s]), b"", ids[open_doc[s]].tobytes(), open_weight[s].tobytes(), b""))
+            sums = np.bincount(doc[hit], weights=(value[each] + before)[hit], minlength=len(ids))
+            out = [(-1, *[b""] * 6, ids[some].tobytes(), b"", sums[some].tobytes(), planes(n[some].astype(np.uint32)))]
+            left = ~hit
+            w, doc, weight = x[each][left], doc[left], (weight[each] + before)[left]
+            if kind > 2:
+                low = np.repeat(unplanes(r["low"], np.uint64).reshape(-1, kind - 2), unplanes(r["size"], np.uint32), axis=0)[each][left]
+                out += _send(low[:, -1], w, doc, ids, low[:, :-1], weight, count)
+            else:
+                order = np.argsort(w, kind="stable")
+                w, doc, weight = w[order], doc[order], weight[order]
+                cut = bounds(w, count)
+                for k in np.flatnonzero(np.diff(cut)):
+                    s = slice(cut[k], cut[k + 1])
+                    out.append((int(k), b"", b"", ascending(w[s]), *[b""] * 3, ids[doc[s]].tobytes(), b"", weight[s].tobytes(), b""))
             yield _batch(out, _NAMES)
 
     return reduce
@@ -333,7 +414,7 @@ def _back_off(unknown: float):
                 at = np.minimum(np.searchsorted(words, w), len(words) - 1)
                 low = np.where(words[at] == w, prob[at], unknown)
             ids, at = np.unique(ids, return_inverse=True)
-            yield _batch([(-1, b"", b"", ids.tobytes(), np.bincount(at, weights=value + low).tobytes(), planes(np.bincount(at).astype(np.uint32)))], _NAMES)
+            yield _batch([(-1, *[b""] * 6, ids.tobytes(), b"", np.bincount(at, weights=value + low).tobytes(), planes(np.bincount(at).astype(np.uint32)))], _NAMES)
 
     return reduce
 
@@ -355,14 +436,15 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     out; the rows of a repeated id are one document.
     """
     rows = docs.select("doc_id", "text").dropna()
-    asked = rows.mapInArrow(_lookups(p, model.buckets), _ASKED)
-    empty = [F.lit(None).cast("binary").alias(c) for c in ("p", "back")]
-    table = model.pairs.select("bucket", "ctx", "size", "words", "at", *[F.lit(None).cast("binary").alias(c) for c in ("many", "doc", "ids")], "p", "back")
-    first = materialize(exchange(asked.select("*", *empty).unionByName(table), _look_up(model.buckets), _PART), "bigram-scores")
-    open_rows = first.where("bucket >= 0").withColumn("p", F.lit(None).cast("binary"))
-    known = model.words.select("bucket", "words", *[F.lit(None).cast("binary").alias(c) for c in ("doc", "ids", "sum", "n")], "p")
-    second = exchange(open_rows.unionByName(known), _back_off(model.unknown), _PART)
-    parts = first.where("bucket < 0").unionByName(second).select("ids", "sum", "n").mapInArrow(_rows, "doc_id bigint, sum double, n bigint")
+    asked, done = rows.mapInArrow(_lookups(replace(p, order=len(model.grams) + 1), model.buckets), _PART), []
+    for m in range(len(model.grams) + 1, 1, -1):
+        table = model.grams[m - 2].select("bucket", "ctx", "size", "words", "at", *_none(*_NAMES[5:]), "p", "back")
+        got = materialize(exchange(asked.select("*", *_none("p", "back")).unionByName(table), _look_up(m, model.buckets), _PART), f"scores-{m}")
+        done.append(got.where("bucket < 0"))
+        asked = got.where("bucket >= 0")
+    known = model.words.select("bucket", *_none("ctx", "size"), "words", *_none(*_NAMES[4:]), "p")
+    done.append(exchange(asked.select("*", *_none("p")).unionByName(known), _back_off(model.unknown), _PART))
+    parts = reduce(DataFrame.unionByName, done).select("ids", "sum", "n").mapInArrow(_rows, "doc_id bigint, sum double, n bigint")
     parts = parts.unionByName(rows.select("doc_id", F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n")))
     s, n = F.sum("sum"), F.sum("n")
     return parts.groupBy("doc_id").agg(n.alias("words"), F.round(s, 4).alias("log10_prob"), F.when(n > 0, F.round(F.pow(F.lit(10.0), -s / n), 4)).alias("perplexity"))

@@ -28,7 +28,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return katz.score(docs, katz.train(docs))
+    p = katz.Params(order=3)
+    return katz.score(docs, katz.train(docs, p), p)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,6 +157,43 @@ def test_katz(spark, odd):
     assert katz.score(odd, katz.train(odd)).count() == 8 and katz.score(odd.limit(0), katz.train(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_katz_of_higher_order(spark, odd, order):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 50}" for _ in range(rng.randrange(80))) for _ in range(80)]
+    grams = {m: collections.Counter() for m in range(1, order + 1)}
+    for t in texts:
+        w = ["<s>"] * (order - 1) + words(t)
+        for m in grams:
+            grams[m].update(tuple(w[i - m + 1 : i + 1]) for i in range(order - 1, len(w)))
+    d = {m: katz.discounts(np.array([0] + [sum(v == r for v in c.values()) for r in range(1, 7)], float), 5) for m, c in grams.items()}
+    disc = lambda m, g: grams[m][g] * (d[m][grams[m][g]] if grams[m][g] <= 5 else 1)
+    after = collections.defaultdict(list)
+    for m in range(2, order + 1):
+        for g in grams[m]:
+            after[g[:-1]].append(g)
+    low, _, _ = brute_katz(texts)
+
+    def p(g):
+        m = len(g)
+        if m == 2:
+            return low(g[1], g[0])
+        if not after[g[:-1]]:
+            return p(g[1:])
+        n, kept = sum(grams[m][x] for x in after[g[:-1]]), sum(disc(m, x) for x in after[g[:-1]])
+        n += n - kept < 1e-9
+        return disc(m, g) / n if g in grams[m] else (1 - kept / n) / max(1 - sum(p(x[1:]) for x in after[g[:-1]]), 1e-12) * p(g[1:])
+
+    new = [*texts[:5], "w1 w1 never w2 w1 w3 w1 w2", "w1 w2 w1 w1 w3 w2 w1 w40 w1", "never ever", "", None]
+    params = katz.Params(order=order)
+    model = katz.train(frame(spark, texts), params)
+    for r in katz.score(frame(spark, new), model, params).collect():
+        w = ["<s>"] * (order - 1) + words(new[r.doc_id])
+        want = sum(math.log10(p(tuple(w[i - order + 1 : i + 1]))) for i in range(order - 1, len(w)))
+        assert r.words == len(w) - order + 1 and r.log10_prob == pytest.approx(want, abs=1e-3)
+    assert katz.score(odd, katz.train(odd, params), params).count() == 8 and katz.score(odd.limit(0), katz.train(odd.limit(0), params)).count() == 0
+
+
 def test_quality(spark, odd):
     rng = random.Random(4)
     texts = [prose(rng, 30) if i % 2 else " ".join(w + "!!" for w in prose(rng, 30).split()) for i in range(200)]
