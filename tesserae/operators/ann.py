@@ -1,7 +1,7 @@
 """Approximate search: inverted lists round k-means centres, and product quantization.
 
-Neither is a graph index. ``m`` and ``ef_construction`` are accepted and checked where a collection is made but mean nothing
-here; ``ef_search`` sets how many lists are probed.
+Neither is a graph index. ``m``, ``ef_construction`` and ``ef_search`` are accepted and checked where a collection is made but mean
+nothing here, as collections are searched exactly; ``nprobe`` sets how many lists are probed.
 """
 
 from __future__ import annotations
