@@ -1,8 +1,7 @@
 """Registered queries of the retrieval operators, each with its SQL.
 
-The collection is documents and embeddings, joined in full on their ids: a document may have no vector, and a vector no
-document. Labels are metadata that may be absent; vectors are scaled by 1 + id % 7, lest all metrics rank alike. The SQL still
-joins inner, so it agrees only where both tables have the same ids.
+The collection is documents and embeddings, joined in full on their ids, in the SQL too: a document may have no vector, and
+a vector no document. Labels are metadata that may be absent; vectors are scaled by 1 + id % 7, lest all metrics rank alike.
 """
 
 from __future__ import annotations
@@ -50,13 +49,14 @@ def rounded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.round("score", 6))
 
 
-_C = """c AS (SELECT d.doc_id AS seq, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic, d.n_chars / 1000.0::DOUBLE AS kilo, d.n_chars > 1500 AS long,
+_C = """c AS (SELECT coalesce(d.doc_id, e.vec_id) AS seq, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic, d.n_chars / 1000.0::DOUBLE AS kilo, d.n_chars > 1500 AS long,
   list_transform(e.embedding, lambda x: CAST(x * CAST(1 + e.vec_id % 7 AS FLOAT) AS FLOAT)) AS fv,
   list_transform(e.embedding, lambda x: CAST(CAST(x * CAST(1 + e.vec_id % 7 AS FLOAT) AS FLOAT) AS DOUBLE)) AS v
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON coalesce(d.doc_id, e.vec_id) = l.doc_id),
+cv AS (SELECT * FROM c WHERE fv IS NOT NULL), ct AS (SELECT * FROM c WHERE text IS NOT NULL),
 q AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id = 3)"""
 _SIM = {"cosine": "list_cosine_similarity(v, q)", "euclidean": "1 - list_sum(list_transform(list_zip(v, q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))", "dot_product": "1 + list_inner_product(v, q)"}
-_RESTORE = """k AS (SELECT *, list_min(fv) AS mn, list_max(fv) AS mx, CAST(list_max(fv) - list_min(fv) AS FLOAT) AS span FROM c),
+_RESTORE = """k AS (SELECT *, list_min(fv) AS mn, list_max(fv) AS mx, CAST(list_max(fv) - list_min(fv) AS FLOAT) AS span FROM cv),
 z AS (SELECT *, CASE WHEN span < CAST(1.1920928955078125e-07 AS FLOAT) THEN CAST(0 AS FLOAT) ELSE CAST(span / CAST(255 AS FLOAT) AS FLOAT) END AS sc,
   CASE WHEN span < CAST(1.1920928955078125e-07 AS FLOAT) THEN list_transform(fv, lambda x: 128) ELSE list_transform(fv, lambda x: CAST(least(255.0, floor(CAST(CAST((x - mn) * CAST(CAST(255 AS FLOAT) / span AS FLOAT) AS FLOAT) AS DOUBLE) + 0.5)) AS INTEGER)) END AS codes FROM k),
 r AS (SELECT *, list_transform(codes, lambda x: CAST(CAST(mn + CAST(CAST(x AS FLOAT) * sc AS FLOAT) AS FLOAT) AS DOUBLE)) AS rv FROM z)"""
@@ -68,11 +68,11 @@ def _toks(x: str) -> str:
 
 
 def _vec_sql(metric="cosine", where="true", k=10, tail="", extra="") -> str:
-    return f"WITH {_C} SELECT seq, round(score, 6) AS score FROM (SELECT seq, {_SIM[metric]} AS score FROM c, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {k} {extra}) {tail}"
+    return f"WITH {_C} SELECT seq, round(score, 6) AS score FROM (SELECT seq, {_SIM[metric]} AS score FROM cv, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {k} {extra}) {tail}"
 
 
 def _bm_ctes(text: str, where: str = "true") -> str:
-    return f"""t AS (SELECT seq, {_toks("text")} AS w FROM c),
+    return f"""t AS (SELECT seq, {_toks("text")} AS w FROM ct),
 n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS avgdl FROM t),
 qt AS (SELECT t AS term, count(*) AS qtf FROM (SELECT unnest({_toks("'" + text + "'")}) AS t) GROUP BY t),
 tf AS (SELECT seq, dl, term, count(*) AS tf FROM (SELECT seq, len(w) AS dl, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY seq, dl, term),
@@ -90,7 +90,7 @@ _EN = {"must": [{"field": "lang", "op": "eq", "value": "en"}]}
 
 
 def _hyb_sql(method: str, alpha: float = 0.7, k: int = 10, where: str = "true", minimum: float | None = None, sides: str = "both") -> str:
-    v = f"v AS (SELECT seq, {_SIM['cosine']} AS score FROM c, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {0 if sides == 'text' else k})"
+    v = f"v AS (SELECT seq, {_SIM['cosine']} AS score FROM cv, q WHERE {where} ORDER BY score DESC, seq DESC LIMIT {0 if sides == 'text' else k})"
     w = f"w AS (SELECT * FROM (SELECT * FROM bm ORDER BY score DESC, seq DESC LIMIT {0 if sides == 'vector' else k}) WHERE seq IN (SELECT seq FROM c WHERE {where}))"
     if method == "rrf":
         fused = """SELECT seq, list_reduce(list_sort(list(p)), lambda a, b: a + b) AS score FROM (
@@ -133,7 +133,7 @@ def _batch(s, d):
 
 _add("vec_batch_topk", _batch, f"""WITH {_C} SELECT query_id, seq, round(score, 6) AS score FROM (
 SELECT query_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq DESC) AS n FROM (
-SELECT vec_id AS query_id, seq, list_cosine_similarity(v, list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS score FROM c, embeddings)) WHERE n <= 5""")
+SELECT vec_id AS query_id, seq, list_cosine_similarity(v, list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS score FROM cv, embeddings)) WHERE n <= 5""")
 
 
 def _symmetric(s, d):
@@ -155,7 +155,7 @@ _FILTERS: dict[str, tuple[dict, str]] = {
     "flt_eq_int_float_cross": ({"must": [{"field": "quality", "op": "eq", "value": 1.0}]}, "quality = 1"),
     "flt_eq_bool": ({"must": [{"field": "long", "op": "eq", "value": True}]}, "long"),
     "flt_ne_missing_field": ({"must": [{"field": "quality", "op": "ne", "value": 1}]}, "quality <> 1"),
-    "flt_ne_type_mismatch": ({"must": [{"field": "lang", "op": "ne", "value": 5}]}, "true"),
+    "flt_ne_type_mismatch": ({"must": [{"field": "lang", "op": "ne", "value": 5}]}, "lang IS NOT NULL"),
     "flt_gt": ({"must": [{"field": "n_chars", "op": "gt", "value": 1500}]}, "n_chars > 1500"),
     "flt_lt": ({"must": [{"field": "kilo", "op": "lt", "value": 1}]}, "kilo < 1"),
     "flt_gte": ({"must": [{"field": "kilo", "op": "gte", "value": 2.5}]}, "kilo >= 2.5"),
@@ -168,10 +168,10 @@ _FILTERS: dict[str, tuple[dict, str]] = {
 for _name, (_clause, _sql) in _FILTERS.items():
     _add(_name, lambda s, d, c=_clause: collection(s, d).where(compile_filter(c)).select("seq"), f"WITH {_C} SELECT seq FROM c WHERE {_sql}")
 
-_add("txt_tokens", lambda s, d: bm25.doc_terms(texts(s, d)).select("seq", F.posexplode("terms").alias("i", "term")), f"WITH {_C} SELECT seq, CAST(i - 1 AS INTEGER) AS i, w[i] AS term FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, {_toks('text')} AS w FROM c))")
-_add("txt_doc_lengths", lambda s, d: bm25.lengths(texts(s, d)), f"WITH {_C} SELECT seq, CAST(len({_toks('text')}) AS INTEGER) AS dl FROM c")
-_add("txt_postings", lambda s, d: bm25.postings(texts(s, d)), f"WITH {_C} SELECT term, seq, CAST(count(*) AS INTEGER) AS tf FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term, seq")
-_add("txt_df_idf", lambda s, d: bm25.document_frequency(texts(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {_C} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term), (SELECT count(*) AS n FROM c)")
+_add("txt_tokens", lambda s, d: bm25.doc_terms(texts(s, d)).select("seq", F.posexplode("terms").alias("i", "term")), f"WITH {_C} SELECT seq, CAST(i - 1 AS INTEGER) AS i, w[i] AS term FROM (SELECT seq, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT seq, {_toks('text')} AS w FROM ct))")
+_add("txt_doc_lengths", lambda s, d: bm25.lengths(texts(s, d)), f"WITH {_C} SELECT seq, CAST(len({_toks('text')}) AS INTEGER) AS dl FROM ct")
+_add("txt_postings", lambda s, d: bm25.postings(texts(s, d)), f"WITH {_C} SELECT term, seq, CAST(count(*) AS INTEGER) AS tf FROM (SELECT seq, unnest({_toks('text')}) AS term FROM ct) GROUP BY term, seq")
+_add("txt_df_idf", lambda s, d: bm25.document_frequency(texts(s, d)).withColumn("idf", F.round("idf", 6)), f"WITH {_C} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM ct) GROUP BY term), (SELECT count(*) AS n FROM ct)")
 _add("txt_bm25_topk", lambda s, d: rounded(search.keyword_search(texts(s, d), WORDS)), _bm_sql(WORDS))
 _add("txt_bm25_duplicate_terms", lambda s, d: rounded(search.keyword_search(texts(s, d), TEXT)), _bm_sql(TEXT))
 _add("txt_bm25_postfilter", lambda s, d: rounded(search.keyword_search(collection(s, d), TEXT, where={"must": [{"field": "source", "op": "in", "values": ["src1", "src2", "src3", "src4"]}]})), _bm_sql(TEXT, "source IN ('src1', 'src2', 'src3', 'src4')"))
@@ -192,7 +192,7 @@ _add("hyb_filtered", _hyb(method="linear", where=_EN), _hyb_sql("linear", where=
 _add("hyb_min_similarity", _hyb(k=40, min_similarity=0.0135), _hyb_sql("rrf", k=40, minimum=0.0135))
 _add("hyb_one_sided", _hyb(sides="vector"), _hyb_sql("rrf", sides="vector"))
 _add("hyb_text_only", _hyb(sides="text", method="linear"), _hyb_sql("linear", sides="text"))
-_PAGE = f"SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq DESC) AS rank FROM (SELECT seq, {_SIM['cosine']} AS score FROM c, q ORDER BY score DESC, seq DESC LIMIT 25)"
+_PAGE = f"SELECT seq, score, row_number() OVER (ORDER BY score DESC, seq DESC) AS rank FROM (SELECT seq, {_SIM['cosine']} AS score FROM cv, q ORDER BY score DESC, seq DESC LIMIT 25)"
 _add("page_offset", lambda s, d: rounded(search.search(collection(s, d), query_vector(s, d), k=10, offset=15)), f"WITH {_C}, w AS ({_PAGE}) SELECT seq, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM w WHERE rank > 15")
 
 
@@ -209,24 +209,29 @@ _GONE = "(SELECT DISTINCT event_id % 1000 FROM events WHERE event_type = 'purcha
 _add("doc_delete", lambda s, d: collection(s, d).join(_gone(s, d), "id", "left_anti").select("seq"), f"WITH {_C} SELECT seq FROM c WHERE seq NOT IN {_GONE}")
 
 
+def _flag(name: str, value: int):
+    return F.coalesce(F.col("metadata")[name]["i"] == value, F.lit(False))
+
+
 def _changes(s, d) -> DataFrame:
-    """Documents 0, 7, 14 ... shortened, and new ones numbered from a million."""
+    """Documents of bad quality with a longer text, and toxic ones once more, numbered from a million."""
     c = collection(s, d)
-    new = c.where("seq % 7 = 0").withColumn("text", F.reverse(F.left("text", F.lit(40))))
-    return new.unionByName(new.withColumn("id", (F.col("seq") + 1_000_000).cast("string")).withColumn("seq", F.col("seq") + 1_000_000))
+    old = c.where(_flag("quality", 0)).withColumn("text", F.concat(F.lit("changed: "), "text"))
+    new = c.where(_flag("toxic", 1)).withColumn("id", (F.col("seq") + 1_000_000).cast("string")).withColumn("seq", F.col("seq") + 1_000_000)
+    return old.unionByName(new)
 
 
-_add("doc_upsert", lambda s, d: upsert(collection(s, d), _changes(s, d)).select("id", F.length("text").alias("n")), f"""WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CAST(CASE WHEN seq % 7 = 0 THEN least(length(text), 40) ELSE length(text) END AS INTEGER) AS n FROM c
-UNION ALL SELECT CAST(seq + 1000000 AS VARCHAR), CAST(least(length(text), 40) AS INTEGER) FROM c WHERE seq % 7 = 0""")
+_add("doc_upsert", lambda s, d: upsert(collection(s, d), _changes(s, d)).select("id", "text"), f"""WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CASE WHEN quality = 0 THEN 'changed: ' || text ELSE text END AS text FROM c
+UNION ALL SELECT CAST(seq + 1000000 AS VARCHAR), text FROM c WHERE toxic = 1""")
 
 
 def _partial(s, d):
     c = collection(s, d)
-    new = c.where("seq % 5 = 0").select("id", F.lit("new text").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(c.schema["metadata"].dataType).alias("metadata"))
-    return partial_update(c, new).select("id", F.left("text", F.lit(8)).alias("text"), F.size("embedding").alias("dim"))
+    new = c.where(_flag("quality", 1)).select("id", F.lit("new text").alias("text"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast(c.schema["metadata"].dataType).alias("metadata"))
+    return partial_update(c, new).select("id", "text", F.size("embedding").alias("dim"))
 
 
-_add("doc_partial_update", _partial, f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CASE WHEN seq % 5 = 0 THEN 'new text' ELSE left(text, 8) END AS text, CAST(len(fv) AS INTEGER) AS dim FROM c")
+_add("doc_partial_update", _partial, f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, CASE WHEN quality = 1 THEN 'new text' ELSE text END AS text, CAST(len(fv) AS INTEGER) AS dim FROM c")
 
 
 def _log(s, d) -> DataFrame:
@@ -239,25 +244,27 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n F
 
 
 def _stats(s, d):
-    c = collection(s, d).withColumn("deleted", F.col("seq") % 11 == 0)
+    c = collection(s, d).withColumn("deleted", _flag("quality", 0))
     return c.agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("deleted"), F.max(F.size("embedding")).alias("dimension"))
 
 
-_add("col_stats", _stats, f"WITH {_C} SELECT count(*) FILTER (seq % 11 <> 0) AS live, count(*) FILTER (seq % 11 = 0) AS deleted, CAST(max(len(fv)) AS INTEGER) AS dimension FROM c")
-_add("col_memory_estimate", lambda s, d: memory_estimate(collection(s, d)), f"""WITH {_C}, t AS (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM c) GROUP BY term)
-SELECT CAST((SELECT sum(len(fv) + 8 + 2 + 4 + strlen(text) + 16 + 64 * (5 + 2 * (quality IS NOT NULL)::INT) + 64 + 24 + 16) FROM c) + (SELECT sum(strlen(term) + 24 + 8 * df + 24) FROM t) AS BIGINT) AS bytes""")
-_add("col_deletion_ratio", lambda s, d: deletion_ratio(collection(s, d).withColumn("deleted", F.col("seq") % 11 == 0)), f"WITH {_C} SELECT (count(*) FILTER (seq % 11 = 0))::DOUBLE / count(*) AS ratio FROM c")
+_add("col_stats", _stats, f"WITH {_C} SELECT count(*) FILTER (quality IS DISTINCT FROM 0) AS live, count(*) FILTER (quality = 0) AS deleted, CAST(max(len(fv)) AS INTEGER) AS dimension FROM c")
+_add("col_memory_estimate", lambda s, d: memory_estimate(collection(s, d)), f"""WITH {_C}, t AS (SELECT term, count(DISTINCT seq) AS df FROM (SELECT seq, unnest({_toks('text')}) AS term FROM ct) GROUP BY term)
+SELECT CAST((SELECT sum(coalesce(len(fv), 0) + 8 + 2 + 4 + coalesce(strlen(text), 0) + 16 + 64 * ((lang IS NOT NULL)::INT + (source IS NOT NULL)::INT + (kilo IS NOT NULL)::INT + (long IS NOT NULL)::INT + (n_chars IS NOT NULL)::INT
+  + (quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT) + 64 + 24 + 16) FROM c) + (SELECT sum(strlen(term) + 24 + 8 * df + 24) FROM t) AS BIGINT) AS bytes""")
+_add("col_deletion_ratio", lambda s, d: deletion_ratio(collection(s, d).withColumn("deleted", _flag("quality", 0))), f"WITH {_C} SELECT (count(*) FILTER (quality = 0))::DOUBLE / count(*) AS ratio FROM c")
 _add("col_scope_filter", lambda s, d: read(s, d, "nation").select(F.lower("n_name").alias("name")).where(access.scope(F.col("name"), ["nation_1*", "nation_7", "*nothing"])), "SELECT lower(n_name) AS name FROM nation WHERE starts_with(lower(n_name), 'nation_1') OR lower(n_name) = 'nation_7'")
 
 
 def _broken(s, d):
     c = collection(s, d)
-    twice = c.where("seq % 50 = 0").unionByName(c.where("seq % 75 = 0").withColumn("embedding", F.slice("embedding", 1, 10)))
+    twice = c.where(_flag("quality", 0)).unionByName(c.where(_flag("toxic", 1)).withColumn("embedding", F.slice("embedding", 1, 10)))
     return integrity(c.unionByName(twice), 64)
 
 
-_add("col_integrity_check", _broken, f"""WITH {_C} SELECT 'duplicate_id' AS problem, count(*) AS n FROM c WHERE seq % 50 = 0 OR seq % 75 = 0
-UNION ALL SELECT 'wrong_dimension', count(*) FROM c WHERE seq % 75 = 0 UNION ALL SELECT 'not_finite', 0 UNION ALL SELECT 'missing_field', 0""")
+_add("col_integrity_check", _broken, f"""WITH {_C}, x AS (SELECT seq, text, fv, 64 AS n FROM c UNION ALL SELECT seq, text, fv, 64 FROM c WHERE quality = 0 UNION ALL SELECT seq, text, fv, 10 FROM c WHERE toxic = 1)
+SELECT 'duplicate_id' AS problem, count(*) AS n FROM (SELECT seq FROM x GROUP BY seq HAVING count(*) > 1)
+UNION ALL SELECT 'wrong_dimension', count(*) FROM x WHERE fv IS NOT NULL AND n <> 64 UNION ALL SELECT 'not_finite', 0 UNION ALL SELECT 'missing_field', count(*) FROM x WHERE text IS NULL OR fv IS NULL""")
 _add("ops_metrics", lambda s, d: observe.metrics(read(s, d, "events").select(F.col("event_type").alias("op"), (F.col("user_id") % 3).cast("string").alias("collection"), "value"), "value"), """SELECT CAST(user_id % 3 AS VARCHAR) AS collection, event_type AS op, count(*) AS requests, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
 
 
@@ -280,4 +287,5 @@ def _pq(s, d):
 
 _add("ann_ivf_topk", _ivf)
 _add("ann_recall", _recall)
-_add("pq_adc_topk", _pq)
+# every row that its code error lets reach the k-th score is reranked, so the result is that of the exact search
+_add("pq_adc_topk", _pq, _vec_sql())
