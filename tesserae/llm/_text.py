@@ -6,7 +6,8 @@ With ``punct=True`` maximal runs of other visible characters are tokens too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,22 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def released(run: Callable) -> Callable:
+    """``run`` over batches; when its task ends, the worker, which goes on living, gives freed memory back to the system."""
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # a C library without it
+                pass
+
+    return run_and_release
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> U64(30))
