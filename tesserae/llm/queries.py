@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.scratch import new_path
 from . import chunks, katz, maxscore, mixing, near, pieces, quality, repeats, secrets, toxicity
 
 
@@ -14,7 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(_table(spark, sf_dir, "documents"))
+    """A scan by the first versions of the rules, then one by the present: it looks only at the pairs of the two that changed."""
+    docs, ledger = _table(spark, sf_dir, "documents"), new_path(spark, "blob-ledger")
+    secrets.update(docs, ledger, secrets.FIRST_RULES)
+    return secrets.scan(docs, ledger)
 
 
 def op2_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
