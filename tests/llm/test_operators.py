@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import chunks, katz, maxscore, mixing, near, pieces, quality, repeats, secrets, toxicity
 from tesserae.llm._text import Tokens, buffers
@@ -59,6 +61,30 @@ def test_secrets(spark, odd, tmp_path):
     assert secrets.redact(odd).count() == odd.count() and secrets.scan(odd.limit(0)).count() == 0
 
 
+def test_ledger_keeps_paths_and_scans_only_what_is_new(spark, odd, tmp_path):
+    ledger, key = f"file://{tmp_path}/ledger", "AKIA" + "Z1" * 8
+    rule = secrets.Rule("aws_access_key", 1, r"AKIA[0-9A-Z]{16}", ("AKIA",))
+    wide = secrets.Rule("aws_access_key", 2, r"AKIA[0-9A-Za-z]{10,}", ("AKIA",))
+    scanned = lambda: sorted((r.rule, r.version) for r in spark.read.parquet(f"{ledger}/scanned").collect())
+    got = lambda rules: sorted((r.doc_id, r.hint, r.secret_sha256) for r in secrets.findings(spark, ledger, rules).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    secrets.update(frame(spark, [f"a {key}", "AKIAlowercase1"], [1, 2]), ledger, (rule,))
+    assert got((rule,)) == [(1, "AKIA", sha(key))]
+    # the document is clean now, and another one holds its old text: both paths are told, and the blob isn't scanned again
+    secrets.update(frame(spark, ["clean", f"a {key}"], [1, 3]), ledger, (rule,))
+    assert got((rule,)) == [(1, "AKIA", sha(key)), (3, "AKIA", sha(key))] and scanned() == [("aws_access_key", 1)] * 3
+    # a new version of the rule looks at what it is given again; elsewhere the last version seen still counts
+    secrets.update(frame(spark, ["AKIAlowercase1"], [2]), ledger, (wide,))
+    assert scanned() == [("aws_access_key", 1)] * 3 + [("aws_access_key", 2)]
+    assert got((wide,)) == [(1, "AKIA", sha(key)), (2, "AKIA", sha("AKIAlowercase1")), (3, "AKIA", sha(key))]
+    # ids of other kinds, repeated rows, nulls and clashing columns
+    other = frame(spark, [f"x {key}", f"x {key}", None, ""], [7, 7, 8, 9])
+    assert [r.doc_id for r in secrets.scan(other.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))).collect()] == ["id-7"]
+    assert [r.doc_id for r in secrets.scan(other.withColumn("doc_id", F.col("doc_id").cast("int"))).collect()] == [7]
+    assert secrets.scan(odd).count() == 0 and secrets.redact(odd.limit(0)).count() == 0
+    assert [r.doc_id for r in secrets.scan(frame(spark, [f"x {key}"], [None])).collect()] == [None]
+
+
 def test_whole_keys_and_any_assignment(spark):
     key = lambda c: f"-----BEGIN RSA PRIVATE KEY-----\n{c * 64}\n{c * 20}==\n-----END RSA PRIVATE KEY-----"
     value = "Zq3" * 6
@@ -307,6 +333,46 @@ def test_near(spark, odd):
     assert near.groups(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [3, 8000])
+def test_near_links_and_blocks(spark, block):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(4):
+        base = prose(rng, 120, 3000).split()
+        for _ in range(9):
+            texts.append(" ".join(w if rng.random() > 0.06 else f"z{rng.randrange(9999)}" for w in base))
+    texts += texts[:5] * 2 + [prose(rng, 100, 3000) for _ in range(5)]
+    p = near.Params(block=block)
+    rows, sig = near.signature(*buffers(pa.array(texts)), p)
+    near_by = (sig[:, None] == sig[None]).sum(2) >= p.matches
+    got = {r.doc_id: r for r in near.groups(frame(spark, texts), p).collect()}
+    group = {i: {i} for i in range(len(texts))}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if near_by[i, j] and group[i] is not group[j]:
+            group[i] |= group[j]
+            for x in group[j]:
+                group[x] = group[i]
+    want = {i: (min(group[i]), len(group[i]), int(near_by[i].sum()) - 1) for i in group if i != min(group[i])}
+    assert {i: (r.kept_id, r.n, r.links) for i, r in got.items()} == want and 0 < len(want) < len(texts)
+
+
+def test_near_list_without_pairs_and_versions(spark):
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 32, (20_000, 64), dtype=np.uint32)
+    sig[:, 5] = 7  # one coordinate in common, which is no pair
+    sig[19_999, :40] = sig[3, :40]
+    began = time.time()
+    assert near.links(np.arange(20_000), sig, 33) == [(3, 19_999)] and time.time() - began < 60
+    text, other = prose(random.Random(1), 60), prose(random.Random(2), 60)
+    docs = frame(spark, [text, other, text, text, None, None, ""], [1, 1, 2, 2, 3, 3, 4])
+    kept = sorted((r.doc_id, r.text) for r in near.keep_one(docs).collect() if r.text)
+    assert kept == sorted([(1, text), (1, other)]) and near.keep_one(docs).count() == 4
+    for kind in ("string", "int"):
+        same = docs.withColumn("doc_id", F.col("doc_id").cast(kind))
+        assert {(r.doc_id, r.kept_id) for r in near.groups(same).collect()} in ({("2", "1")}, {("1", "2")}, {(2, 1)})
+        assert near.keep_one(same).schema == same.schema and near.keep_one(same).count() == 4
+
+
 def test_pieces(spark, odd):
     texts = ["Hello world, naïve ▁ snowman ☃\n\n  two  spaces ", "", "abc" * 300, "².x\t\x00"]
     p = pieces.Params()
