@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._text import Tokens, slices
+from ._ids import numbered
+from ._text import Tokens, released, slices
 
 _SLACK = 2e-6  # scores are compared after rounding to six decimals
 
@@ -66,7 +67,7 @@ def _count(q):
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [docs, words]))], ["term", "n"])
 
-    return run
+    return released(run)
 
 
 class Shard:
@@ -82,7 +83,8 @@ class Shard:
         self.first = np.searchsorted(term, np.arange(len(queries.terms) + 1))
         self.bound = np.zeros(len(queries.terms))
         np.maximum.at(self.bound, term, self.score)
-        self.ids, self.p, self.n = ids, p, n
+        self.ids, self.p = ids, p
+        self.total, self.seen = np.zeros(n), np.zeros(n, bool)  # of one query at a time; only what it touches is cleared
 
     def list(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         s = slice(self.first[term], self.first[term + 1])
@@ -104,12 +106,15 @@ class Shard:
         split = int(np.searchsorted(reach, floor - _SLACK, "left"))  # below it: non-essential
         if split == len(order):
             return np.zeros(0, np.int64), np.zeros(0)
-        total, seen = np.zeros(self.n), np.zeros(self.n, bool)
+        total, seen, parts = self.total, self.seen, []
         for x in order[split:]:
             d, s = self.list(terms[x])
+            new = d[~seen[d]]
+            total[new], seen[new] = 0, True
             total[d] += s * counts[x]
-            seen[d] = True
-        docs = np.flatnonzero(seen)
+            parts.append(new)
+        docs = np.concatenate(parts)
+        seen[docs] = False
         for k in range(split - 1, -1, -1):
             docs = docs[total[docs] + reach[k] >= floor - _SLACK]
             total[docs] += self.probe(terms[order[k]], docs) * counts[order[k]]
@@ -146,7 +151,7 @@ def _search(q, stats, p: Params):
             if len(ids):
                 yield pa.record_batch([pa.array(np.full(len(ids), queries.ids[n], np.int64)), pa.array(ids), pa.array(scores)], ["query_id", "doc_id", "score"])
 
-    return run
+    return released(run)
 
 
 def search(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, p: Params = Params()) -> DataFrame:
@@ -154,12 +159,15 @@ def search(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str,
 
     Every row of ``queries`` with an id and text is a query; repeated ids are searched once, with the least of their texts.
     Rows of ``docs`` with a null id or text are no documents; empty texts count in the statistics; repeated rows are
-    documents of their own. A query without a word of the corpus has no rows.
+    documents of their own. A query without a word of the corpus has no rows. Ids of documents may be of any kind.
 
     Queries are sent to the tasks in batches of ``query_batch``, so what is broadcast does not grow with their number.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").dropna()
+    return numbered(docs.select("doc_id", "text").dropna(), lambda rows: _ranked(rows, queries, query_id, query_text, p), "doc_id")
+
+
+def _ranked(rows: DataFrame, queries: DataFrame, query_id: str, query_text: str, p: Params) -> DataFrame:
+    spark = rows.sparkSession
     asked = queries.select(F.col(query_id).cast("bigint").alias("id"), F.col(query_text).alias("q")).dropna().groupBy("id").agg(F.min("q").alias("q"))
     parts = -(-asked.count() // p.query_batch) or 1
     out = None
@@ -179,12 +187,12 @@ def search(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str,
 
 _FOLD = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x80-\\x{{10ffff}}]+')"
 SEARCH_SQL = f"""
-WITH d AS (SELECT doc_id, {_FOLD.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_FOLD.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
-tf AS (SELECT doc_id, any_value(l) AS l, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS l, unnest(w) AS t FROM d) GROUP BY doc_id, t),
+tf AS (SELECT row, doc_id, l, t, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS l, unnest(w) AS t FROM d) GROUP BY row, doc_id, l, t),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 q AS (SELECT id, t, count(*) AS c FROM (SELECT id, unnest({_FOLD.format("q")}) AS t FROM (SELECT item_id AS id, min(text) AS q FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id)) GROUP BY id, t),
 r AS (SELECT id, doc_id, round(sum(c * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score
-  FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY id, doc_id)
+  FROM q JOIN tf USING (t) JOIN df USING (t), s GROUP BY id, row, doc_id)
 SELECT id AS query_id, doc_id, CAST(rank AS INTEGER) AS rank, score
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10"""

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ._ids import is_integer
 
 DIMS = ("source", "lang", "topic")
 
@@ -25,7 +25,6 @@ class Params:
     rounds: int = 25
     fraction: float = 0.8
     seed: str = "mix-1"
-    driver_cells: int = 2_000_000
 
 
 def with_cells(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -37,7 +36,7 @@ def with_cells(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     topics = embeddings.select(F.col("vec_id").alias("__vec"), F.col("label").alias("__label")).dropna().groupBy("__vec").agg(F.min("__label").alias("__label"))
     # tokens are counted before the join, so that the text itself moves only if it is asked for
     rows = docs.withColumn("__tokens", F.coalesce(F.regexp_count("text", F.lit(r"[^ \t\n\r\f]+")), F.lit(0)).cast("bigint"))
-    return rows.join(topics, F.col("doc_id") == F.col("__vec"), "left").select(
+    return rows.join(topics, F.col("doc_id").cast("string") == F.col("__vec").cast("string") if not is_integer(docs) else F.col("doc_id") == F.col("__vec"), "left").select(
         *docs.columns, F.coalesce("source", F.lit("none")).alias("__source"), F.coalesce("lang", F.lit("none")).alias("__lang"),
         F.coalesce(F.col("__label").cast("string"), F.lit("none")).alias("__topic"), "__tokens",
     )
@@ -49,71 +48,45 @@ def cell_table(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
     return cells.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMS]).agg(F.sum("__tokens").alias("tokens")).where("tokens > 0")
 
 
-def _targets(tokens: np.ndarray, codes: list[np.ndarray], p: Params) -> list[np.ndarray]:
-    out = []
-    for code, power in zip(codes, p.power):
-        share = np.bincount(code, weights=tokens) / tokens.sum()
-        share = share**power
-        out.append(share / share.sum() * tokens.sum())
-    return out
-
-
-def _scale(tokens: np.ndarray, factor: np.ndarray, wanted: float) -> float:
-    """s with sum(tokens * min(1, s * factor)) = wanted: the largest factors are capped at probability 1, first to last."""
-    order = np.lexsort((tokens, -factor))
-    f, t = factor[order], tokens[order]
-    done = np.concatenate([[0.0], np.cumsum(t)[:-1]])
-    rest = np.cumsum((t * f)[::-1])[::-1]
-    s = (wanted - done) / rest
-    ok = np.flatnonzero(s * f <= 1)
-    return float(s[ok[0]]) if len(ok) else float("inf")
-
-
 def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     """(source, lang, topic, tokens, factor, probability) of each cell. An empty table gives an empty one.
 
-    The cells, not the documents, go to the driver, and only while there are at most ``driver_cells``; beyond that every
-    round is a Spark job over the table.
+    Every round is Spark sums over the cells, which never go to the driver; it sees single numbers alone.
     """
-    spark = cells.sparkSession
-    schema = "source string, lang string, topic string, tokens bigint, factor double, probability double"
-    if cells.count() > p.driver_cells:
-        return _rake_spark(cells, p)
-    rows = sorted(tuple(r) for r in cells.select(*DIMS, "tokens").collect())
-    if not rows:
-        return spark.createDataFrame([], schema)
-    tokens = np.array([r[3] for r in rows], float)
-    codes = [np.unique([r[k] for r in rows], return_inverse=True)[1] for k in range(3)]
-    targets, w = _targets(tokens, codes, p), tokens.copy()
-    for _ in range(p.rounds):
-        for code, target in zip(codes, targets):
-            w *= (target / np.bincount(code, weights=w))[code]
-    factor = w / tokens
-    probability = np.minimum(1.0, factor * _scale(tokens, factor, p.fraction * tokens.sum()))
-    return spark.createDataFrame([(*r, float(f), float(q)) for r, f, q in zip(rows, factor, probability)], schema)
-
-
-def _rake_spark(cells: DataFrame, p: Params) -> DataFrame:
-    total = F.lit(float(cells.agg(F.sum("tokens")).first()[0]))
-    table = cells.withColumn("w", F.col("tokens").cast("double"))
-    targets = []
+    cells = materialize(cells.select(*DIMS, F.col("tokens").cast("double").alias("tokens")), "cells")
+    total = cells.agg(F.sum("tokens")).first()[0]
+    if not total:
+        return cells.select(*DIMS, F.col("tokens").cast("bigint").alias("tokens"), F.lit(1.0).alias("factor"), F.lit(1.0).alias("probability"))
+    table = cells
     for d, power in zip(DIMS, p.power):
-        share = cells.groupBy(d).agg(F.pow(F.sum("tokens") / total, F.lit(power)).alias("share"))
-        targets.append(materialize(share.crossJoin(F.broadcast(share.agg(F.sum("share").alias("all")))).select(d, (F.col("share") / F.col("all") * total).alias("target")), "targets"))
-    for _ in range(p.rounds):
-        for d, target in zip(DIMS, targets):
+        share = cells.groupBy(d).agg(F.pow(F.sum("tokens") / F.lit(total), F.lit(power)).alias("share"))
+        norm = share.agg(F.sum("share")).first()[0]
+        table = table.join(share.select(d, (F.col("share") / F.lit(norm) * F.lit(total)).alias(f"target_{d}")), d)
+    # a cell's weight is its tokens by a factor of each dimension, so a step needs the sums of one dimension alone
+    table = materialize(table.withColumn("w", F.col("tokens")), "raked")
+    for r in range(p.rounds):
+        for d in DIMS:
             now = table.groupBy(d).agg(F.sum("w").alias("now"))
-            table = table.join(now.join(target, d), d).withColumn("w", F.col("w") * F.col("target") / F.col("now")).select(*DIMS, "tokens", "w")
+            table = table.join(now, d).withColumn("w", F.col("w") * F.col(f"target_{d}") / F.col("now")).drop("now")
         table = materialize(table, "raked")
-    table = table.withColumn("factor", F.col("w") / F.col("tokens"))
-    low, high, wanted = 0.0, 1.0, p.fraction * cells.agg(F.sum("tokens")).first()[0]
-    drawn = lambda s: table.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * s))).first()[0]
-    while drawn(high) < wanted and high < 1e12:
-        high *= 2
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if drawn(mid) < wanted else (low, mid)
-    return table.select(*DIMS, "tokens", "factor", F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
+    table = materialize(table.select(*DIMS, "tokens", (F.col("w") / F.col("tokens")).alias("factor")), "factors")
+    s = _scale(table, p.fraction * total)
+    return table.select(*DIMS, F.col("tokens").cast("bigint").alias("tokens"), "factor", F.least(F.lit(1.0), F.col("factor") * F.lit(s)).alias("probability"))
+
+
+def _scale(table: DataFrame, wanted: float) -> float:
+    """s with sum(tokens * min(1, s * factor)) = wanted.
+
+    Each step caps at probability 1 the cells that the scale so far would carry over it, and scales what is left; the
+    capped ones only grow, so it ends, usually after a few sums.
+    """
+    s, capped = 0.0, -1
+    while True:
+        over = F.col("factor") * F.lit(s) > 1
+        n, done, rest = table.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("tokens"))), F.lit(0.0)), F.sum(F.when(~over, F.col("tokens") * F.col("factor")))).first()
+        if n == capped or not rest:
+            return s
+        s, capped = (wanted - done) / rest, n
 
 
 def uniform(column, seed: str):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Tokens, mix, ngrams, slices
+from ._text import Tokens, mix, ngrams, released, slices
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def _gather(bits: int):
                 idx, cut = idx[order].astype(np.uint32), np.searchsorted(row[order], np.arange(j - i + 1))
                 yield pa.record_batch([y.slice(i, j - i), pa.array([idx[cut[k] : cut[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["label", "idx"])
 
-    return run
+    return released(run)
 
 
 class Ftrl:
@@ -118,7 +118,10 @@ def probabilities(column: pa.Array, weights: np.ndarray, bits: int) -> np.ndarra
 
 
 def score(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFrame:
-    """(doc_id, quality) for every row; a null or empty text gets the probability of the bias alone. Repeated rows repeat."""
+    """(doc_id, quality) for every row; a null or empty text gets the probability of the bias alone. Repeated rows repeat.
+
+    Ids of any kind, null too, pass as they are; an empty table gives an empty one.
+    """
     w = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits floats, whatever the input
     bits = p.bits
 
@@ -126,11 +129,15 @@ def score(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFra
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(np.round(probabilities(b.column(1), w.value, bits), 6))], ["doc_id", "quality"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, quality double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality double")
 
 
 def keep_good(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> DataFrame:
-    """The rows of ``docs``, all columns, whose probability reaches the threshold. Rows without a text have nothing to train on and go."""
+    """The rows of ``docs``, all columns, whose probability reaches the threshold, ties with it too.
+
+    Rows without a text have nothing to train on and go; an empty text has the probability of the bias alone. Repeated rows
+    stay or go together, null ids are no matter, and an empty table gives an empty one.
+    """
     w = docs.sparkSession.sparkContext.broadcast(weights)
     bits, threshold, at = p.bits, p.threshold, docs.columns.index("text")
 
@@ -138,4 +145,4 @@ def keep_good(docs: DataFrame, weights: np.ndarray, p: Params = Params()) -> Dat
         for b in batches:
             yield b.filter(pa.array(probabilities(b.column(at), w.value, bits) >= threshold))
 
-    return docs.where(F.col("text").isNotNull()).mapInArrow(run, docs.schema)
+    return docs.where(F.col("text").isNotNull()).mapInArrow(released(run), docs.schema)

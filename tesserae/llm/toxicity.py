@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Tokens, slices
+from ._text import Tokens, released, slices
 from .quality import labelled
 
 
@@ -75,7 +75,7 @@ def _gather(bits: int):
                 cut = [slice(first[k], first[k + 1]) for k in range(j - i)]
                 yield pa.record_batch([b.column("label").slice(i, j - i), pa.array([idx[c].tobytes() for c in cut], pa.binary()), pa.array([x[c].tobytes() for c in cut], pa.binary())], ["label", "idx", "x"])
 
-    return run
+    return released(run)
 
 
 def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], p: Params) -> Model:
@@ -137,7 +137,10 @@ def probabilities(column: pa.Array, m: Model, bits: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
-    """(doc_id, toxicity) for every row; a null or empty text gets the probability of the bias alone. Repeated rows repeat."""
+    """(doc_id, toxicity) for every row; a null or empty text gets the probability of the bias alone. Repeated rows repeat.
+
+    Ids of any kind, null too, pass as they are; an empty table gives an empty one.
+    """
     m = docs.sparkSession.sparkContext.broadcast(model)
     bits = p.bits
 
@@ -145,9 +148,9 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(np.round(probabilities(b.column(1), m.value, bits), 6))], ["doc_id", "toxicity"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, toxicity double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxicity double")
 
 
 def toxic(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
-    """The rows of ``score`` from the threshold on; a document without a word is never among them."""
+    """The rows of ``score`` from the threshold on; a null or empty text is never among them."""
     return score(docs.where(F.length("text") > 0), model, p).where(F.col("toxicity") >= p.threshold)

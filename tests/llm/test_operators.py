@@ -250,6 +250,21 @@ def test_maxscore(spark, odd):
         want |= {(i, d, n + 1) for n, (_, d) in enumerate(sorted(scores)[:10])}
     for batch in (5000, 4):
         assert {(r.query_id, r.doc_id, r.rank) for r in maxscore.search(frame(spark, texts), queries, "q", "t", maxscore.Params(query_batch=batch)).collect()} == want
+    # repeated ids are documents of their own, nulls none, empty texts count; as in the SQL
+    rows = [(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "alpha"), (3, ""), (3, None), (None, "alpha")]
+    some = spark.createDataFrame(rows, "doc_id bigint, text string")
+    asked = spark.createDataFrame([(7, "alpha beta"), (7, "zeta"), (8, None), (9, "")], "item_id bigint, text string")
+    import duckdb
+
+    con = duckdb.connect()
+    for name, df in (("documents", some), ("benchmark", asked)):
+        con.register(name, df.toPandas().astype({df.columns[0]: "Int64"}))
+    want = sorted(con.execute(maxscore.SEARCH_SQL).fetchall())
+    assert sorted(tuple(r) for r in maxscore.search(some, asked, "item_id", "text").collect()) == want and len(want) == 3
+    for kind in ("string", "int"):
+        found = maxscore.search(some.withColumn("doc_id", F.col("doc_id").cast(kind)), asked, "item_id", "text")
+        assert [(r[0], int(r.doc_id), *r[2:]) for r in found.orderBy("rank").collect()] == want and found.schema["doc_id"].dataType.simpleString() == kind
+    assert maxscore.search(odd, queries, "q", "t").count() == 0
     assert maxscore.search(odd.limit(0), queries, "q", "t").count() == 0 and maxscore.search(odd, queries.limit(0), "q", "t").count() == 0
 
 
@@ -291,9 +306,26 @@ def test_mixing(spark, odd):
             now[r[k]] += r.tokens * r.factor / total
         norm = sum(x**power for x in share.values())
         assert all(now[x] == pytest.approx(share[x] ** power / norm, abs=1e-6) for x in share)
-    slow = {tuple(r)[:3]: r.probability for r in mixing.rake(cells, mixing.Params(rounds=2, driver_cells=0)).collect()}
-    fast = {tuple(r)[:3]: r.probability for r in mixing.rake(cells, mixing.Params(rounds=2)).collect()}
-    assert slow.keys() == fast.keys() and all(slow[x] == pytest.approx(fast[x], abs=1e-6) for x in slow)
+    w = {tuple(r)[:3]: float(r.tokens) for r in raked}
+    aim = [collections.Counter() for _ in p.power]
+    for key, n in list(w.items()):
+        for k in range(3):
+            aim[k][key[k]] += n / total
+    aim = [{x: v**power / sum(u**power for u in c.values()) * total for x, v in c.items()} for c, power in zip(aim, p.power)]
+    for _ in range(p.rounds):  # the rounds by hand
+        for k in range(3):
+            now = collections.Counter()
+            for key, n in w.items():
+                now[key[k]] += n
+            w = {key: n * aim[k][key[k]] / now[key[k]] for key, n in w.items()}
+    assert all(r.factor == pytest.approx(w[tuple(r)[:3]] / r.tokens, rel=1e-9) for r in raked)
+    low, high = 0.0, 1e6  # the scale by bisection
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(r.tokens * min(1, mid * r.factor) for r in raked) < p.fraction * total else (low, mid)
+    assert all(r.probability == pytest.approx(min(1, high * r.factor), rel=1e-9) for r in raked)
+    weighed = mixing.sample(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), emb.withColumn("vec_id", F.concat(F.lit("d"), "vec_id")), weights=True)
+    assert 0 < weighed.count() < 400 and mixing.sample(docs.unionByName(docs), emb.unionByName(emb)).count() % 2 == 0
     assert mixing.sample(odd, emb).columns == odd.columns and mixing.sample(odd.limit(0), emb).count() == 0
 
 
