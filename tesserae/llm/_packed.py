@@ -9,13 +9,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ._text import released
 
-def buckets(spark: SparkSession) -> int:
-    """Four buckets a shuffle partition, a power of two: the setting that follows the data bounds what a bucket holds."""
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return 1 << max(4, (n - 1).bit_length())
+
+def buckets(docs: DataFrame, size: int = 4 << 20) -> int:
+    """How many buckets bound what each holds: one for ``size`` bytes of input, a power of two."""
+    spark = docs.sparkSession
+    total = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # where Spark can't tell the size, the number of shuffle partitions follows the data
+    n = -(-total // size) if total < spark._jvm.Long.MAX_VALUE else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << min(23, max(4, (n - 1).bit_length()))
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -60,4 +65,4 @@ def exchange(rows: DataFrame, reduce: Callable[[int, list[dict]], Iterator[pa.Re
         if held:
             yield from reduce(bucket, held)
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(run, schema)
+    return rows.repartition("bucket").sortWithinPartitions("bucket", *order).mapInArrow(released(run), schema)

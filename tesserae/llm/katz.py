@@ -4,54 +4,85 @@
              = a(h) P(w | h')             otherwise; h' is h without its first word
     P(w)     = d'(c) c(w) / N             if the word was seen, else the mass that discounting left for unknown words
 
-d are Good-Turing discounts, for each order, of counts up to ``k``; a(h) makes each distribution sum to exactly 1. Counts live
-in a table for each order, partitioned by bucket, words by their own hash and n-grams by that of their context. A task sends
-packed arrays to the buckets: every distinct n-gram of a block of documents once, with the documents that hold it. Scoring asks
-the buckets of the highest order first and passes on to those of the next lower what they have not seen.
+d are Good-Turing discounts, for each order, of counts up to ``k``; a(h) makes each distribution sum to exactly 1. All n-grams
+whose context ends in the same word have one home bucket, where lower orders are sums of higher ones and backoff from order
+to order needs no shuffle. Context words of more than ``share`` of all words are hot: there are at most 1 / share of them, and
+their n-grams live by the last two words instead, but for their bigrams, which live with the word that follows. A bucket is a
+row of packed arrays in a table; a task sends every distinct n-gram of a block of documents once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ._ids import numbered
 from ._packed import ascending, bounds, buckets, exchange, planes, unascending, unplanes
-from ._text import Tokens, pair, slices
+from ._text import Tokens, pair, released, slices
 
 U64 = np.uint64
 BEGIN = U64(0x2545F4914F6CDD1D)  # stands for each word before the first
+WORD, HOT, GRAM, BACK, LOOK, FALL, SUM = range(1, 8)  # kinds of rows
+_NAMES = ["kind", "bucket", "words", "at", "n", "many", "doc", "ids", "x"]
+_ROWS = "kind int, bucket int, words binary, at binary, n binary, many binary, doc binary, ids binary, x binary"
+_KIND = 1 << 24  # where kinds are counted together, their buckets are numbered apart
 
 
 @dataclass(frozen=True)
 class Params:
     """Counts above ``k`` are not discounted; ``block`` bytes of text are counted before they are sent; ``order`` words at most
-    make an n-gram."""
+    make an n-gram; words of more than ``share`` of all are hot; look-ups go out in ``parts``, by home, one after the other."""
 
     k: int = 5
     block: int = 3 << 20
     order: int = 2
+    share: float = 1 / 256
+    parts: int = 3
+
+
+class HotWords:
+    """The hot context words, numbered from 1; the begin of a text is one of them. Never more than 1 / share + 1."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.sort(words)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of words, 0 for those that aren't hot."""
+        at = np.minimum(np.searchsorted(self.words, x), len(self.words) - 1)
+        return np.where(self.words[at] == x, at + 1, 0)
 
 
 @dataclass
 class Model:
-    """``words`` (bucket, w, p) and, for each order from 2, ``grams`` (bucket, ctx, size, words, at, p, back), packed; ``unknown``
-    is log10 of P(unknown)."""
+    """Tables of packed rows: ``words`` and bigrams of hot words (WORD, HOT), n-grams and backoff weights (GRAM, BACK).
 
+    The rest is of bounded size: discounts by order, the hot words with the probability of each as a word, its total and
+    backoff weight as a context, and the counts of bigrams of two of them.
+    """
+
+    order: int
+    buckets: int
     words: DataFrame
-    grams: list[DataFrame]
+    grams: DataFrame
+    d: dict[int, np.ndarray]
+    denominator: float
     unknown: float
-    buckets: int
+    hot: HotWords
+    total: np.ndarray = field(default_factory=lambda: np.ones(1))
+    back: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    word: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    both: np.ndarray = field(default_factory=lambda: np.zeros((1, 1)))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ctx, w, doc, ids) of about ``size`` bytes of whole documents at a time; ctx[:, m] names the m + 1 words before each."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(c, doc, ids) of about ``size`` bytes of whole documents at a time; c[:, 0] are words, c[:, m] the m-th words before."""
     held: list[tuple] = []
     n = docs = 0
     for b in batches:
@@ -59,13 +90,13 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator
         for i, j, data, offsets in slices(b.column(1), 1 << 20):
             t = Tokens(data, offsets)
             place = np.arange(len(t.hash)) - t.first[t.doc]
-            ctx = np.empty((len(t.hash), order - 1), np.uint64)
-            for m in range(order - 1):
-                back = np.full(len(t.hash), BEGIN)
-                back[m + 1 :] = t.hash[: max(0, len(t.hash) - m - 1)]
-                back[place <= m] = BEGIN
-                ctx[:, m] = pair(ctx[:, m - 1], back) if m else back
-            held.append((ctx, t.hash, t.doc + docs, ids[i:j]))
+            c = np.empty((len(t.hash), order), np.uint64)
+            c[:, 0] = t.hash
+            for m in range(1, order):
+                c[:m, m] = BEGIN
+                c[m:, m] = t.hash[: max(0, len(t.hash) - m)]
+                c[place < m, m] = BEGIN
+            held.append((c, t.doc + docs, ids[i:j]))
             n, docs = n + len(data), docs + j - i
             if n >= size:
                 yield tuple(np.concatenate(x) for x in zip(*held))
@@ -74,89 +105,138 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """First places of the distinct tuples of sorted parallel arrays."""
-    if not len(keys[0]):
-        return np.zeros(0, np.int64)
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.flatnonzero(new)
+def context(c: np.ndarray, m: int) -> np.ndarray:
+    """Names of the m - 1 words before each."""
+    x = c[:, 1]
+    for j in range(2, m):
+        x = pair(x, c[:, j])
+    return x
+
 
+def _in(key: np.ndarray, count: int) -> np.ndarray:
+    return (key >> U64(64 - (count.bit_length() - 1))).astype(np.int64)
 
-def _pack_pairs(ctx: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Sorted (ctx, w): distinct contexts, how many words each has, distinct words, and the place of each in them."""
-    head = _runs(ctx)
-    words, at = np.unique(w, return_inverse=True)
-    return ascending(ctx[head]), planes(np.diff(np.append(head, len(ctx))).astype(np.uint32)), ascending(words), planes(at.astype(np.uint32))
 
+def _homes(c: np.ndarray, hot: HotWords, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the last context word, 0 unless hot, and the home bucket of each n-gram; -1 for bigrams of hot words."""
+    h, key = hot.of(c[:, 1]), c[:, 1].copy()
+    if c.shape[1] > 2:
+        key[h > 0] = pair(c[h > 0, 1], c[h > 0, 2])
+    home = _in(key, count)
+    return h, np.where(h > 0, -1, home) if c.shape[1] == 2 else home
 
-def _unpack_pairs(r: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(unascending(r["ctx"]), unplanes(r["size"], np.uint32)), unascending(r["words"])[unplanes(r["at"], np.uint32)]
 
+def _pack(c: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+    """Distinct words of a matrix, the place of each element in them, column by column, and the order in which rows are packed."""
+    words, at = np.unique(c, return_inverse=True)
+    at = at.reshape(c.shape)
+    order = np.lexsort([at[:, k] for k in (0, *range(c.shape[1] - 1, 0, -1))])
+    return ascending(words), planes(at[order].T.ravel().astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)), order
 
-_COUNTS = "kind int, bucket int, ctx binary, size binary, words binary, at binary, n binary, low binary"
-_KIND = 1 << 24  # buckets of one order are numbered apart from those of others while they are counted
 
+def _unpack(words: bytes, at: bytes, columns: int) -> np.ndarray:
+    w = unascending(words)
+    return w[unplanes(at, np.uint16 if len(w) <= 1 << 16 else np.uint32).reshape(columns, -1).T]
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = {"kind": pa.int32(), "bucket": pa.int32(), "source": pa.int32(), "total": pa.int64()}
-    return pa.record_batch([pa.array([r[k] for r in rows], kinds.get(x, pa.binary())) for k, x in enumerate(names)], names)
 
+def _row(kind: int, bucket: int, **values: bytes) -> tuple:
+    return (kind, int(bucket), *[values.get(x, b"") for x in _NAMES[2:]])
 
-def _count(p: Params, count: int):
-    names = ["kind", "bucket", "ctx", "size", "words", "at", "n", "low"]
 
+def _batch(rows: list[tuple], names: list[str] = _NAMES) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if x in ("kind", "bucket") else pa.binary()) for k, x in enumerate(names)], names)
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    cut = [*np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist(), len(own)] if len(own) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(own[a]), order[a:b]
+
+
+def _count_words(p: Params, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, w, _, _ in blocks(batches, p.block, p.order):
-            for m in range(2, p.order + 1):
-                order = np.lexsort((w, ctx[:, m - 2]))
-                head = _runs(ctx[order, m - 2], w[order])
-                n = np.diff(np.append(head, len(w))).astype(np.uint32)
-                head = order[head]
-                c, x, low = ctx[head, m - 2], w[head], ctx[head, m - 3] if m > 2 else None
-                rows, cut = [], bounds(c, count)
-                for k in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[k], cut[k + 1])
-                    rows.append((m, int(k) + m * _KIND, *_pack_pairs(c[s], x[s]), planes(n[s]), b"" if m == 2 else planes(low[s][_runs(c[s])])))
-                yield _batch(rows, names)
-            words, n = np.unique(w, return_counts=True)
-            rows, cut = [], bounds(words, count)
-            for k in np.flatnonzero(np.diff(cut)):
-                s = slice(cut[k], cut[k + 1])
-                rows.append((1, int(k) + _KIND, b"", b"", ascending(words[s]), b"", planes(n[s].astype(np.uint32)), b""))
-            yield _batch(rows, names)
+        for c, _, _ in blocks(batches, p.block, 1):
+            words, n = np.unique(c[:, 0], return_counts=True)
+            cut = bounds(words, count)
+            yield _batch([_row(WORD, k, words=ascending(words[cut[k] : cut[k + 1]]), n=planes(n[cut[k] : cut[k + 1]].astype(np.uint32))) for k in np.flatnonzero(np.diff(cut))])
+
+    return released(run)
+
+
+def _few(n: np.ndarray, k: int) -> np.ndarray:
+    """How many counts are 0 .. k + 1."""
+    return np.bincount(n[n <= k + 1].astype(np.int64), minlength=k + 2)[: k + 2]
+
+
+def _sum_words(p: Params):
+    def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        w, at = np.unique(np.concatenate([unascending(r["words"]) for r in rows]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([unplanes(r["n"], np.uint32) for r in rows])).astype(np.uint64)
+        yield _batch([_row(WORD, bucket, words=ascending(w), n=planes(n), x=np.append(_few(n, p.k), n.sum()).astype(np.int64).tobytes())])
+
+    return reduce
+
+
+def _frequent(least: float):
+    """The words of more than ``least`` occurrences, which are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = unplanes(raw, np.uint64)
+                some = n > least
+                yield pa.record_batch([pa.array(unascending(words)[some].view(np.int64)), pa.array(n[some].view(np.int64))], ["word", "n"])
 
     return run
 
 
-def _few(n: np.ndarray, k: int) -> bytes:
-    return np.bincount(n[n <= k + 1].astype(np.int64), minlength=k + 2)[: k + 2].astype(np.int64).tobytes()
+def _count(p: Params, count: int, hot: HotWords):
+    def send(kind: int, c: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        _, first, n = np.unique(pair(context(c, c.shape[1]), c[:, 0]), return_index=True, return_counts=True)
+        c, bucket, rows = c[first], bucket[first], []
+        for k, own in _by_bucket(bucket):
+            words, at, order = _pack(c[own])
+            rows.append(_row(kind, k + kind * _KIND, words=words, at=at, n=planes(n[own][order].astype(np.uint32))))
+        return _batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, _, _ in blocks(batches, p.block, p.order):
+            h, home = _homes(c, hot, count)
+            some = home >= 0
+            if some.any():
+                yield send(GRAM, c[some], home[some])
+            some = h > 0
+            if some.any():
+                yield send(HOT, c[some][:, :2], _in(c[some, 0], count))
+
+    return released(run)
 
 
-def _sum(p: Params):
-    """Total counts of a bucket, as a row of its table, with counts of counts and the sum."""
-    names = ["kind", "bucket", "ctx", "size", "words", "at", "n", "low", "few", "total"]
+def _sum(p: Params, hot: HotWords):
+    """Total counts of a bucket, with the counts of counts of each order."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         kind, bucket = divmod(bucket, _KIND)
+        columns = 2 if kind == HOT else p.order
+        c = np.concatenate([_unpack(r["words"], r["at"], columns) for r in rows])
         n = np.concatenate([unplanes(r["n"], np.uint32) for r in rows])
-        if kind == 1:
-            w, at = np.unique(np.concatenate([unascending(r["words"]) for r in rows]), return_inverse=True)
-            n = np.bincount(at, weights=n).astype(np.uint64)
-            yield _batch([(1, bucket, b"", b"", ascending(w), b"", planes(n), b"", _few(n, p.k), int(n.sum()))], names)
-            return
-        parts = [_unpack_pairs(r) for r in rows]
-        ctx, w = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        low = np.concatenate([np.repeat(unplanes(r["low"], np.uint64), unplanes(r["size"], np.uint32)) for r in rows]) if kind > 2 else None
-        del parts
-        order = np.lexsort((w, ctx))
-        ctx, w, n = ctx[order], w[order], n[order].astype(np.uint64)
-        head = _runs(ctx, w)
-        low = planes(low[order][head][_runs(ctx[head])]) if kind > 2 else b""
-        ctx, w, n = ctx[head], w[head], np.add.reduceat(n, head)
-        yield _batch([(kind, bucket, *_pack_pairs(ctx, w), planes(n), low, _few(n, p.k), int(n.sum()))], names)
+        rows.clear()
+        _, first, at = np.unique(pair(context(c, columns), c[:, 0]), return_index=True, return_inverse=True)
+        c, n = c[first], np.bincount(at, weights=n)
+        few = np.zeros((p.order + 1, p.k + 2), np.int64)
+        cold = hot.of(c[:, 1]) == 0
+        for m in range(2, columns + 1):
+            if kind == HOT or m == p.order and p.order > 2:
+                few[m] = _few(n, p.k)
+            else:
+                own = slice(None) if m > 2 else cold
+                _, at = np.unique(pair(context(c[own], m), c[own, 0]), return_inverse=True)
+                few[m] = _few(np.bincount(at, weights=n[own]), p.k)
+        words, at, order = _pack(c)
+        yield _batch([_row(kind, bucket, words=words, at=at, n=planes(n[order].astype(np.uint64)), x=few.tobytes())])
 
     return reduce
 
@@ -181,110 +261,141 @@ def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return n * np.where(n < len(d), d[np.minimum(n, len(d) - 1).astype(np.int64)], 1.0)
 
 
-def _ask(count: int):
-    """The distinct words of a bigram bucket, sent to the word buckets."""
+def _enough(total: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Totals of contexts; one none of whose counts is discounted would leave nothing, so one more is added to it."""
+    return np.where(total - kept < 1e-9, total + 1, total)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for source, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = unascending(raw)
-                cut = bounds(w, count)
-                yield _batch([(int(k), source, ascending(w[cut[k] : cut[k + 1]])) for k in np.flatnonzero(np.diff(cut))], ["bucket", "source", "words"])
 
-    return run
+class Words:
+    """The words of a bucket and the bigrams of hot words and them, to be looked up."""
+
+    def __init__(self, rows: list[dict], hot: HotWords):
+        own = {r["kind"]: r for r in rows if r["kind"] in (WORD, HOT)}
+        self.words, self.n, self.many = np.zeros(1, np.uint64), np.zeros(1), len(hot.words) + 1
+        if WORD in own:
+            self.words, self.n = unascending(own[WORD]["words"]), unplanes(own[WORD]["n"], np.uint64).astype(float)
+        self.key, self.pairs = np.full(1, -1), np.zeros(1)
+        if HOT in own:
+            c = _unpack(own[HOT]["words"], own[HOT]["at"], 2)
+            key = np.searchsorted(self.words, c[:, 0]) * self.many + hot.of(c[:, 1])
+            order = np.argsort(key)
+            self.key, self.pairs = key[order], unplanes(own[HOT]["n"], np.uint64).astype(float)[order]
+
+    def find(self, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of words, and of the bigrams of hot words (by number; 0 for none) and them."""
+        at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+        key = at * self.many + h
+        pair_at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = self.words[at] == w
+        return np.where(known, self.n[at], 0.0), np.where(known & (h > 0) & (self.key[pair_at] == key), self.pairs[pair_at], 0.0)
 
 
-def _answer(d: np.ndarray, total: float):
+def _hot_sums(d1: np.ndarray, d2: np.ndarray, denominator: float, hot: HotWords):
+    """Of each hot context word in a bucket: what its bigrams count, what of it is kept, and the probability of their words."""
+
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = next(r for r in rows if r["source"] < 0)
-        w, prob = unascending(own["words"]), discounted(unplanes(own["n"], np.uint64), d) / total
-        out = [(r["source"], bucket, r["words"], prob[np.searchsorted(w, unascending(r["words"]))].tobytes()) for r in rows if r["source"] >= 0]
-        out.append((-1, bucket, own["words"], prob.tobytes()))
-        yield _batch(out, ["bucket", "source", "words", "p"])
+        t = Words(rows, hot)
+        if t.key[0] < 0:
+            return
+        h, size = t.key % t.many, t.many
+        low = discounted(t.n, d1)[t.key // t.many] / denominator
+        sums = [np.bincount(h, weights=x, minlength=size) for x in (t.pairs, discounted(t.pairs, d2), low)]
+        some = np.flatnonzero(sums[0])
+        yield pa.record_batch([pa.array(some), *[pa.array(x[some]) for x in sums]], ["h", "total", "kept", "low"])
 
     return reduce
 
 
-class _Table:
-    """The packed n-grams of a bucket, to be looked up."""
+def _hot_pairs(hot: HotWords):
+    """(first, second, n) of the bigrams of two hot words, numbers from 1."""
 
-    def __init__(self, r: dict):
-        self.heads, self.words, size = unascending(r["ctx"]), unascending(r["words"]), unplanes(r["size"], np.uint32).astype(np.int64)
-        # (context, word) as one number: places in both sorted lists
-        self.keys = np.repeat(np.arange(len(self.heads)), size) * len(self.words) + unplanes(r["at"], np.uint32).astype(np.int64)
-
-    def find(self, ctx: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Whether the context and the n-gram of each pair are known, and their places."""
-        h = np.minimum(np.searchsorted(self.heads, ctx), len(self.heads) - 1)
-        v = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-        known = self.heads[h] == ctx
-        at = np.minimum(np.searchsorted(self.keys, key := h * len(self.words) + v), len(self.keys) - 1)
-        return known, h, known & (self.words[v] == w) & (self.keys[at] == key), at
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, at, raw in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                c, n = _unpack(words, at, 2), unplanes(raw, np.uint64).astype(np.int64)
+                w = hot.of(c[:, 0])
+                yield pa.record_batch([pa.array(hot.of(c[:, 1])[w > 0]), pa.array(w[w > 0]), pa.array(n[w > 0])], ["first", "second", "n"])
 
+    return run
 
-def _lower(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (lower context, word) of the n-grams of a bucket, sorted, and order and number of each n-gram among them."""
-    _, w = _unpack_pairs(r)
-    low = np.repeat(unplanes(r["low"], np.uint64), unplanes(r["size"], np.uint32))
-    order = np.lexsort((w, low))
-    head = _runs(low[order], w[order])
-    nth = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(w))))
-    return low[order][head], w[order][head], order, nth
 
+def _asks(c: np.ndarray, hot: HotWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (word, number of a hot context word before it), sorted, and the place of each n-gram's in them."""
+    w, at = np.unique(c[:, 0], return_inverse=True)
+    many = len(hot.words) + 1
+    key, at = np.unique(at * many + hot.of(c[:, 1]), return_inverse=True)
+    return w[key // many], key % many, at
 
-def _ask_lower(count: int):
-    """The distinct lower n-grams of a bucket, sent to their buckets."""
 
+def _ask(order: int, count: int, hot: HotWords):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                c, w, _, _ = _lower(r)
-                cut = bounds(c, count)
-                for k in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[k], cut[k + 1])
-                    yield _batch([(int(k), r["bucket"], *_pack_pairs(c[s], w[s]))], ["bucket", "source", "ctx", "size", "words", "at"])
-
-    return run
-
+            for home, words, at in zip(*[b.column(k).to_pylist() for k in range(3)]):
+                w, h, _ = _asks(_unpack(words, at, order), hot)
+                cut = bounds(w, count)
+                own = [(int(k), slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+                yield _batch([_row(LOOK, k, words=ascending(w[s]), at=planes(h[s].astype(np.uint32)), x=int(home).to_bytes(4, "little")) for k, s in own])
 
-def _answer_lower(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    own = next(r for r in rows if r["source"] < 0)
-    table, prob = _Table(own), np.frombuffer(own["p"])
-    for r in rows:
-        if r["source"] >= 0:
-            yield _batch([(r["source"], bucket, prob[table.find(*_unpack_pairs(r))[3]].tobytes())], ["bucket", "source", "p"])
+    return released(run)
 
 
-def _weigh(kind: int, d: np.ndarray):
-    """Probabilities of the n-grams of a bucket and the backoff weight of each of its contexts."""
+def _answer(hot: HotWords):
+    """Counts of what was asked, sent home."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = next(r for r in rows if r["source"] < 0)
-        back = sorted((r for r in rows if r["source"] >= 0), key=lambda r: r["source"])
-        told = np.concatenate([np.frombuffer(r["p"]) for r in back])  # by lower bucket, hence in the order of what was asked
-        size, n = unplanes(own["size"], np.uint32).astype(np.int64), unplanes(own["n"], np.uint64).astype(float)
-        if kind == 2:
-            low = told[unplanes(own["at"], np.uint32)]
-        else:
-            _, _, order, nth = _lower(own)
-            low = np.empty(len(n))
-            low[order] = 10 ** told[nth]
-        head = np.cumsum(size) - size
-        total, kept = np.add.reduceat(n, head), np.add.reduceat(discounted(n, d), head)
-        # a context none of whose counts is discounted would leave nothing: one more is added to its total
-        total = np.where(total - kept < 1e-9, total + 1, total)
-        rest = np.maximum(1 - np.add.reduceat(low, head), 1e-12)
-        prob = np.log10(discounted(n, d) / np.repeat(total, size))
-        yield _batch([(bucket, own["ctx"], own["size"], own["words"], own["at"], prob.tobytes(), np.log10((1 - kept / total) / rest).tobytes())], ["bucket", "ctx", "size", "words", "at", "p", "back"])
+        t = Words(rows, hot)
+        for r in rows:
+            if r["kind"] == LOOK:
+                h = unplanes(r["at"], np.uint32).astype(np.int64)
+                n, pairs = t.find(unascending(r["words"]), h)
+                yield _batch([_row(LOOK, int.from_bytes(r["x"], "little"), n=planes(np.where(h > 0, pairs, n).astype(np.uint64)), x=bucket.to_bytes(4, "little"))])
 
     return reduce
 
 
-_PAIRS = "bucket int, ctx binary, size binary, words binary, at binary, p binary, back binary"
+class Level:
+    """The n-grams of one order in a bucket: sorted names, counts, probabilities, and the contexts of each."""
+
+    def __init__(self, c: np.ndarray, n: np.ndarray, m: int, d: np.ndarray):
+        ctx = context(c, m)
+        self.gram, self.first, self.at = np.unique(pair(ctx, c[:, 0]), return_index=True, return_inverse=True)
+        n = np.bincount(self.at, weights=n)
+        self.ctx, self.of = np.unique(ctx[self.first], return_inverse=True)
+        kept = discounted(n, d)
+        total, self.kept = np.bincount(self.of, weights=n), np.bincount(self.of, weights=kept)
+        self.total = _enough(total, self.kept)
+        self.p = kept / self.total[self.of]
 
 
-def _none(*names: str) -> list[Column]:
-    return [F.lit(None).cast("binary").alias(c) for c in names]
+def _levels(row: dict, order: int, d: dict[int, np.ndarray], hot: HotWords) -> tuple[np.ndarray, np.ndarray, dict[int, Level]]:
+    c, n = _unpack(row["words"], row["at"], order), unplanes(row["n"], np.uint64).astype(float)
+    cold = hot.of(c[:, 1]) == 0
+    return c, cold, {m: Level(c, n, m, d[m]) if m > 2 else Level(c[cold], n[cold], m, d[m]) for m in range(2, order + 1)}
+
+
+def _weigh(order: int, d: dict[int, np.ndarray], denominator: float, total: np.ndarray, hot: HotWords):
+    """The backoff weights (log10) of all contexts of a bucket, order by order, each sorted by name."""
+
+    def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        own = next(r for r in rows if r["kind"] == GRAM)
+        told = sorted((r for r in rows if r["kind"] == LOOK), key=lambda r: int.from_bytes(r["x"], "little"))
+        told = np.concatenate([unplanes(r["n"], np.uint64) for r in told]).astype(float)  # in the order of what was asked
+        c, cold, levels = _levels(own, order, d, hot)
+        _, h, at = _asks(c, hot)
+        # the probability of each n-gram's word one order below, from the lowest that the bucket has
+        low = np.where(h > 0, discounted(told, d[2]) / total[h], discounted(told, d[1]) / denominator)[at]
+        out = []
+        for m, level in levels.items():
+            here = low[cold] if m == 2 else low
+            rest = np.maximum(1 - np.bincount(level.of, weights=here[level.first]), 1e-12)
+            out.append(np.log10((1 - level.kept / level.total) / rest))
+            if m == 2:
+                low[cold] = level.p[level.at]
+            else:
+                low = level.p[level.at]
+        yield _batch([_row(BACK, bucket, x=np.concatenate(out).tobytes())])
+
+    return reduce
 
 
 def train(docs: DataFrame, p: Params = Params()) -> Model:
@@ -294,127 +405,169 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     """
     if p.order < 2:
         raise ValueError("the order must be at least 2")
-    spark = docs.sparkSession
-    count = buckets(spark)
-    rows = docs.select("doc_id", "text").dropna()
-    table = exchange(rows.mapInArrow(_count(p, count), _COUNTS), _sum(p), _COUNTS + ", few binary, total bigint")
-    table = materialize(table, "ngram-counts", ("kind",))
-    few, total = {m: np.zeros(p.k + 2) for m in range(1, p.order + 1)}, 0
-    for r in table.select("kind", "few", "total").collect():  # k + 2 numbers a bucket and order
-        few[r.kind] += np.frombuffer(bytes(r.few), np.int64)
-        total += r.total if r.kind == 1 else 0
-    d = {m: discounts(few[m], p.k) for m in few}
+    count = buckets(docs)
+    rows = docs.select("doc_id", "text").dropna().select(F.lit(0).cast("bigint").alias("doc_id"), "text")
+    words = materialize(exchange(rows.mapInArrow(_count_words(p, count), _ROWS), _sum_words(p), _ROWS), "word-counts")
+    few = {1: np.zeros(p.k + 2)} | {m: np.zeros(p.k + 2) for m in range(2, p.order + 1)}
+    total = 0
+    for r in words.select("x").collect():  # a few numbers a bucket
+        own = np.frombuffer(bytes(r.x), np.int64)
+        few[1] += own[:-1]
+        total += int(own[-1])
+    d = {1: discounts(few[1], p.k)}
     lost = float((few[1][: p.k + 1] * np.arange(p.k + 1) * (1 - d[1])).sum())
     denominator = float(total) if lost >= 1e-9 else float(total + 1)
-    lost = denominator - (total - lost)
-    ones = table.where("kind = 1")
-    ask = table.where("kind = 2").select("bucket", "words").mapInArrow(_ask(count), "bucket int, source int, words binary").withColumn("n", F.lit(None).cast("binary"))
-    ask = ask.unionByName(ones.select("bucket", F.lit(-1).alias("source"), "words", "n"))
-    told = materialize(exchange(ask, _answer(d[1], denominator), "bucket int, source int, words binary, p binary"), "word-probabilities")
-    words = told.where("bucket < 0").select(F.col("source").alias("bucket"), "words", "p")
-    back, grams = told.where("bucket >= 0"), []
-    for m in range(2, p.order + 1):
-        own = table.where(f"kind = {m}")
-        if m > 2:
-            ask = own.select("bucket", "size", "words", "at", "low", "ctx").mapInArrow(_ask_lower(count), "bucket int, source int, ctx binary, size binary, words binary, at binary")
-            lower = grams[-1].select("bucket", F.lit(-1).alias("source"), "ctx", "size", "words", "at", "p")
-            back = materialize(exchange(ask.select("*", *_none("p")).unionByName(lower), _answer_lower, "bucket int, source int, p binary"), f"lower-{m}")
-        mine = own.select("bucket", F.lit(-1).alias("source"), "ctx", "size", "words", "at", "n", "low", *_none("p"))
-        back = back.select("bucket", "source", *_none("ctx", "size", "words", "at", "n", "low"), "p")
-        grams.append(materialize(exchange(mine.unionByName(back), _weigh(m, d[m]), _PAIRS), f"grams-{m}"))
-    return Model(words, grams, float(np.log10(lost / denominator)), count)
-
-
-_NAMES = ["bucket", "ctx", "size", "words", "at", "many", "doc", "ids", "low", "sum", "n"]
-_PART = "bucket int, " + ", ".join(f"{x} binary" for x in _NAMES[1:])
-
-
-def _send(ctx: np.ndarray, w: np.ndarray, doc: np.ndarray, ids: np.ndarray, low: np.ndarray, weight: np.ndarray | None, count: int) -> list[tuple]:
-    """Occurrences of n-grams, one row a bucket: ``low`` has the shorter contexts of each, longest last, ``weight`` what was added."""
-    order = np.lexsort((w, ctx))
-    ctx, w, doc, low = ctx[order], w[order], doc[order], low[order]
-    rows, cut = [], bounds(ctx, count)
-    for k in np.flatnonzero(np.diff(cut)):
-        s = slice(cut[k], cut[k + 1])
-        c, x = ctx[s], w[s]
-        head = _runs(c, x)
-        local, at = np.unique(doc[s], return_inverse=True)
-        at = at.astype(np.uint16) if len(local) < 1 << 16 else at.astype(np.uint32)
-        many = planes(np.diff(np.append(head, len(c))).astype(np.uint32))
-        rows.append((int(k), *_pack_pairs(c[head], x[head]), many, planes(at), ids[local].tobytes(), planes(low[s][_runs(c)].ravel()) if low.shape[1] else b"", b"" if weight is None else weight[order[s]].tobytes(), b""))
-    return rows
-
-
-def _lookups(p: Params, count: int):
+    unknown = float(np.log10((denominator - (total - lost)) / denominator))
+    frequent = sorted(tuple(r) for r in words.select("words", "n").mapInArrow(_frequent(p.share * total), "word bigint, n bigint").collect())
+    hot = HotWords(np.append(np.array([w for w, _ in frequent], np.int64).view(np.uint64), BEGIN))
+    word = np.zeros(len(hot.words) + 1)
+    for w, n in frequent:
+        word[hot.of(np.array([w], np.int64).view(np.uint64))] = discounted(np.array([float(n)]), d[1]) / denominator
+
+    table = materialize(exchange(rows.mapInArrow(_count(p, count, hot), _ROWS), _sum(p, hot), _ROWS), "ngram-counts", ("kind",))
+    table = table.select(*_NAMES)
+    for r in table.select("x").collect():  # a few numbers a bucket
+        own = np.frombuffer(bytes(r.x), np.int64).reshape(p.order + 1, -1)
+        for m in range(2, p.order + 1):
+            few[m] += own[m]
+    d |= {m: discounts(few[m], p.k) for m in range(2, p.order + 1)}
+    words = words.unionByName(table.where(F.col("kind") == HOT))
+    grams = table.where(F.col("kind") == GRAM)
+    sums = exchange(words, _hot_sums(d[1], d[2], denominator, hot), "h bigint, total double, kept double, low double")
+    size, back, both = np.ones(len(hot.words) + 1), np.zeros(len(hot.words) + 1), np.zeros((len(hot.words) + 1,) * 2)
+    for r in sums.groupBy("h").agg(F.sum("total").alias("total"), F.sum("kept").alias("kept"), F.sum("low").alias("low")).collect():
+        size[r.h] = float(_enough(np.array(r.total), np.array(r.kept)))
+        back[r.h] = np.log10((1 - r.kept / size[r.h]) / max(1 - r.low, 1e-12))
+    for r in table.where(F.col("kind") == HOT).select("words", "at", "n").mapInArrow(_hot_pairs(hot), "first bigint, second bigint, n bigint").collect():
+        both[r.first, r.second] = r.n
+    asks = grams.select("bucket", "words", "at").mapInArrow(_ask(p.order, count, hot), _ROWS)
+    told = materialize(exchange(asks.unionByName(words), _answer(hot), _ROWS), "lower-counts")
+    backs = materialize(exchange(grams.unionByName(told), _weigh(p.order, d, denominator, size, hot), _ROWS), "backoff-weights")
+    return Model(p.order, count, words, grams.unionByName(backs), d, denominator, unknown, hot, size, back, word, both)
+
+
+def _occurrences(c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of ``c``, how often each stands there, and the documents of all, row by row."""
+    _, first, at, many = np.unique(pair(context(c, c.shape[1]), c[:, 0]), return_index=True, return_inverse=True, return_counts=True)
+    return c[first], many, doc[np.argsort(at, kind="stable")]
+
+
+def _docs(doc: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+    local, at = np.unique(doc, return_inverse=True)
+    return {"doc": planes(at.astype(np.uint16 if len(local) <= 1 << 16 else np.uint32)), "ids": ids[local].tobytes()}
+
+
+def _places(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(document ids, the place in them of each occurrence) of a row."""
+    ids = np.frombuffer(r["ids"], np.int64)
+    return ids, unplanes(r["doc"], np.uint16 if len(ids) <= 1 << 16 else np.uint32).astype(np.int64)
+
+
+def _fall(w: np.ndarray, h: np.ndarray, weight: np.ndarray, many: np.ndarray, doc: np.ndarray, ids: np.ndarray, count: int) -> list[tuple]:
+    """Rows for the bucket of each word: what is left to look up, with the backoff weights so far."""
+    order = np.argsort(w, kind="stable")
+    of = np.repeat(np.arange(len(w)), many)
+    rank = np.empty(len(w), np.int64)
+    rank[order] = np.arange(len(w))
+    doc = doc[np.argsort(rank[of], kind="stable")]
+    w, h, weight, many = w[order], h[order], weight[order], many[order]
+    stop, cut = np.append(0, np.cumsum(many)), bounds(w, count)
+    parts = [(int(k), slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
+    return [_row(FALL, k, words=ascending(w[s]), at=planes(h[s].astype(np.uint32)), many=planes(many[s].astype(np.uint32)), x=weight[s].tobytes(), **_docs(doc[stop[s.start] : stop[s.stop]], ids)) for k, s in parts]
+
+
+def _sums(ids: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple:
+    n = np.bincount(doc, minlength=len(ids))
+    some = np.flatnonzero(n)
+    return _row(SUM, -1, ids=ids[some].tobytes(), n=planes(n[some].astype(np.uint32)), x=np.bincount(doc, weights=value, minlength=len(ids))[some].tobytes())
+
+
+def _lookups(p: Params, count: int, hot: HotWords, order: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ctx, w, doc, ids in blocks(batches, p.block, p.order):
-            yield _batch(_send(ctx[:, -1], w, doc, ids, ctx[:, :-1], None, count), _NAMES)
-
-    return run
-
-
-def _place(r: dict) -> np.ndarray:
-    """Rows of ``ids`` of each occurrence."""
-    return unplanes(r["doc"], np.uint16 if len(r["ids"]) // 8 < 1 << 16 else np.uint32).astype(np.int64)
-
-
-def _look_up(kind: int, count: int):
-    """Sums by document of the log probabilities of seen n-grams; the others, to the next lower buckets, with their backoff weight."""
+        for c, doc, ids in blocks(batches, p.block, order):
+            h, home = _homes(c, hot, count)
+            own, rows = home * p.parts // count == part, []
+            for k, at in _by_bucket(home[own]):
+                grams, many, docs = _occurrences(c[own][at], doc[own][at])
+                words, where, by = _pack(grams)
+                stop = np.append(0, np.cumsum(many))
+                docs = docs[np.repeat(stop[:-1][by], many[by]) + np.arange(len(docs)) - np.repeat(np.cumsum(many[by]) - many[by], many[by])]
+                rows.append(_row(LOOK, k, words=words, at=where, many=planes(many[by].astype(np.uint32)), **_docs(docs, ids)))
+            if part == 0 and (away := home < 0).any():  # bigrams of hot words
+                rows += _fall(c[away, 0], h[away], np.zeros(away.sum()), np.ones(away.sum(), np.int64), doc[away], ids, count)
+            if rows:
+                yield _batch(rows)
+
+    return released(run)
+
+
+def _look_up(m: Model):
+    """Sums by document of the log probabilities of seen n-grams; the others, to the buckets of their words."""
+    order, count, hot, d, total, back, word, both = m.order, m.buckets, m.hot, m.d, m.total, m.back, m.word, m.both
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = [r for r in rows if r["p"] is not None]
+        own = {r["kind"]: r for r in rows if r["kind"] in (GRAM, BACK)}
+        levels, weights = {}, {}
         if own:
-            table, prob, back = _Table(own[0]), np.frombuffer(own[0]["p"]), np.frombuffer(own[0]["back"])
+            _, _, levels = _levels(own[GRAM], order, d, hot)
+            values = np.frombuffer(own[BACK]["x"])
+            for k, level in levels.items():
+                weights[k], values = values[: len(level.ctx)], values[len(level.ctx) :]
         for r in rows:
-            if r["p"] is not None:
+            if r["kind"] == FALL:
+                yield _batch([tuple(r[x] for x in _NAMES)])
+            if r["kind"] != LOOK:
                 continue
-            c, x = _unpack_pairs(r)
-            value, seen, weight = np.zeros(len(c)), np.zeros(len(c), bool), np.zeros(len(c))
-            if own:
-                known, h, seen, at = table.find(c, x)
-                weight[known] = back[h[known]]
-                value[seen] = prob[at[seen]]
-            many, doc = unplanes(r["many"], np.uint32).astype(np.int64), _place(r)
-            each = np.repeat(np.arange(len(c)), many)
-            before = np.frombuffer(r["sum"]) if r["sum"] else np.zeros(len(each))
-            ids = np.frombuffer(r["ids"], np.int64)
-            hit = seen[each]
-            n = np.bincount(doc[hit], minlength=len(ids))
-            some = np.flatnonzero(n)
-            sums = np.bincount(doc[hit], weights=(value[each] + before)[hit], minlength=len(ids))
-            out = [(-1, *[b""] * 6, ids[some].tobytes(), b"", sums[some].tobytes(), planes(n[some].astype(np.uint32)))]
-            left = ~hit
-            w, doc, weight = x[each][left], doc[left], (weight[each] + before)[left]
-            if kind > 2:
-                low = np.repeat(unplanes(r["low"], np.uint64).reshape(-1, kind - 2), unplanes(r["size"], np.uint32), axis=0)[each][left]
-                out += _send(low[:, -1], w, doc, ids, low[:, :-1], weight, count)
-            else:
-                order = np.argsort(w, kind="stable")
-                w, doc, weight = w[order], doc[order], weight[order]
-                cut = bounds(w, count)
-                for k in np.flatnonzero(np.diff(cut)):
-                    s = slice(cut[k], cut[k + 1])
-                    out.append((int(k), b"", b"", ascending(w[s]), *[b""] * 3, ids[doc[s]].tobytes(), b"", weight[s].tobytes(), b""))
-            yield _batch(out, _NAMES)
+            c = _unpack(r["words"], r["at"], order)
+            h = hot.of(c[:, 1])
+            value, weight, left = np.zeros(len(c)), np.zeros(len(c)), np.ones(len(c), bool)
+            for k in range(order, 1, -1):
+                level = levels.get(k)
+                i = np.flatnonzero(left if k > 2 else left & (h == 0))
+                if level is None or not len(level.gram) or not len(i):
+                    continue
+                ctx = context(c[i], k)
+                name = pair(ctx, c[i, 0])
+                at = np.minimum(np.searchsorted(level.gram, name), len(level.gram) - 1)
+                hit = level.gram[at] == name
+                value[i[hit]] = weight[i[hit]] + np.log10(level.p[at[hit]])
+                left[i[hit]] = False
+                i, ctx = i[~hit], ctx[~hit]
+                at = np.minimum(np.searchsorted(level.ctx, ctx), len(level.ctx) - 1)
+                known = level.ctx[at] == ctx
+                weight[i[known]] += weights[k][at[known]]
+            # hot words are known here too, lest their bucket get more than its share
+            w = hot.of(c[:, 0])
+            i = np.flatnonzero(left & (w > 0))
+            if len(i):
+                n = both[h[i], w[i]]
+                value[i] = weight[i] + np.where(n > 0, np.log10(np.maximum(discounted(n, d[2]) / total[h[i]], 1e-300)), back[h[i]] + np.log10(word[w[i]]))
+                left[i] = False
+            many = unplanes(r["many"], np.uint32).astype(np.int64)
+            (ids, doc), each = _places(r), np.repeat(np.arange(len(c)), many)
+            hit = ~left[each]
+            out = [_sums(ids, doc[hit], value[each[hit]])]
+            if left.any():
+                out += _fall(c[left, 0], h[left], weight[left], many[left], doc[~hit], ids, count)
+            yield _batch(out)
 
     return reduce
 
 
-def _back_off(unknown: float):
+def _back_off(m: Model):
+    d, denominator, unknown, hot, total, back = m.d, m.denominator, m.unknown, m.hot, m.total, m.back
+
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        own = [r for r in rows if r["p"] is not None]
-        words = unascending(own[0]["words"]) if own else np.zeros(0, np.uint64)
-        prob = np.log10(np.frombuffer(own[0]["p"])) if own else np.zeros(0)
+        t = Words(rows, hot)
         for r in rows:
-            if r["p"] is not None:
+            if r["kind"] != FALL:
                 continue
-            w, ids, value = unascending(r["words"]), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sum"])
-            low = np.full(len(w), unknown)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                low = np.where(words[at] == w, prob[at], unknown)
-            ids, at = np.unique(ids, return_inverse=True)
-            yield _batch([(-1, *[b""] * 6, ids.tobytes(), b"", np.bincount(at, weights=value + low).tobytes(), planes(np.bincount(at).astype(np.uint32)))], _NAMES)
+            h = unplanes(r["at"], np.uint32).astype(np.int64)
+            n, pairs = t.find(unascending(r["words"]), h)
+            low = np.where(n > 0, np.log10(np.maximum(discounted(n, d[1]) / denominator, 1e-300)), unknown)
+            value = np.where(pairs > 0, np.log10(np.maximum(discounted(pairs, d[2]) / total[h], 1e-300)), back[h] + low)
+            (ids, doc), each = _places(r), np.repeat(np.arange(len(h)), unplanes(r["many"], np.uint32))
+            yield _batch([_sums(ids, doc, (np.frombuffer(r["x"]) + value)[each])])
 
     return reduce
 
@@ -423,7 +576,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed sums as rows, those of one document in a batch added up."""
     for b in batches:
         ids = np.frombuffer(b"".join(b.column("ids").to_pylist()), np.int64)
-        value = np.frombuffer(b"".join(b.column("sum").to_pylist()))
+        value = np.frombuffer(b"".join(b.column("x").to_pylist()))
         n = np.concatenate([unplanes(x, np.uint32) for x in b.column("n").to_pylist()] or [np.zeros(0, np.uint32)])
         ids, at = np.unique(ids, return_inverse=True)
         yield pa.record_batch([pa.array(ids), pa.array(np.bincount(at, weights=value, minlength=len(ids))), pa.array(np.bincount(at, weights=n, minlength=len(ids)).astype(np.int64))], ["doc_id", "sum", "n"])
@@ -433,18 +586,22 @@ def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """(doc_id, words, log10_prob, perplexity) of every document under the model.
 
     A document without a word has 0 words, log probability 0 and a null perplexity. Rows with a null id or text are left
-    out; the rows of a repeated id are one document.
+    out; the rows of a repeated id are one document. Ids may be of any kind. Look-ups go out in ``parts``, by home bucket, so
+    that what is on its way at once is a share of the corpus.
     """
-    rows = docs.select("doc_id", "text").dropna()
-    asked, done = rows.mapInArrow(_lookups(replace(p, order=len(model.grams) + 1), model.buckets), _PART), []
-    for m in range(len(model.grams) + 1, 1, -1):
-        table = model.grams[m - 2].select("bucket", "ctx", "size", "words", "at", *_none(*_NAMES[5:]), "p", "back")
-        got = materialize(exchange(asked.select("*", *_none("p", "back")).unionByName(table), _look_up(m, model.buckets), _PART), f"scores-{m}")
-        done.append(got.where("bucket < 0"))
-        asked = got.where("bucket >= 0")
-    known = model.words.select("bucket", *_none("ctx", "size"), "words", *_none(*_NAMES[4:]), "p")
-    done.append(exchange(asked.select("*", *_none("p")).unionByName(known), _back_off(model.unknown), _PART))
-    parts = reduce(DataFrame.unionByName, done).select("ids", "sum", "n").mapInArrow(_rows, "doc_id bigint, sum double, n bigint")
+    return numbered(docs.select("doc_id", "text").dropna(), lambda rows: _scored(rows, model, p), "doc_id")
+
+
+def _scored(rows: DataFrame, m: Model, p: Params) -> DataFrame:
+    done, none = [], []
+    for part in range(p.parts):
+        mine = m.grams.where(F.floor(F.col("bucket") * p.parts / m.buckets) == part)
+        asked = rows.mapInArrow(_lookups(p, m.buckets, m.hot, m.order, part), _ROWS)
+        got = materialize(exchange(asked.unionByName(mine), _look_up(m), _ROWS), "scores")
+        done.append(got.where(F.col("kind") == SUM))
+        none.append(got.where(F.col("kind") == FALL))
+    done.append(exchange(reduce(DataFrame.unionByName, none).unionByName(m.words), _back_off(m), _ROWS))
+    parts = reduce(DataFrame.unionByName, done).select("ids", "x", "n").mapInArrow(_rows, "doc_id bigint, sum double, n bigint")
     parts = parts.unionByName(rows.select("doc_id", F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n")))
     s, n = F.sum("sum"), F.sum("n")
     return parts.groupBy("doc_id").agg(n.alias("words"), F.round(s, 4).alias("log10_prob"), F.when(n > 0, F.round(F.pow(F.lit(10.0), -s / n), 4)).alias("perplexity"))

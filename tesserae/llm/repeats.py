@@ -200,7 +200,7 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
     out; documents without a repeat have no row.
     """
     spark = docs.sparkSession
-    count = buckets(spark)
+    count = buckets(docs)
     rows = docs.select("doc_id", "text").dropna()
     marks = exchange(rows.mapInArrow(_symbols(p, count), _SENT), _shared(True), _MARKS)
     marks = materialize(marks.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("width").alias("width")), "marks")

@@ -220,6 +220,27 @@ def test_katz_of_higher_order(spark, odd, order):
     assert katz.score(odd, katz.train(odd, params), params).count() == 8 and katz.score(odd.limit(0), katz.train(odd.limit(0), params)).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_does_not_depend_on_hot_words_parts_and_ids(spark, odd, order):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randrange(60))) for _ in range(60)]
+    new = [*texts[:3], "w1 w1 never w2 w1 w3 w1 w2", "never ever", "", texts[5]]
+    ids = [1, 2, 3, 4, 5, 6, 1]  # the rows of an id are one document
+    got = []
+    for p in (katz.Params(order=order, share=1.0), katz.Params(order=order, share=1e-9, parts=1), katz.Params(order=order, share=0.02, parts=5, block=500)):
+        docs = frame(spark, new, ids)
+        model = katz.train(frame(spark, texts), p)
+        got.append({r.doc_id: (r.words, r.log10_prob, r.perplexity) for r in katz.score(docs, model, p).collect()})
+    assert got[0].keys() == {1, 2, 3, 4, 5, 6} and got[0][1][0] == len(words(texts[0])) + len(words(texts[5])) and got[0][6] == (0, 0.0, None)
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(other[i][:2] == pytest.approx(got[0][i][:2], abs=2e-3) for i in other)
+    for kind in ("string", "int"):
+        rows = katz.score(frame(spark, new, ids).withColumn("doc_id", F.col("doc_id").cast(kind)), model, p).collect()
+        assert {int(r.doc_id): (r.words, r.log10_prob, r.perplexity) for r in rows} == got[-1]
+    scored = {r.doc_id: r.words for r in katz.score(odd, model, p).collect()}
+    assert scored == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 12_000, 7: 0, 90: 4}
+
+
 def test_quality(spark, odd):
     rng = random.Random(4)
     texts = [prose(rng, 30) if i % 2 else " ".join(w + "!!" for w in prose(rng, 30).split()) for i in range(200)]
