@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
-from ._text import slices
+from ._text import released, slices
 
 _GEAR = np.random.default_rng(32).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -107,7 +107,7 @@ def references(payloads: DataFrame, p: Params = Params()) -> DataFrame:
                         begin = end
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int32(), pa.binary()))], ["blob", "nth", "digest"])
 
-    return payloads.select("payload").mapInArrow(run, "blob binary, nth int, digest binary")
+    return payloads.select("payload").mapInArrow(released(run), "blob binary, nth int, digest binary")
 
 
 PLAIN, LENT, BORROWED = 0, 1, 2
@@ -155,9 +155,9 @@ def store(payloads: DataFrame, shared: DataFrame, p: Params, words: bytes) -> Da
                     column.append(value)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), kind, pa.binary()))], ["blob", "size", "borrows", "lends", "parts", "frame"])
 
-    whole = payloads.select("payload").mapInArrow(shut, "blob binary, whole binary").groupBy("blob").agg(F.first("whole").alias("whole"))
+    whole = payloads.select("payload").mapInArrow(released(shut), "blob binary, whole binary").groupBy("blob").agg(F.first("whole").alias("whole"))
     marks = shared.groupBy("blob").agg(F.collect_list(F.struct("nth", "role")).alias("marks"))
-    return whole.join(marks, "blob", "left").select("blob", "whole", "marks").mapInArrow(lay, _STORE)
+    return whole.join(marks, "blob", "left").select("blob", "whole", "marks").mapInArrow(released(lay), _STORE)
 
 
 def _lend(words: bytes, level: int):
@@ -219,19 +219,20 @@ def reconstruct(stored: DataFrame, words: bytes, level: int = 3) -> DataFrame:
     alone = stored.where("borrows = 0").select("blob", "size", "parts", "frame", none)
     needs = stored.where("borrows > 0")
     wanted = needs.select("blob", F.explode("parts").alias("x")).where(F.col("x.role") == BORROWED).select("blob", "x.nth", "x.digest")
-    lent = stored.where("lends > 0").select("parts", "frame").mapInArrow(_lend(words, level), "digest binary, packed binary")
+    lent = stored.where("lends > 0").select("parts", "frame").mapInArrow(released(_lend(words, level)), "digest binary, packed binary")
     fetched = wanted.join(lent, "digest").groupBy("blob").agg(F.collect_list(F.struct("nth", "packed")).alias("fetched"))
     joined = needs.join(fetched, "blob", "left").select("blob", "size", "parts", "frame", "fetched")
-    return alone.mapInArrow(_rebuild(words), _BUILT).unionByName(joined.mapInArrow(_rebuild(words), _BUILT))
+    return alone.mapInArrow(released(_rebuild(words)), _BUILT).unionByName(joined.mapInArrow(released(_rebuild(words)), _BUILT))
 
 
 def chunked(media: DataFrame, key: str, payload: str, p: Params = Params()) -> DataFrame:
     """(media_id, chunks, size, verified) of every payload after a round trip through the deduplicated store.
 
     ``verified`` says that each chunk and the whole have their digests again. An empty payload has 0 chunks. Rows with a null
-    key or payload are left out; equal rows give one row, and a key with several payloads a row for each of them.
+    key or payload are left out; equal rows give one row, and a key with several payloads a row for each of them. Keys may be of
+    any kind, and an empty table gives an empty one.
     """
-    rows = media.select(F.col(key).cast("bigint").alias("media_id"), F.col(payload).cast("binary").alias("payload")).dropna()
+    rows = media.select(F.col(key).alias("media_id"), F.col(payload).cast("binary").alias("payload")).dropna()
     payloads, words = rows.select("payload"), dictionary(rows.select("payload"), p)
     refs = materialize(references(payloads, p).distinct(), "chunk-references")
     shared = materialize(roles(refs), "chunk-roles")  # a table of its own, so that its shuffles are gone before payloads move

@@ -6,8 +6,8 @@ equal symbols inside, however far apart they are: the naming is global without a
 Symbols of eight words or more are left as they are. After the rounds
 
 1. the symbols are brought together by name; those of two or more documents mark where a long repeat may lie,
-2. every window of ``window`` words round such a mark is fingerprinted, and these are brought together: a window found in
-   two or more documents is a verified repeat,
+2. every window of ``window`` words round such a mark is fingerprinted twice, by 64 and by 32 bits, and these are brought
+   together: a window found in two or more documents is a verified repeat,
 3. the repeated windows of a document are merged into spans.
 """
 
@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
+from ._ids import numbered
 from ._packed import ascending, bounds, buckets, exchange, planes, unascending, unplanes
-from ._text import _INV, _MULT, Tokens, _power, mix, pair, slices
+from ._text import _INV, _MULT, Tokens, _power, mix, pair, released, slices
 
 U64 = np.uint64
 _ODD = 0x5851F42D4C957F2D
 _LONG = U64(_ODD)
+_OTHER = 0xC2B2AE3D27D4EB4F  # the base of the second fingerprint
+_OTHER_INV = pow(_OTHER, -1, 1 << 64)
 
 
 @dataclass(frozen=True)
@@ -76,16 +79,16 @@ def recompress(symbol: np.ndarray, doc: np.ndarray, p: Params) -> tuple[np.ndarr
     return symbol, doc, start, length
 
 
-def _messages(key: np.ndarray, doc: np.ndarray, at: np.ndarray, width: np.ndarray | None, ids: np.ndarray, count: int) -> pa.RecordBatch:
+def _messages(key: np.ndarray, doc: np.ndarray, at: np.ndarray, width: np.ndarray, ids: np.ndarray, count: int) -> pa.RecordBatch:
     order = np.argsort(key, kind="stable")
     key, doc, at = key[order], doc[order].astype(np.uint32), at[order].astype(np.uint32)
-    width = None if width is None else width[order].astype(np.uint32)
+    width = width[order].astype(np.uint32)
     cut = bounds(key, count)
     some = np.flatnonzero(np.diff(cut))
     parts: list[list] = [[], [], [], [], []]
     for s in (slice(cut[k], cut[k + 1]) for k in some):
         local, inverse = np.unique(doc[s], return_inverse=True)
-        raw = (ascending(key[s]), planes(inverse.astype(np.uint32)), ids[local].tobytes(), planes(at[s]), b"" if width is None else planes(width[s]))
+        raw = (ascending(key[s]), planes(inverse.astype(np.uint32)), ids[local].tobytes(), planes(at[s]), planes(width[s]))
         for column, x in zip(parts, raw):
             column.append(x)
     return pa.record_batch([pa.array(some.astype(np.int32)), *[pa.array(x, pa.binary()) for x in parts]], ["bucket", "key", "doc", "ids", "at", "width"])
@@ -96,16 +99,18 @@ _MARKS = "doc_id bigint, at binary, width binary"
 
 
 def _shared(wide: bool):
-    """Places of the keys of a bucket that two or more documents have, by document."""
+    """Places of the keys of a bucket that two or more documents have, by document; ``wide`` for symbols, which have a width."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         key = np.concatenate([unascending(r["key"]) for r in rows])
         doc = np.concatenate([np.frombuffer(r["ids"], np.int64)[unplanes(r["doc"], np.uint32)] for r in rows])
         at = np.concatenate([unplanes(r["at"], np.uint32) for r in rows])
-        width = np.concatenate([unplanes(r["width"], np.uint32) for r in rows]) if wide else None
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        width = np.concatenate([unplanes(r["width"], np.uint32) for r in rows])
+        rows.clear()
+        # windows are the same if both of their fingerprints are
+        order = np.argsort(key, kind="stable") if wide else np.lexsort((width, key))
+        key, doc, second = key[order], doc[order], np.zeros(len(key), np.uint32) if wide else width[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (second[1:] != second[:-1]))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(key)))
         if not len(first):
             return
@@ -168,8 +173,10 @@ def _windows(p: Params, count: int):
                 if found:
                     at = np.concatenate(found)
                     key = mix((total[at + p.window] - total[at]) * _power(_INV, len(t.hash) + 1)[at])
+                    second = np.append(U64(0), np.cumsum(mix(t.hash + U64(_ODD)) * _power(_OTHER, len(t.hash)), dtype=np.uint64))
+                    second = mix((second[at + p.window] - second[at]) * _power(_OTHER_INV, len(t.hash) + 1)[at]) >> U64(32)
                     doc = t.doc[at]
-                    yield _messages(key, doc, at - t.first[doc], None, ids[i:j], count)
+                    yield _messages(key, doc, at - t.first[doc], second, ids[i:j], count)
 
     return run
 
@@ -196,15 +203,19 @@ def repeats(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``spans`` are maximal runs of words (``begin`` to ``end`` exclusive, counted from 0) covered by such windows. Case and
     punctuation do not count. Repeats inside one document alone do not count, nor do those of rows with the same id, which
-    are versions of one document and of which the row with the least text is read. Rows with a null id or text are left
-    out; documents without a repeat have no row.
+    are versions of one document: each is searched whole, and the spans of an id are those of all its versions together. Rows
+    with a null id or text are left out; documents without a repeat have no row, and an empty table gives an empty one. Ids may
+    be of any kind.
     """
-    spark = docs.sparkSession
-    count = buckets(docs)
-    rows = docs.select("doc_id", "text").dropna()
-    marks = exchange(rows.mapInArrow(_symbols(p, count), _SENT), _shared(True), _MARKS)
+    return numbered(docs.select("doc_id", "text").dropna(), lambda rows: _found(rows, p), "doc_id")
+
+
+def _found(rows: DataFrame, p: Params) -> DataFrame:
+    count = buckets(rows)
+    marks = exchange(rows.mapInArrow(released(_symbols(p, count)), _SENT), _shared(True), _MARKS)
     marks = materialize(marks.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("width").alias("width")), "marks")
-    near = marks.join(rows, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("at").alias("at"), F.first("width").alias("width"))
-    windows = materialize(near.select("doc_id", "text", "at", "width").mapInArrow(_windows(p, count), _SENT), "windows")
+    # the marks of an id are those of all its versions; one more window in a version is no harm, as all are verified
+    near = rows.join(marks, "doc_id").select("doc_id", "text", "at", "width")
+    windows = materialize(near.mapInArrow(released(_windows(p, count)), _SENT), "windows")
     hits = exchange(windows, _shared(False), _MARKS)
-    return hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(p), "doc_id bigint, spans array<struct<begin:int,end:int>>, repeated_words int")
+    return hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(released(_spans(p)), "doc_id bigint, spans array<struct<begin:int,end:int>>, repeated_words int")

@@ -253,6 +253,48 @@ def test_quality(spark, odd):
     assert quality.keep_good(odd, w).columns == odd.columns
 
 
+def test_quality_by_hand(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randrange(1, 12), 25) + "!!" * (i % 3) for i in range(60)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)]
+    p = quality.Params(bits=10)
+    got = quality.train(frame(spark, texts), spark.createDataFrame(labels, "doc_id bigint, quality int"), p)
+    examples = []
+    for (_, y), t in zip(labels, texts):
+        index, _ = quality.features(*buffers(pa.array([t])), p.bits)
+        counts = collections.Counter(index.tolist())
+        vector = [(i, counts[i] / math.sqrt(sum(counts.values()))) for i in sorted(counts)] + [(1 << p.bits, 1.0)]
+        examples.append((vector, y))
+    examples.sort(key=lambda e: (len(e[0]), np.array([i for i, _ in e[0]], np.int64).tobytes()))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(i):  # the minimiser of the regularised leader, coordinate by coordinate
+        return 0.0 if abs(z[i]) <= p.l1 else -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        for k in order.permutation(len(examples)):
+            vector, y = examples[k]
+            w = {i: weight(i) for i, _ in vector}
+            error = 1 / (1 + math.exp(-sum(w[i] * x for i, x in vector))) - y
+            for i, x in vector:
+                g = error * x
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha * w[i]
+                n[i] += g * g
+    assert all(got[i] == pytest.approx(weight(i), abs=1e-5) for i in range((1 << p.bits) + 1)) and np.count_nonzero(got) > 20
+    scored = {r.doc_id: r.quality for r in quality.score(frame(spark, texts), got, p).collect()}
+    for (i, _), t in zip(labels, texts):
+        counts = collections.Counter(quality.features(*buffers(pa.array([t])), p.bits)[0].tolist())
+        s = sum(got[j] * c for j, c in counts.items()) / math.sqrt(sum(counts.values()))
+        assert scored[i] == pytest.approx(1 / (1 + math.exp(-(got[-1] + s))), abs=2e-6)
+    # a tie with the threshold stays, ids of any kind and clashing columns pass, and nothing comes of nothing
+    tie = quality.Params(bits=10, threshold=float(1 / (1 + np.exp(-np.float64(got[-1])))))
+    docs = frame(spark, ["", None, ""], [1, 2, None]).withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("quality", F.lit("mine"))
+    assert quality.keep_good(docs, got, tie).count() == 2 and quality.keep_good(docs, got, tie).columns == docs.columns
+    assert quality.score(docs, got, p).schema["doc_id"].dataType.simpleString() == "string" and quality.keep_good(docs.limit(0), got, p).count() == 0
+    assert quality.score(docs.limit(0), got, p).count() == 0
+
+
 def test_maxscore(spark, odd):
     rng = random.Random(5)
     texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(60))) for _ in range(300)] + ["w1 w2"] * 15
@@ -309,6 +351,18 @@ def test_repeats(spark, odd):
     assert repeats.repeats(odd).count() == 0 and repeats.repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_of_versions_and_other_ids(spark):
+    rng = random.Random(16)
+    first, second = prose(rng, 55, 5000), prose(rng, 70, 5000)
+    texts = [prose(rng, 60, 5000), f"x {second}", f"{second} y", f"{first} z", f"q {first}", f"q {first}"]
+    ids = [1, 1, 2, 1, 3, 3]  # both versions of 1 that share a passage are found, wherever their texts sort
+    want = {1: [(0, 71)], 2: [(0, 70)], 3: [(1, 56)]}  # of 1: words 1 to 70 of one version and 0 to 54 of another
+    for kind in ("bigint", "string", "int"):
+        rows = repeats.repeats(frame(spark, texts, ids).withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        assert {int(r.doc_id): [(s.begin, s.end) for s in r.spans] for r in rows} == want
+    assert repeats.repeats(frame(spark, [None, "", first, first], [1, 2, None, 3])).count() == 0
+
+
 def test_mixing(spark, odd):
     rng = random.Random(7)
     rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice("ab"), rng.choice(["s", "t", None])) for i in range(400)]
@@ -447,6 +501,54 @@ def test_pieces(spark, odd):
     assert len(out) == odd.count() and all((r.pieces is None) == (r.text is None) and r.lossless is not False for r in out)
 
 
+def test_pieces_against_the_whole_lattice(spark):
+    p = pieces.Params()
+    v = pieces.Vocabulary.load(p)
+    text, n = "it☃ is,\nan é", 20_000
+
+    def cuts(t):  # of the whole text, without units
+        if not t:
+            return [()]
+        out = [(v.ids[t[:j]], *rest) for j in range(1, len(t) + 1) if t[:j] in v.ids for rest in cuts(t[j:])]
+        return out if t[0] in v.ids else out + [(*(int(v.byte_ids[x]) for x in t[0].encode()), *rest) for rest in cuts(t[1:])]
+
+    every = cuts(text)
+    bytes_of = set(v.byte_ids.tolist())
+    weigh = lambda c: math.prod(v.byte_weight if i in bytes_of else v.weights[i] for i in c)
+    total = sum(map(weigh, every))
+    ids, first = pieces.Sampler(v, p).encode(np.arange(n), [text] * n)
+    seen = collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(first[:-1], first[1:]))
+    assert len(every) == len(set(every)) > 8 and set(seen) <= set(every)
+    assert all(abs(seen[c] / n - weigh(c) / total) < 0.02 for c in every)
+    # a long unit is filtered alone, by the same rules; what is cut depends on the key and the text, not on the batch
+    long = "".join(random.Random(3).choice("abcdeftion") for _ in range(3000))
+    texts = [long, text, "", long + " " + text, "aa" * 800]
+    keys = np.array([5, 6, 7, 8, 9])
+    ids, first = pieces.Sampler(v, p).encode(keys, texts)
+    for k in (3, 0, 4, 1, 2):
+        alone, _ = pieces.Sampler(v, p).encode(keys[k : k + 1], texts[k : k + 1])
+        assert alone.tolist() == ids[first[k] : first[k + 1]].tolist() and pieces.decode(alone, v.surfaces) == texts[k]
+    docs = frame(spark, texts[:3] + [None], [1, 2, 3, 4]).withColumn("doc_id", F.concat(F.lit("id"), "doc_id"))
+    rows = pieces.encode(docs).collect()
+    assert [r.lossless for r in sorted(rows)] == [True, True, True, None] and pieces.encode(docs.limit(0)).count() == 0
+
+
+def test_stages_on_odd_and_empty_documents(spark, odd):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "score")
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            got = stage(spark, some, sf)
+            assert got.columns[: len(docs.columns)] == docs.columns and got.count() <= some.count(), name
+
+
+def test_media_keys_of_any_kind(spark):
+    media = spark.createDataFrame([("a", "some text"), ("a", "some text"), ("b", ""), (None, "x"), ("c", None)], "k string, p string")
+    assert sorted((r.media_id, r.chunks, r.size, r.verified) for r in chunks.chunked(media, "k", "p").collect()) == [("a", 1, 9, True), ("b", 0, 0, True)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
