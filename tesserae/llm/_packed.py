@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from ._text import released
 
 
-def buckets(docs: DataFrame, size: int = 4 << 20) -> int:
+def buckets(docs: DataFrame, size: int = 2 << 20) -> int:
     """How many buckets bound what each holds: one for ``size`` bytes of input, a power of two."""
     spark = docs.sparkSession
     total = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -38,13 +38,13 @@ _KIND = 1 << 24  # where kinds are counted together, their buckets are numbered
 @dataclass(frozen=True)
 class Params:
     """Counts above ``k`` are not discounted; ``block`` bytes of text are counted before they are sent; ``order`` words at most
-    make an n-gram; words of more than ``share`` of all are hot; look-ups go out in ``parts``, by home, one after the other."""
+    make an n-gram; words of more than ``share`` of all are hot; n-grams go out in ``parts``, by home, one after the other."""
 
     k: int = 5
     block: int = 3 << 20
     order: int = 2
     share: float = 1 / 256
-    parts: int = 3
+    parts: int = 1
 
 
 class HotWords:
@@ -81,28 +81,36 @@ class Model:
     both: np.ndarray = field(default_factory=lambda: np.zeros((1, 1)))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(c, doc, ids) of about ``size`` bytes of whole documents at a time; c[:, 0] are words, c[:, m] the m-th words before."""
+def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, c, doc, ids) of about ``size`` bytes of whole documents at a time.
+
+    ``words`` are sorted; words[c[:, 0]] are those of the texts in order, words[c[:, m]] the m-th words before them.
+    """
     held: list[tuple] = []
     n = docs = 0
     for b in batches:
         ids = b.column(0).to_numpy()
         for i, j, data, offsets in slices(b.column(1), 1 << 20):
             t = Tokens(data, offsets)
-            place = np.arange(len(t.hash)) - t.first[t.doc]
-            c = np.empty((len(t.hash), order), np.uint64)
-            c[:, 0] = t.hash
-            for m in range(1, order):
-                c[:m, m] = BEGIN
-                c[m:, m] = t.hash[: max(0, len(t.hash) - m)]
-                c[place < m, m] = BEGIN
-            held.append((c, t.doc + docs, ids[i:j]))
+            held.append((t.hash, t.doc + docs, ids[i:j], np.arange(len(t.hash)) - t.first[t.doc]))
             n, docs = n + len(data), docs + j - i
             if n >= size:
-                yield tuple(np.concatenate(x) for x in zip(*held))
+                yield _block(held, order)
                 held, n, docs = [], 0, 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield _block(held, order)
+
+
+def _block(held: list[tuple], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hashes, doc, ids, place = (np.concatenate(x) for x in zip(*held))
+    words, _, at, _ = distinct(np.append(hashes, BEGIN))
+    c = np.empty((len(hashes), order), np.int32)
+    c[:, 0] = at[:-1]
+    for m in range(1, order):
+        c[:m, m] = at[-1]
+        c[m:, m] = at[: max(0, len(hashes) - m)]
+        c[place < m, m] = at[-1]
+    return words, c, doc, ids
 
 
 def context(c: np.ndarray, m: int) -> np.ndarray:
@@ -113,6 +121,17 @@ def context(c: np.ndarray, m: int) -> np.ndarray:
     return x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each element among them, how often each stands there)."""
+    order = np.argsort(x)
+    own = x[order]
+    new = np.append(True, own[1:] != own[:-1])[: len(own)]
+    head = np.flatnonzero(new)
+    at = np.empty(len(x), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return own[head], order[head], at, np.diff(np.append(head, len(x)))
+
+
 def _in(key: np.ndarray, count: int) -> np.ndarray:
     return (key >> U64(64 - (count.bit_length() - 1))).astype(np.int64)
 
@@ -126,17 +145,40 @@ def _homes(c: np.ndarray, hot: HotWords, count: int) -> tuple[np.ndarray, np.nda
     return h, np.where(h > 0, -1, home) if c.shape[1] == 2 else home
 
 
-def _pack(c: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
-    """Distinct words of a matrix, the place of each element in them, column by column, and the order in which rows are packed."""
-    words, at = np.unique(c, return_inverse=True)
-    at = at.reshape(c.shape)
-    order = np.lexsort([at[:, k] for k in (0, *range(c.shape[1] - 1, 0, -1))])
-    return ascending(words), planes(at[order].T.ravel().astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)), order
+class Packer:
+    """Packs rows of word numbers against the sorted words that they number."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.seen, self.rank = words, np.zeros(len(words), bool), np.empty(len(words), np.int32)
+
+    def pack(self, rows: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+        """The words that occur, the number of each element among them, column by column, and the order in which rows are packed."""
+        self.seen[rows.ravel()] = True
+        own = np.flatnonzero(self.seen)
+        self.seen[own], self.rank[own] = False, np.arange(len(own), dtype=np.int32)
+        at = self.rank[rows]
+        columns = (*range(1, rows.shape[1]), 0)
+        if len(own) ** len(columns) < 1 << 62:
+            key = np.zeros(len(rows), np.int64)
+            for k in columns:
+                key = key * len(own) + at[:, k]
+            order = np.argsort(key)
+        else:
+            order = np.lexsort([at[:, k] for k in columns[::-1]])
+        return ascending(self.words[own]), planes(at[order].T.ravel().astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)), order
 
 
-def _unpack(words: bytes, at: bytes, columns: int) -> np.ndarray:
+def _unpack(words: bytes, at: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, rows of their numbers)."""
     w = unascending(words)
-    return w[unplanes(at, np.uint16 if len(w) <= 1 << 16 else np.uint32).reshape(columns, -1).T]
+    return w, unplanes(at, np.uint16 if len(w) <= 1 << 16 else np.uint32).reshape(columns, -1).T
+
+
+def _unpack_all(rows: list[dict], columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of several rows together."""
+    parts = [_unpack(r["words"], r["at"], columns) for r in rows]
+    words = np.unique(np.concatenate([w for w, _ in parts]))
+    return words, np.concatenate([np.searchsorted(words, w).astype(np.int32)[at] for w, at in parts])
 
 
 def _row(kind: int, bucket: int, **values: bytes) -> tuple:
@@ -149,7 +191,7 @@ def _batch(rows: list[tuple], names: list[str] = _NAMES) -> pa.RecordBatch:
 
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) of each bucket."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
     own = bucket[order]
     cut = [*np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist(), len(own)] if len(own) else [0]
     for a, b in zip(cut[:-1], cut[1:]):
@@ -158,8 +200,9 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _count_words(p: Params, count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, _, _ in blocks(batches, p.block, 1):
-            words, n = np.unique(c[:, 0], return_counts=True)
+        for words, c, _, _ in blocks(batches, p.block, 1):
+            n = np.bincount(c[:, 0], minlength=len(words))
+            words, n = words[n > 0], n[n > 0]
             cut = bounds(words, count)
             yield _batch([_row(WORD, k, words=ascending(words[cut[k] : cut[k + 1]]), n=planes(n[cut[k] : cut[k + 1]].astype(np.uint32))) for k in np.flatnonzero(np.diff(cut))])
 
@@ -193,24 +236,27 @@ def _frequent(least: float):
     return run
 
 
-def _count(p: Params, count: int, hot: HotWords):
-    def send(kind: int, c: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-        _, first, n = np.unique(pair(context(c, c.shape[1]), c[:, 0]), return_index=True, return_counts=True)
-        c, bucket, rows = c[first], bucket[first], []
+def _count(p: Params, count: int, hot: HotWords, part: int):
+    """Distinct n-grams of blocks, of the homes of one part; bigrams of hot words go out with the first."""
+
+    def send(kind: int, words: np.ndarray, rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+        c = words[rows]
+        _, first, _, n = distinct(pair(context(c, c.shape[1]), c[:, 0]))
+        rows, bucket, packer, out = rows[first], bucket[first], Packer(words), []
         for k, own in _by_bucket(bucket):
-            words, at, order = _pack(c[own])
-            rows.append(_row(kind, k + kind * _KIND, words=words, at=at, n=planes(n[own][order].astype(np.uint32))))
-        return _batch(rows)
+            own_words, at, order = packer.pack(rows[own])
+            out.append(_row(kind, k + kind * _KIND, words=own_words, at=at, n=planes(n[own][order].astype(np.uint32))))
+        return _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, _, _ in blocks(batches, p.block, p.order):
-            h, home = _homes(c, hot, count)
-            some = home >= 0
+        for words, rows, _, _ in blocks(batches, p.block, p.order):
+            h, home = _homes(words[rows], hot, count)
+            some = home * p.parts // count == part
             if some.any():
-                yield send(GRAM, c[some], home[some])
+                yield send(GRAM, words, rows[some], home[some])
             some = h > 0
-            if some.any():
-                yield send(HOT, c[some][:, :2], _in(c[some, 0], count))
+            if part == 0 and some.any():
+                yield send(HOT, words, rows[some][:, :2], _in(words[rows[some, 0]], count))
 
     return released(run)
 
@@ -221,11 +267,12 @@ def _sum(p: Params, hot: HotWords):
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         kind, bucket = divmod(bucket, _KIND)
         columns = 2 if kind == HOT else p.order
-        c = np.concatenate([_unpack(r["words"], r["at"], columns) for r in rows])
+        words, at = _unpack_all(rows, columns)
         n = np.concatenate([unplanes(r["n"], np.uint32) for r in rows])
         rows.clear()
-        _, first, at = np.unique(pair(context(c, columns), c[:, 0]), return_index=True, return_inverse=True)
-        c, n = c[first], np.bincount(at, weights=n)
+        c = words[at]
+        _, first, which, _ = distinct(pair(context(c, columns), c[:, 0]))
+        c, at, n = c[first], at[first], np.bincount(which, weights=n)
         few = np.zeros((p.order + 1, p.k + 2), np.int64)
         cold = hot.of(c[:, 1]) == 0
         for m in range(2, columns + 1):
@@ -233,9 +280,9 @@ def _sum(p: Params, hot: HotWords):
                 few[m] = _few(n, p.k)
             else:
                 own = slice(None) if m > 2 else cold
-                _, at = np.unique(pair(context(c[own], m), c[own, 0]), return_inverse=True)
-                few[m] = _few(np.bincount(at, weights=n[own]), p.k)
-        words, at, order = _pack(c)
+                _, _, which, _ = distinct(pair(context(c[own], m), c[own, 0]))
+                few[m] = _few(np.bincount(which, weights=n[own]), p.k)
+        words, at, order = Packer(words).pack(at)
         yield _batch([_row(kind, bucket, words=words, at=at, n=planes(n[order].astype(np.uint64)), x=few.tobytes())])
 
     return reduce
@@ -276,7 +323,8 @@ class Words:
             self.words, self.n = unascending(own[WORD]["words"]), unplanes(own[WORD]["n"], np.uint64).astype(float)
         self.key, self.pairs = np.full(1, -1), np.zeros(1)
         if HOT in own:
-            c = _unpack(own[HOT]["words"], own[HOT]["at"], 2)
+            words, at = _unpack(own[HOT]["words"], own[HOT]["at"], 2)
+            c = words[at]
             key = np.searchsorted(self.words, c[:, 0]) * self.many + hot.of(c[:, 1])
             order = np.argsort(key)
             self.key, self.pairs = key[order], unplanes(own[HOT]["n"], np.uint64).astype(float)[order]
@@ -312,26 +360,26 @@ def _hot_pairs(hot: HotWords):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for words, at, raw in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                c, n = _unpack(words, at, 2), unplanes(raw, np.uint64).astype(np.int64)
+                own, at = _unpack(words, at, 2)
+                c, n = own[at], unplanes(raw, np.uint64).astype(np.int64)
                 w = hot.of(c[:, 0])
                 yield pa.record_batch([pa.array(hot.of(c[:, 1])[w > 0]), pa.array(w[w > 0]), pa.array(n[w > 0])], ["first", "second", "n"])
 
     return run
 
 
-def _asks(c: np.ndarray, hot: HotWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _asks(words: np.ndarray, rows: np.ndarray, hot: HotWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (word, number of a hot context word before it), sorted, and the place of each n-gram's in them."""
-    w, at = np.unique(c[:, 0], return_inverse=True)
     many = len(hot.words) + 1
-    key, at = np.unique(at * many + hot.of(c[:, 1]), return_inverse=True)
-    return w[key // many], key % many, at
+    key, _, at, _ = distinct(rows[:, 0].astype(np.int64) * many + hot.of(words)[rows[:, 1]])
+    return words[key // many], key % many, at
 
 
 def _ask(order: int, count: int, hot: HotWords):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for home, words, at in zip(*[b.column(k).to_pylist() for k in range(3)]):
-                w, h, _ = _asks(_unpack(words, at, order), hot)
+                w, h, _ = _asks(*_unpack(words, at, order), hot)
                 cut = bounds(w, count)
                 own = [(int(k), slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
                 yield _batch([_row(LOOK, k, words=ascending(w[s]), at=planes(h[s].astype(np.uint32)), x=int(home).to_bytes(4, "little")) for k, s in own])
@@ -358,19 +406,20 @@ class Level:
 
     def __init__(self, c: np.ndarray, n: np.ndarray, m: int, d: np.ndarray):
         ctx = context(c, m)
-        self.gram, self.first, self.at = np.unique(pair(ctx, c[:, 0]), return_index=True, return_inverse=True)
+        self.gram, self.first, self.at, _ = distinct(pair(ctx, c[:, 0]))
         n = np.bincount(self.at, weights=n)
-        self.ctx, self.of = np.unique(ctx[self.first], return_inverse=True)
+        self.ctx, _, self.of, _ = distinct(ctx[self.first])
         kept = discounted(n, d)
         total, self.kept = np.bincount(self.of, weights=n), np.bincount(self.of, weights=kept)
         self.total = _enough(total, self.kept)
         self.p = kept / self.total[self.of]
 
 
-def _levels(row: dict, order: int, d: dict[int, np.ndarray], hot: HotWords) -> tuple[np.ndarray, np.ndarray, dict[int, Level]]:
-    c, n = _unpack(row["words"], row["at"], order), unplanes(row["n"], np.uint64).astype(float)
+def _levels(words: np.ndarray, rows: np.ndarray, raw: bytes, order: int, d: dict[int, np.ndarray], hot: HotWords) -> tuple[np.ndarray, dict[int, Level]]:
+    """Which n-grams have a last context word that isn't hot, and the levels of all orders."""
+    c, n = words[rows], unplanes(raw, np.uint64).astype(float)
     cold = hot.of(c[:, 1]) == 0
-    return c, cold, {m: Level(c, n, m, d[m]) if m > 2 else Level(c[cold], n[cold], m, d[m]) for m in range(2, order + 1)}
+    return cold, {m: Level(c, n, m, d[m]) if m > 2 else Level(c[cold], n[cold], m, d[m]) for m in range(2, order + 1)}
 
 
 def _weigh(order: int, d: dict[int, np.ndarray], denominator: float, total: np.ndarray, hot: HotWords):
@@ -380,8 +429,9 @@ def _weigh(order: int, d: dict[int, np.ndarray], denominator: float, total: np.n
         own = next(r for r in rows if r["kind"] == GRAM)
         told = sorted((r for r in rows if r["kind"] == LOOK), key=lambda r: int.from_bytes(r["x"], "little"))
         told = np.concatenate([unplanes(r["n"], np.uint64) for r in told]).astype(float)  # in the order of what was asked
-        c, cold, levels = _levels(own, order, d, hot)
-        _, h, at = _asks(c, hot)
+        words, at = _unpack(own["words"], own["at"], order)
+        cold, levels = _levels(words, at, own["n"], order, d, hot)
+        _, h, at = _asks(words, at, hot)
         # the probability of each n-gram's word one order below, from the lowest that the bucket has
         low = np.where(h > 0, discounted(told, d[2]) / total[h], discounted(told, d[1]) / denominator)[at]
         out = []
@@ -405,7 +455,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     """
     if p.order < 2:
         raise ValueError("the order must be at least 2")
-    count = buckets(docs)
+    count = buckets(docs, 4 << 20)
     rows = docs.select("doc_id", "text").dropna().select(F.lit(0).cast("bigint").alias("doc_id"), "text")
     words = materialize(exchange(rows.mapInArrow(_count_words(p, count), _ROWS), _sum_words(p), _ROWS), "word-counts")
     few = {1: np.zeros(p.k + 2)} | {m: np.zeros(p.k + 2) for m in range(2, p.order + 1)}
@@ -424,8 +474,9 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     for w, n in frequent:
         word[hot.of(np.array([w], np.int64).view(np.uint64))] = discounted(np.array([float(n)]), d[1]) / denominator
 
-    table = materialize(exchange(rows.mapInArrow(_count(p, count, hot), _ROWS), _sum(p, hot), _ROWS), "ngram-counts", ("kind",))
-    table = table.select(*_NAMES)
+    # part by part, so that what is on its way at once is a share of the corpus
+    parts = [materialize(exchange(rows.mapInArrow(_count(p, count, hot, part), _ROWS), _sum(p, hot), _ROWS), "ngram-counts", ("kind",)) for part in range(p.parts)]
+    table = reduce(DataFrame.unionByName, parts).select(*_NAMES)
     for r in table.select("x").collect():  # a few numbers a bucket
         own = np.frombuffer(bytes(r.x), np.int64).reshape(p.order + 1, -1)
         for m in range(2, p.order + 1):
@@ -447,9 +498,10 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
 
 
 def _occurrences(c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of ``c``, how often each stands there, and the documents of all, row by row."""
-    _, first, at, many = np.unique(pair(context(c, c.shape[1]), c[:, 0]), return_index=True, return_inverse=True, return_counts=True)
-    return c[first], many, doc[np.argsort(at, kind="stable")]
+    """Places of the distinct rows of ``c``, how often each stands there, and the documents of all, row by row."""
+    order = np.argsort(name := pair(context(c, c.shape[1]), c[:, 0]))
+    head = np.flatnonzero(np.append(True, name[order[1:]] != name[order[:-1]])[: len(order)])
+    return order[head], np.diff(np.append(head, len(order))), doc[order]
 
 
 def _docs(doc: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
@@ -484,15 +536,18 @@ def _sums(ids: np.ndarray, doc: np.ndarray, value: np.ndarray) -> tuple:
 
 def _lookups(p: Params, count: int, hot: HotWords, order: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c, doc, ids in blocks(batches, p.block, order):
+        for words, at, doc, ids in blocks(batches, p.block, order):
+            c = words[at]
             h, home = _homes(c, hot, count)
-            own, rows = home * p.parts // count == part, []
-            for k, at in _by_bucket(home[own]):
-                grams, many, docs = _occurrences(c[own][at], doc[own][at])
-                words, where, by = _pack(grams)
-                stop = np.append(0, np.cumsum(many))
-                docs = docs[np.repeat(stop[:-1][by], many[by]) + np.arange(len(docs)) - np.repeat(np.cumsum(many[by]) - many[by], many[by])]
-                rows.append(_row(LOOK, k, words=words, at=where, many=planes(many[by].astype(np.uint32)), **_docs(docs, ids)))
+            own, rows, packer = np.flatnonzero(home * p.parts // count == part), [], Packer(words)
+            for k, some in _by_bucket(home[own]):
+                some = own[some]
+                first, many, docs = _occurrences(c[some], doc[some])
+                own_words, where, by = packer.pack(at[some[first]])
+                start = np.cumsum(many) - many
+                many = many[by]
+                docs = docs[np.repeat(start[by], many) + np.arange(len(docs)) - np.repeat(np.cumsum(many) - many, many)]
+                rows.append(_row(LOOK, k, words=own_words, at=where, many=planes(many.astype(np.uint32)), **_docs(docs, ids)))
             if part == 0 and (away := home < 0).any():  # bigrams of hot words
                 rows += _fall(c[away, 0], h[away], np.zeros(away.sum()), np.ones(away.sum(), np.int64), doc[away], ids, count)
             if rows:
@@ -509,7 +564,7 @@ def _look_up(m: Model):
         own = {r["kind"]: r for r in rows if r["kind"] in (GRAM, BACK)}
         levels, weights = {}, {}
         if own:
-            _, _, levels = _levels(own[GRAM], order, d, hot)
+            _, levels = _levels(*_unpack(own[GRAM]["words"], own[GRAM]["at"], order), own[GRAM]["n"], order, d, hot)
             values = np.frombuffer(own[BACK]["x"])
             for k, level in levels.items():
                 weights[k], values = values[: len(level.ctx)], values[len(level.ctx) :]
@@ -518,7 +573,8 @@ def _look_up(m: Model):
                 yield _batch([tuple(r[x] for x in _NAMES)])
             if r["kind"] != LOOK:
                 continue
-            c = _unpack(r["words"], r["at"], order)
+            words, at = _unpack(r["words"], r["at"], order)
+            c = words[at]
             h = hot.of(c[:, 1])
             value, weight, left = np.zeros(len(c)), np.zeros(len(c)), np.ones(len(c), bool)
             for k in range(order, 1, -1):

@@ -19,7 +19,10 @@ DIMS = ("source", "lang", "topic")
 
 @dataclass(frozen=True)
 class Params:
-    """``power`` flattens the observed shares of each dimension into its target; ``fraction`` of all tokens is drawn."""
+    """``power`` flattens the observed shares of each dimension into its target; ``fraction`` of all tokens is drawn.
+
+    Raking takes ``rounds`` at most, and ends once no weight moves any more (by a part in 10^13).
+    """
 
     power: tuple[float, float, float] = (0.7, 0.8, 1.0)
     rounds: int = 25
@@ -64,11 +67,16 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
         table = table.join(share.select(d, (F.col("share") / F.lit(norm) * F.lit(total)).alias(f"target_{d}")), d)
     # a cell's weight is its tokens by a factor of each dimension, so a step needs the sums of one dimension alone
     table = materialize(table.withColumn("w", F.col("tokens")), "raked")
-    for r in range(p.rounds):
+    for _ in range(p.rounds):
+        table = table.withColumn("before", F.col("w"))
         for d in DIMS:
             now = table.groupBy(d).agg(F.sum("w").alias("now"))
             table = table.join(now, d).withColumn("w", F.col("w") * F.col(f"target_{d}") / F.col("now")).drop("now")
         table = materialize(table, "raked")
+        moved = table.agg(F.max(F.abs(F.col("w") / F.col("before") - 1))).first()[0]
+        table = table.drop("before")
+        if moved < 1e-13:
+            break
     table = materialize(table.select(*DIMS, "tokens", (F.col("w") / F.col("tokens")).alias("factor")), "factors")
     s = _scale(table, p.fraction * total)
     return table.select(*DIMS, F.col("tokens").cast("bigint").alias("tokens"), "factor", F.least(F.lit(1.0), F.col("factor") * F.lit(s)).alias("probability"))
