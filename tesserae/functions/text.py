@@ -17,6 +17,5 @@ _SPLIT = r"[^\p{L}\p{N}]+"
 
 def tokens(text: Column) -> Column:
     """The kept tokens of a text in order, repeats included."""
-    # checked against an array literal, which Spark folds once
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: (F.octet_length(t) > 1) & ~F.array_contains(stop, t))
+    # a list of literals this long becomes a hash set
+    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: (F.octet_length(t) > 1) & ~t.isin(*STOP_WORDS))

@@ -1,7 +1,8 @@
 """Approximate search: inverted lists round k-means centres, and product quantization.
 
-Neither is a graph index. ``m``, ``ef_construction`` and ``ef_search`` are accepted and checked where a collection is made but mean
-nothing here, as collections are searched exactly; ``nprobe`` sets how many lists are probed.
+Neither is a graph index. Centres are fitted on at most ``sample`` vectors; every vector is indexed. An index is written once, a
+folder a list, and a search reads the folders that it probes: ``nprobe`` of them, or, as ``ef_search``, enough for that many
+vectors. ``m`` and ``ef_construction`` mean nothing here.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, distance, vector
 from ..functions.limits import PQ_CENTROIDS, PQ_ITERATIONS
+from ..sources.scratch import new_path
 
 SHORT = 1e-4  # two vectors of at least this length have a cosine similarity that is not put to 0
 
@@ -62,47 +64,127 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Ivf:
-    """Vectors with their list number, and the centres."""
+    """Vectors with their list number, the centres, and how many vectors each list has."""
 
     rows: DataFrame
     centres: np.ndarray
     metric: Metric
+    sizes: np.ndarray
 
-    def probe(self, query, nprobe: int) -> DataFrame:
-        """The rows of the ``nprobe`` lists nearest to the query: a filter on the list, hence on partitions once stored."""
-        q = np.asarray(query, float)
-        order = np.argsort(((self.centres - q) ** 2).sum(1), kind="stable")[:nprobe]
-        return self.rows.where(F.col("list").isin([int(x) for x in order]))
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "Ivf":
+        """A written index."""
+        table = spark.read.parquet(f"{path}/centres").orderBy("list").collect()  # one row a list
+        return cls(spark.read.parquet(f"{path}/rows"), np.array([r.centre for r in table], float), Metric.of(table[0].metric), np.array([r.size for r in table]))
 
-    def search(self, query, k: int, nprobe: int) -> DataFrame:
-        """(seq, score) of the k best in the probed lists; more lists are probed until k rows are found or all were."""
-        while True:
-            rows = self.probe(query, nprobe)
-            score = (1 - distance(self.metric, vector(query), F.col("embedding"))).alias("score")
-            found = rows.select("seq", score).orderBy(F.desc("score"), F.desc("seq")).limit(k)
-            if nprobe >= len(self.centres) or found.count() >= k:
-                return found
-            nprobe *= 2
+    def near(self, query) -> np.ndarray:
+        """The lists, nearest first; those of cosine by the direction of the query."""
+        q = np.asarray(query, float)
+        if self.metric is Metric.COSINE:
+            q = _unit(q[None])[0][0]
+        return np.argsort(((self.centres - q) ** 2).sum(1), kind="stable")
+
+    def lists(self, query, k: int, nprobe: int | None = None, ef_search: int | None = None) -> np.ndarray:
+        """The lists to probe: ``nprobe``, or enough for ``ef_search`` vectors, and more until they hold ``k`` if all do."""
+        order = self.near(query)
+        held = np.cumsum(self.sizes[order])
+        enough = int(np.searchsorted(held, max(k, ef_search or 0), "left")) + 1
+        return order[: max(enough, nprobe or 1)]
+
+    def probe(self, query, k: int, nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
+        """The rows of the probed lists: a filter on the folders of the stored index."""
+        return self.rows.where(F.col("list").isin([int(x) for x in self.lists(query, k, nprobe, ef_search)]))
+
+    def search(self, query, k: int, nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
+        """(seq, score) of the k best in the probed lists, reranked by exact distance."""
+        score = (1 - distance(self.metric, vector(query), F.col("embedding"))).alias("score")
+        return self.probe(query, k, nprobe, ef_search).select("seq", score).orderBy(F.desc("score"), F.desc("seq")).limit(k)
 
+    def batch(self, queries: DataFrame, k: int, nprobe: int, block: int = 2000) -> DataFrame:
+        """(query_id, seq, score) of the k best of each row of ``queries`` (query_id, query) in its ``nprobe`` nearest lists.
 
-def build_ivf(docs: DataFrame, lists: int = 16, metric: Metric | str = Metric.COSINE, sample: int = 20_000, seed: int = 42) -> Ivf:
-    """Centres fitted on at most ``sample`` vectors; every vector gets the number of its nearest centre."""
-    centres = kmeans(_sample(docs, sample), lists, seed=seed)
-    shared = docs.sparkSession.sparkContext.broadcast(centres)
+        Queries go out in blocks of ``block``; a batch of vectors of one list meets those that probe it.
+        """
+        spark = queries.sparkSession
+        asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query").cast("array<float>").alias("query")).dropna()
+        parts, out = -(-asked.count() // block) or 1, None
+        for part in range(parts):
+            own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
+            mask = np.zeros((len(own), len(self.centres)), bool)
+            for i, r in enumerate(own):
+                mask[i, self.lists(r.query, k, nprobe)] = True
+            shared = spark.sparkContext.broadcast((np.array([r.query_id for r in own], np.int64), np.array([r.query for r in own], float), mask))
+            found = self.rows.mapInArrow(_probe(shared, self.metric, k), "query_id bigint, seq bigint, score double")
+            out = found if out is None else out.unionByName(found)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("seq"))
+        return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
+
+
+def _probe(shared, metric: Metric, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, mask = shared.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            seq, lists = b.column("seq").to_numpy(), b.column("list").to_numpy()
+            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(seq), -1)
+            for one in np.unique(lists):
+                at, who = np.flatnonzero(lists == one), np.flatnonzero(mask[:, one])
+                if not len(who):
+                    continue
+                s = scores(metric, q[who], v[at])
+                best = np.lexsort((np.broadcast_to(-seq[at], s.shape), -s))[:, :k]
+                n = best.shape[1]
+                yield pa.record_batch([pa.array(np.repeat(ids[who], n)), pa.array(seq[at][best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "seq", "score"])
+
+    return run
+
+
+def scores(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """1 - distance of each query to each vector."""
+    s = q @ v.T
+    if metric is Metric.EUCLIDEAN:
+        return 1 - ((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * s)
+    if metric is Metric.DOT:
+        return 1 + s
+    scale = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None]
+    return np.divide(s, scale, out=np.zeros_like(s), where=scale >= 1e-10)
+
+
+def build_ivf(docs: DataFrame, lists: int = 16, metric: Metric | str = Metric.COSINE, sample: int = 20_000, seed: int = 42, path: str | None = None) -> Ivf:
+    """Centres fitted on at most ``sample`` vectors; every vector is written to the folder of its nearest centre.
+
+    For cosine, centres and vectors are compared at unit length. Without a path the index goes to the shared folder.
+    """
+    metric, spark = Metric.of(metric), docs.sparkSession
+    path = path or new_path(spark, "vector-index")
+    x = _sample(docs, sample)
+    centres = kmeans(_unit(x)[0] if metric is Metric.COSINE and len(x) else x, lists, seed=seed) if len(x) else np.zeros((lists, 1))
+    shared = spark.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, shared.value.shape[1]))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(nearest(v, shared.value).astype(np.int32))], ["seq", "embedding", "list"])
+            if b.num_rows:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                own = nearest(_unit(v)[0] if metric is Metric.COSINE else v, shared.value)
+                yield pa.record_batch([b.column(0), b.column(1), pa.array(own.astype(np.int32))], ["seq", "embedding", "list"])
 
     rows = docs.where("embedding is not null").select("seq", "embedding").mapInArrow(run, "seq bigint, embedding array<float>, list int")
-    return Ivf(rows, centres, Metric.of(metric))
+    # a large list is spread over several files, so that no task writes it alone
+    rows.repartition("list", F.pmod(F.xxhash64("seq"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/rows")
+    # an index of no vectors has no folder to tell its schema
+    stored = spark.read.schema("seq bigint, embedding array<float>, list int").parquet(f"{path}/rows")
+    size = dict(tuple(r) for r in stored.groupBy("list").count().collect())
+    table = [(i, [float(x) for x in c], int(size.get(i, 0)), metric.value) for i, c in enumerate(centres)]
+    spark.createDataFrame(table, "list int, centre array<double>, size bigint, metric string").coalesce(1).write.parquet(f"{path}/centres")
+    return Ivf(stored, centres, metric, np.array([r[2] for r in table]))
 
 
 def recall(found: DataFrame, true: DataFrame) -> float:
-    """The share of true neighbours that were found."""
+    """The share of true neighbours, of one query or by ``query_id``, that were found."""
+    keys = [c for c in ("query_id", "seq") if c in true.columns]
     n = true.count()
-    return true.join(found.select("seq"), "seq", "left_semi").count() / n if n else 1.0
+    return true.join(found.select(*keys), keys, "left_semi").count() / n if n else 1.0
 
 
 @dataclass
@@ -121,6 +203,25 @@ class Pq:
         x = _unit(x)[0] if metric is Metric.COSINE else x
         return cls(np.stack([kmeans(part, PQ_CENTROIDS, seed=seed + j) for j, part in enumerate(np.split(x, subspaces, 1))]), metric)
 
+    def write(self, docs: DataFrame, path: str) -> DataFrame:
+        """Store the centres and the codes of all vectors; the stored codes."""
+        spark = docs.sparkSession
+        rows = [(j, c, [float(x) for x in v], self.metric.value) for j, part in enumerate(self.centres) for c, v in enumerate(part)]
+        spark.createDataFrame(rows, "part int, code int, centre array<double>, metric string").coalesce(1).write.parquet(f"{path}/centres")
+        self.encode(docs).write.parquet(f"{path}/codes")
+        return spark.read.parquet(f"{path}/codes")
+
+    def add(self, docs: DataFrame, path: str) -> None:
+        """Store the codes of more vectors by the centres that are there."""
+        self.encode(docs).write.mode("append").parquet(f"{path}/codes")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> tuple["Pq", DataFrame]:
+        """A stored quantizer and its codes."""
+        rows = spark.read.parquet(f"{path}/centres").orderBy("part", "code").collect()  # 256 a subspace
+        centres = np.array([r.centre for r in rows]).reshape(rows[-1].part + 1, PQ_CENTROIDS, -1)
+        return cls(centres, Metric.of(rows[0].metric)), spark.read.parquet(f"{path}/codes")
+
     def encode(self, docs: DataFrame) -> DataFrame:
         """(seq, embedding, code, err): the nearest centre in each subspace, and how far all of them are from the vector.
 

@@ -1,12 +1,15 @@
-"""BM25 keyword search over postings."""
+"""BM25 keyword search: over texts in one pass, or over a stored inverted index that follows changes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.limits import BM25_B, BM25_K1
 from ..functions.text import tokens
+from ..sources.scratch import materialize, new_path
 
 
 def doc_terms(docs: DataFrame) -> DataFrame:
@@ -35,27 +38,118 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
 
 
-def search(docs: DataFrame, query: str, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
+    """The kept terms of a query and how often each stands in it."""
+    return dict(Counter(spark.range(1).select(tokens(F.lit(query)).alias("t")).first().t))
+
+
+def _part(qtf, tf: Column, dl: Column, n: int, df, words: int, k1: float, b: float) -> Column:
+    mean = F.lit(float(words) / n)
+    return qtf * (idf(F.lit(float(n)), df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean)))
+
+
+def _sum(parts: Column) -> Column:
+    """Summed in a fixed order."""
+    return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda s, x: s + x)
+
+
+def _is(word: str):
+    return lambda t: t == F.lit(word)
+
+
+def _best(scored: DataFrame, k: int) -> DataFrame:
+    return scored.orderBy(F.desc("score"), F.desc("seq")).limit(k)
+
+
+def search(docs: DataFrame, query: str, k: int, k1: float = BM25_K1, b: float = BM25_B, where: Column | None = None) -> DataFrame:
     """(seq, score) of the ``k`` best documents; a term that stands twice in the query counts twice.
 
-    One pass counts the query's terms in each document, and a row of totals is broadcast; no text is shuffled. Scores are
-    added in a fixed order. An empty query or corpus has no rows.
+    One pass over the texts leaves the length of each document and the counts of the query's terms in it; sums over these
+    give the statistics, of all documents, and only rows that pass ``where`` are ranked. No text is shuffled. An empty query
+    or corpus has no rows.
     """
     spark = docs.sparkSession
-    # the terms of one query: a bounded, tiny table
-    q = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    wanted = [r.term for r in q.select("term").collect()]
+    wanted = query_terms(spark, query)
     if not wanted or k <= 0:
         return spark.createDataFrame([], "seq bigint, score double")
-    terms = doc_terms(docs)
-    totals = terms.agg(F.count("*").alias("n"), (F.sum(F.size("terms")) / F.count("*")).alias("avgdl"))
-    words = F.array(*[F.lit(t) for t in wanted])
-    hits = terms.select("seq", F.size("terms").alias("dl"), F.filter("terms", lambda t: F.array_contains(words, t)).alias("terms")).where("size(terms) > 0")
-    # tf within the row, so that only one row for each document and term is made
-    hits = hits.select("seq", "dl", F.explode(F.array_distinct("terms")).alias("term"), "terms")
-    tf = hits.select("seq", "dl", "term", F.size(F.filter("terms", lambda t: t == F.col("term"))).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.broadcast(df.join(q, "term").crossJoin(totals).select("term", "qtf", "avgdl", idf(F.col("n"), F.col("df")).alias("idf")))
-    part = F.col("qtf") * (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    scored = tf.join(weight, "term").groupBy("seq").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-    return scored.select("seq", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x).alias("score")).orderBy(F.desc("score"), F.desc("seq")).limit(k)
+    passing = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    rows = docs.where("text is not null").select("seq", passing.alias("passing"), tokens(F.col("text")).alias("terms"))
+    rows = rows.select("seq", "passing", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(*wanted)).alias("hits"))
+    counts = [F.size(F.filter("hits", _is(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]
+    counted = materialize(rows.select("seq", "passing", "dl", *counts), "term-counts")
+    n, words, *df = counted.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(wanted))]).first()
+    if not words:
+        return spark.createDataFrame([], "seq bigint, score double")
+    tf = [F.col(f"tf{i}") for i in range(len(wanted))]
+    parts = [F.when(c > 0, _part(q, c, F.col("dl"), n, F.lit(float(d)), words, k1, b)) for q, c, d in zip(wanted.values(), tf, df)]
+    found = counted.where(F.greatest(*tf, F.lit(0)) > 0).where("passing")
+    return _best(found.select("seq", _sum(F.array_compact(F.array(*parts))).alias("score")), k)
+
+
+class KeywordIndex:
+    """Postings (term, seq, tf, dl) in folders by the hash of the term, with lengths, dead documents and totals beside them.
+
+    A search reads the folders of its terms alone. Adding and removing documents append; ``compact`` rewrites.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None, buckets: int = 32) -> "KeywordIndex":
+        index = cls(docs.sparkSession, path or new_path(docs.sparkSession, "keyword-index"), buckets)
+        docs.sparkSession.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{index.path}/meta")
+        docs.sparkSession.createDataFrame([], "seq bigint").write.parquet(f"{index.path}/dead")
+        index.add(docs)
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> "KeywordIndex":
+        return cls(spark, path, spark.read.parquet(f"{path}/meta").first().buckets)
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+
+    def add(self, docs: DataFrame) -> None:
+        """Index documents (seq, text) of numbers that the index doesn't have; rows without a text are none."""
+        terms = materialize(doc_terms(docs).select("seq", F.size("terms").alias("dl"), "terms"), "terms")
+        terms.select("seq", "dl").write.mode("append").parquet(f"{self.path}/lengths")
+        rows = terms.select("seq", "dl", F.explode("terms").alias("term")).groupBy("term", "seq", "dl").agg(F.count("*").cast("int").alias("tf"))
+        rows = rows.withColumn("bucket", self._bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("seq"), F.lit(8)))
+        rows.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def remove(self, gone: DataFrame) -> None:
+        """Documents ``gone(seq)`` are found no more and leave the statistics."""
+        gone.select("seq").distinct().write.mode("append").parquet(f"{self.path}/dead")
+
+    def _live(self, table: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{table}").join(self.spark.read.parquet(f"{self.path}/dead"), "seq", "left_anti")
+
+    def search(self, query: str, k: int, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+        """As ``search`` over the live documents."""
+        wanted = query_terms(self.spark, query)
+        empty = self.spark.createDataFrame([], "seq bigint, score double")
+        if not wanted or k <= 0:
+            return empty
+        n, words = self._live("lengths").agg(F.count("*"), F.sum("dl")).first()
+        if not words:
+            return empty
+        places = [r[0] for r in self.spark.createDataFrame([(t,) for t in wanted], "t string").select(self._bucket(F.col("t"))).distinct().collect()]
+        rows = self._live("postings").where(F.col("bucket").isin(places) & F.col("term").isin(*wanted))
+        df = dict(tuple(r) for r in rows.groupBy("term").count().collect())  # of the terms of one query
+        if not df:
+            return empty
+        part = None
+        for t, d in df.items():
+            one = _part(wanted[t], F.col("tf"), F.col("dl"), n, F.lit(float(d)), words, k1, b)
+            part = F.when(F.col("term") == t, one) if part is None else part.when(F.col("term") == t, one)
+        return _best(rows.groupBy("seq").agg(_sum(F.collect_list(part)).alias("score")), k)
+
+    def compact(self) -> "KeywordIndex":
+        """A new index beside this one, of the live postings alone."""
+        other = KeywordIndex(self.spark, new_path(self.spark, "keyword-index"), self.buckets)
+        self.spark.read.parquet(f"{self.path}/meta").write.parquet(f"{other.path}/meta")
+        self.spark.createDataFrame([], "seq bigint").write.parquet(f"{other.path}/dead")
+        self._live("lengths").write.parquet(f"{other.path}/lengths")
+        self._live("postings").repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{other.path}/postings")
+        return other

@@ -14,6 +14,7 @@ from ..functions.filters import compile_filter
 from ..functions.limits import DEFAULT_ALPHA, DEFAULT_FUSION, DEFAULT_K
 from ..functions.quantize import codes, compact_distance
 from . import bm25
+from .ann import scores
 from .fusion import fuse
 
 
@@ -58,14 +59,7 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric
                     continue
                 seq = b.column(0).to_numpy()
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(seq), -1)
-                s = q @ v.T
-                if metric is Metric.EUCLIDEAN:
-                    s = 1 - ((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * s)
-                elif metric is Metric.DOT:
-                    s = 1 + s
-                else:
-                    scale = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None]
-                    s = np.divide(s, scale, out=np.zeros_like(s), where=scale >= 1e-10)
+                s = scores(metric, q, v)
                 s = np.concatenate([best_s, s], 1)
                 d = np.concatenate([best_d, np.broadcast_to(seq, (len(ids), len(seq)))], 1)
                 order = np.lexsort((-d, -s))[:, :k]
@@ -90,11 +84,10 @@ def keyword_search(docs: DataFrame, query: str, k: int = DEFAULT_K, where: dict
     """(seq, score) by BM25. The filter is applied to the k best rows; with ``prefilter`` to what is ranked."""
     if not where:
         return bm25.search(docs, query, k)
-    passing = docs.where(compile_filter(where)).select("seq")
     if prefilter:
-        whole = docs.select("seq", "text", compile_filter(where).alias("__pass"))
-        every = bm25.search(whole, query, 1 << 30)
-        return every.join(passing, "seq", "left_semi").orderBy(F.desc("score"), F.desc("seq")).limit(max(k, 0))
+        return bm25.search(docs, query, k, where=compile_filter(where))
+    # the few best rows meet the documents again
+    passing = docs.where(compile_filter(where)).select("seq")
     return bm25.search(docs, query, k).join(passing, "seq", "left_semi")
 
 

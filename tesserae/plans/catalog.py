@@ -13,9 +13,10 @@ from ..functions.distance import Metric
 from ..functions.filters import compile_filter
 from ..functions.quantize import codes, restored, symmetric_distance
 from ..functions.schema import metadata
-from ..operators import ann, bm25, search
+from ..operators import ann, bm25, evaluate, search
 from ..functions.text import STOP_WORDS
-from ..sources.store import deletion_ratio, integrity, memory_estimate, partial_update, replay, upsert
+from ..sources.scratch import new_path
+from ..sources.store import VectorDB, deletion_ratio, integrity, memory_estimate, partial_update, replay, upsert
 from . import access, observe
 
 TEXT = "the hand of thing and er on the thing"
@@ -269,14 +270,72 @@ _add("ops_metrics", lambda s, d: observe.metrics(read(s, d, "events").select(F.c
 
 
 def _ivf(s, d):
-    index = ann.build_ivf(collection(s, d))
-    return rounded(index.search(query_vector(s, d), 10, 8))
+    """As near as twelve of sixteen lists come; with all of them it is the exact search."""
+    return rounded(ann.build_ivf(collection(s, d)).search(query_vector(s, d), 10, 12))
+
+
+def _ivf_whole(s, d):
+    return rounded(ann.build_ivf(collection(s, d)).search(query_vector(s, d), 10, 16))
+
+
+def _queries(s, d) -> DataFrame:
+    """Every vector whose id is divisible by 50, against all."""
+    return read(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _recall(s, d):
-    index, q = ann.build_ivf(collection(s, d)), query_vector(s, d)
-    true = search.vector_search(collection(s, d), q, 10)
-    return s.createDataFrame([(n, ann.recall(index.search(q, 10, n), true)) for n in (1, 2, 4, 8, 16)], "nprobe int, recall double")
+    c = collection(s, d)
+    index, q = ann.build_ivf(c), _queries(s, d)
+    true = search.batch_search(c, q, 10)
+    return s.createDataFrame([(n, ann.recall(index.batch(q, 10, n), true)) for n in (1, 2, 4, 8, 12, 16)], "nprobe int, recall double")
+
+
+def _ivf_batch(s, d):
+    return rounded(ann.build_ivf(collection(s, d)).batch(_queries(s, d), 10, 16))
+
+
+def _keyword_index(s, d):
+    """Search of a stored index from which the documents of bad quality were removed again."""
+    docs, bad = texts(s, d), read(s, d, "labels").where("quality = 0").select(F.col("doc_id").alias("seq"))
+    index = bm25.KeywordIndex.build(docs)
+    index.remove(bad)
+    return rounded(index.search(WORDS, 10))
+
+
+def _ndcg(s, d):
+    """BM25's ranking of all documents for a query, judged by their quality label."""
+    ranked = search.page(search.keyword_search(texts(s, d), WORDS, 50), 50).select(F.lit(1).alias("query_id"), "seq", "rank")
+    judged = read(s, d, "labels").select(F.lit(1).alias("query_id"), F.col("doc_id").alias("seq"), F.col("quality").cast("double").alias("gain"))
+    return evaluate.ndcg(ranked, judged, 50).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+
+
+def _through_store(s, d, then) -> DataFrame:
+    """What a collection holds after ``then(db)`` on a table of all documents that have a vector."""
+    db = VectorDB(s, new_path(s, "db"))
+    db.create_collection("c", 64)
+    db.insert_table("c", collection(s, d).where("text is not null and embedding is not null").select("id", "text", "embedding", "metadata"))
+    then(db)
+    return db.documents("c").select("id", "text", F.size("embedding").alias("dim"))
+
+
+def _insert_batch(db):
+    rows = [{"id": f"{i:032x}", "text": f"new {i}", "embedding": [float(i)] * 64} for i in range(5)]
+    db.batch_insert("c", rows)
+    db.insert("c", "new 5", [5.0] * 64, id=f"{5:032x}")
+    db.update("c", f"{0:032x}", text="changed")
+    db.delete("c", f"{1:032x}")
+
+
+_STORED = f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, text, 64 AS dim FROM c WHERE text IS NOT NULL AND fv IS NOT NULL"
+_NEW = "SELECT '00000000-0000-0000-0000-00000000000' || i AS id, CASE WHEN i = 0 THEN 'changed' ELSE 'new ' || i END AS text, 64 AS dim FROM range(6) t(i) WHERE i <> 1"
+_add("store_insert_table", lambda s, d: _through_store(s, d, lambda db: None), _STORED)
+_add("store_insert_update_delete", lambda s, d: _through_store(s, d, _insert_batch), f"{_STORED} UNION ALL {_NEW}")
+_add("store_save_rebuild", lambda s, d: _through_store(s, d, lambda db: (_insert_batch(db), db.save("c"), db.rebuild("c"), db.compact())), f"{_STORED} UNION ALL {_NEW}")
+_add("store_backup_restore", lambda s, d: _through_store(s, d, lambda db: (_insert_batch(db), db.backup(f"{db.dir}-backup"), db.clear("c"), db.restore(f"{db.dir}-backup"))), f"{_STORED} UNION ALL {_NEW}")
+_add("txt_stored_index_topk", _keyword_index, f"WITH c AS (SELECT doc_id AS seq, text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)), ct AS (SELECT * FROM c), {_bm_ctes(WORDS)} SELECT seq, round(score, 6) AS score FROM bm ORDER BY score DESC, seq DESC LIMIT 10")
+_add("eval_ndcg", _ndcg, f"""WITH {_C}, {_bm_ctes(WORDS)}, r AS (SELECT seq, row_number() OVER (ORDER BY score DESC, seq DESC) AS n FROM bm),
+j AS (SELECT quality, row_number() OVER (ORDER BY quality DESC, doc_id) AS n FROM labels)
+SELECT 1 AS query_id, round(coalesce((SELECT sum(quality / log2(n + 1)) FROM r JOIN labels ON seq = doc_id WHERE n <= 50), 0) / (SELECT sum(quality / log2(n + 1)) FROM j WHERE n <= 50), 6) AS ndcg""")
 
 
 def _pq(s, d):
@@ -286,6 +345,10 @@ def _pq(s, d):
 
 
 _add("ann_ivf_topk", _ivf)
+_add("ann_ivf_all_lists", _ivf_whole, _vec_sql())
+_add("ann_ivf_batch", _ivf_batch, f"""WITH {_C} SELECT query_id, seq, round(score, 6) AS score FROM (
+SELECT query_id, seq, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq DESC) AS n FROM (
+SELECT vec_id AS query_id, seq, list_cosine_similarity(v, list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS score FROM cv, embeddings WHERE vec_id % 50 = 0)) WHERE n <= 10""")
 _add("ann_recall", _recall)
 # every row that its code error lets reach the k-th score is reranked, so the result is that of the exact search
 _add("pq_adc_topk", _pq, _vec_sql())

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with their query, and batches and row groups are small, as rows may be large.
+_WRITING = {_CLEANUP: "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,13 +30,15 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def tidy_shuffles(spark: SparkSession):
-    """Shuffle files of the queries run inside are removed as soon as each query ends."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    """Shuffle files of the queries run inside are removed as soon as each query ends, and Arrow batches are bounded in bytes."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,5 +47,5 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     path = new_path(spark, name)
     with tidy_shuffles(spark):
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(path)
+        writer.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from ..functions import limits
 from ..functions.distance import Metric
+from ..functions.filters import compile_filter
 from ..functions.schema import DOCUMENT, finite, tagged, untagged
-from ..operators import bm25, search
+from ..operators import ann, bm25, search
 from .scratch import new_path
 
 LOG = "seq bigint, op string, id string, text string, embedding array<float>, metadata map<string,struct<b:boolean,i:bigint,f:double,s:string>>"
@@ -245,7 +246,8 @@ class VectorDB:
     # collections
 
     def create_collection(self, name: str, dimension: int, m: int | None = None, ef_construction: int | None = None, ef_search: int | None = None, distance_metric: str | None = None, store_raw_vectors: bool | None = None) -> None:
-        """``m`` and ``ef_construction`` are checked and kept but have no meaning for lists; see ``operators.ann``."""
+        """``ef_search`` is how many vectors an approximate search compares at least; ``m`` and ``ef_construction`` are checked and
+        kept but have no meaning for lists."""
         self._writable()
         check_name(name)
         if not 1 <= dimension <= limits.MAX_DIMENSION:
@@ -277,7 +279,7 @@ class VectorDB:
         """No documents, the same configuration: one commit, which also ends the log."""
         self._writable()
         state = self._state(name)
-        self._commit(name, state, version=None, **{"from": state["next"]})
+        self._commit(name, state, version=None, index=None, **{"from": state["next"]})
         self._prune(name)
 
     def collection_info(self, name: str) -> CollectionInfo:
@@ -351,7 +353,7 @@ class VectorDB:
             if re.match(r"\d{20}-", f) and int(f[:20]) < state["from"]:
                 self._delete(f"{self.dir}/{name}/log/{f}")
         for f in self._files(f"{self.dir}/{name}"):
-            if f.startswith("version-") and f"{self.dir}/{name}/{f}" != state["version"]:
+            if f.startswith(("version-", "index-")) and f"{self.dir}/{name}/{f}" not in (state["version"], (state.get("index") or {}).get("path")):
                 self._delete(f"{self.dir}/{name}/{f}")
 
     def _reserve(self, size: int) -> None:
@@ -429,14 +431,49 @@ class VectorDB:
         new = {"id": id, "text": row.text if text is None else text, "embedding": row.embedding if embedding is None else embedding, "metadata": old if metadata is None else metadata}
         self._append(collection, [("update", *self._row(config, new)[1:])])
 
-    def search(self, collection: str, query_embedding: list[float] | None = None, query_text: str | None = None, k: int = limits.DEFAULT_K, min_similarity: float | None = None, alpha: float = limits.DEFAULT_ALPHA, fusion_method: str = limits.DEFAULT_FUSION, filter: dict | None = None, offset: int = 0) -> list[SearchResult]:
-        config = self._config(collection)
+    def build_index(self, collection: str, lists: int | None = None) -> int:
+        """Store inverted lists (about the root of the number of documents, unless told) for approximate search; their number."""
+        self._writable()
+        state = self._state(collection)
+        docs = self.documents(collection)
+        lists = lists or max(1, int(docs.count() ** 0.5))
+        path = f"{self.dir}/{collection}/index-{uuid.uuid4().hex}"
+        ann.build_ivf(docs, lists, state["config"]["metric"], path=path)
+        self._commit(collection, state, index={"path": path, "next": state["next"], "lists": lists})
+        self._prune(collection)
+        return lists
+
+    def _candidates(self, docs: DataFrame, state: dict, query: list[float], n: int, where: dict | None) -> DataFrame:
+        """Documents in the lists nearest to ``query``, ``ef_search`` of them at least, and all that are newer than the index.
+
+        While fewer than ``n`` pass the filter, twice as many are taken, up to four times ``ef_search``, then all.
+        """
+        index, fresh = ann.Ivf.open(self.spark, state["index"]["path"]), F.col("seq") >= state["index"]["next"]
+        ef = max(state["config"]["ef_search"], n)
+        for factor in (1, 2, 4):
+            near = index.probe(query, n, ef_search=ef * factor).select("seq")
+            found = docs.where(~fresh).join(near, "seq", "left_semi").unionByName(docs.where(fresh))
+            if found.where(compile_filter(where)).limit(n).count() >= n:
+                return found
+        return docs
+
+    def search(self, collection: str, query_embedding: list[float] | None = None, query_text: str | None = None, k: int = limits.DEFAULT_K, min_similarity: float | None = None, alpha: float = limits.DEFAULT_ALPHA, fusion_method: str = limits.DEFAULT_FUSION, filter: dict | None = None, offset: int = 0, approximate: bool = False) -> list[SearchResult]:
+        """Exact unless ``approximate``, for which the index must have been built; keywords are always exact."""
+        state = self._state(collection)
+        config = state["config"]
         if not 0 <= k <= limits.MAX_K or not 0 <= offset <= limits.MAX_OFFSET:
             raise BadRequest("k or offset out of range")
         if query_embedding is not None and (len(query_embedding) != config["dimension"] or not all(map(math.isfinite, query_embedding))):
             raise BadRequest("bad query embedding")
         docs = self.documents(collection)
-        rows = search.search(docs, query_embedding, query_text, k, offset, alpha, fusion_method, min_similarity, filter, config["metric"], "exact" if config["raw"] else "compact")
+        among = docs
+        if approximate:
+            if query_embedding is None or query_text is not None:
+                raise BadRequest("approximate search is for vectors alone")
+            if not state.get("index"):
+                raise BadRequest("the collection has no index; build_index makes one")
+            among = self._candidates(docs, state, query_embedding, k + offset, filter)
+        rows = search.search(among, query_embedding, query_text, k, offset, alpha, fusion_method, min_similarity, filter, config["metric"], "exact" if config["raw"] else "compact")
         found = search.with_documents(rows, docs).orderBy("rank").collect()
         return [SearchResult(r.id, r.text, r.score, {k: untagged(v) for k, v in (r.metadata or {}).items()}) for r in found]
 
@@ -507,7 +544,7 @@ class VectorDB:
         if not self._exists(f"{self.dir}/{name}/state"):
             self._create(name, config)
         end = max(self._state(name)["next"], (docs.agg(F.max("seq")).first()[0] or 0) + 1)
-        self._snapshot(name, docs, config=config, **{"from": end, "next": end})
+        self._snapshot(name, docs, config=config, index=None, **{"from": end, "next": end})
 
     def load_all(self, path: str) -> list[str]:
         """Load every snapshot under ``path``; the first bad one raises. Their names."""
@@ -517,9 +554,12 @@ class VectorDB:
         return names
 
     def rebuild(self, collection: str) -> int:
-        """Fold the log into a new version; the number of live documents."""
+        """Fold the log into a new version, and make the index anew if there is one; the number of live documents."""
         self._writable()
         self._snapshot(collection)
+        index = self._state(collection).get("index")
+        if index:
+            self.build_index(collection, index["lists"])
         return self.documents(collection).count()
 
     def compact(self) -> list[str]:
