@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges(u, v)``; root is the least node of its component.
 
     Loops and repeated edges are allowed, nulls are dropped, and an empty table gives an empty one. Every round is
-    written to the shared folder, so a lost executor costs one round at most.
+    written to the shared folder, so a lost executor costs one round at most, and the round before is deleted.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).dropna().where("u <> v").distinct()
     e = materialize(e, "edges")
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(small, "edges")
+        e = materialize(small, "edges", replaces=e)
         before, mark = mark, _mark(e)
         if mark == before:
             break

@@ -493,7 +493,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         both[r.first, r.second] = r.n
     asks = grams.select("bucket", "words", "at").mapInArrow(_ask(p.order, count, hot), _ROWS)
     told = materialize(exchange(asks.unionByName(words), _answer(hot), _ROWS), "lower-counts")
-    backs = materialize(exchange(grams.unionByName(told), _weigh(p.order, d, denominator, size, hot), _ROWS), "backoff-weights")
+    backs = materialize(exchange(grams.unionByName(told), _weigh(p.order, d, denominator, size, hot), _ROWS), "backoff-weights", replaces=told)
     return Model(p.order, count, words, grams.unionByName(backs), d, denominator, unknown, hot, size, back, word, both)
 
 

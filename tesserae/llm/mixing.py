@@ -68,13 +68,12 @@ def rake(cells: DataFrame, p: Params = Params()) -> DataFrame:
     # a cell's weight is its tokens by a factor of each dimension, so a step needs the sums of one dimension alone
     table = materialize(table.withColumn("w", F.col("tokens")), "raked")
     for _ in range(p.rounds):
-        table = table.withColumn("before", F.col("w"))
+        last, table = table, table.withColumn("before", F.col("w"))  # replaced where it is there
         for d in DIMS:
             now = table.groupBy(d).agg(F.sum("w").alias("now"))
             table = table.join(now, d).withColumn("w", F.col("w") * F.col(f"target_{d}") / F.col("now")).drop("now")
-        table = materialize(table, "raked")
+        table = materialize(table, "raked", replaces=last)
         moved = table.agg(F.max(F.abs(F.col("w") / F.col("before") - 1))).first()[0]
-        table = table.drop("before")
         if moved < 1e-13:
             break
     table = materialize(table.select(*DIMS, "tokens", (F.col("w") / F.col("tokens")).alias("factor")), "factors")

@@ -133,13 +133,30 @@ def _probe(shared, metric: Metric, k: int):
                 if not len(who):
                     continue
                 s = scores(metric, q[who], v[at])
-                best = np.lexsort((np.broadcast_to(-seq[at], s.shape), -s))[:, :k]
-                n = best.shape[1]
-                yield pa.record_batch([pa.array(np.repeat(ids[who], n)), pa.array(seq[at][best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "seq", "score"])
+                row, column = best(s, k)
+                own, value = seq[at][column], s[row, column]
+                keep = first(row, own, value, k)
+                yield pa.record_batch([pa.array(ids[who][row[keep]]), pa.array(own[keep]), pa.array(value[keep])], ["query_id", "seq", "score"])
 
     return run
 
 
+def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row of ``s``, ties at the k-th place too; only these need to be sorted."""
+    n = s.shape[1]
+    if n <= k:
+        return np.divmod(np.arange(s.size), n)
+    return np.nonzero(s >= np.partition(s, n - k, axis=1)[:, n - k][:, None])
+
+
+def first(row: np.ndarray, seq: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first k of each row, by score, then by the larger number."""
+    order = np.lexsort((-seq, -score, row))
+    own = row[order]
+    head = np.flatnonzero(np.append(True, own[1:] != own[:-1])[: len(own)])
+    return order[np.arange(len(own)) - np.repeat(head, np.diff(np.append(head, len(own)))) < k]
+
+
 def scores(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """1 - distance of each query to each vector."""
     s = q @ v.T

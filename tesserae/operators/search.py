@@ -14,7 +14,7 @@ from ..functions.filters import compile_filter
 from ..functions.limits import DEFAULT_ALPHA, DEFAULT_FUSION, DEFAULT_K
 from ..functions.quantize import codes, compact_distance
 from . import bm25
-from .ann import scores
+from .ann import best, first, scores
 from .fusion import fuse
 
 
@@ -53,20 +53,19 @@ def batch_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric
     def searcher(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_s, best_d = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            row, own, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             for b in batches:
-                if not b.num_rows or not len(ids):
+                if not b.num_rows or not len(ids) or k <= 0:
                     continue
                 seq = b.column(0).to_numpy()
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(seq), -1)
                 s = scores(metric, q, v)
-                s = np.concatenate([best_s, s], 1)
-                d = np.concatenate([best_d, np.broadcast_to(seq, (len(ids), len(seq)))], 1)
-                order = np.lexsort((-d, -s))[:, :k]
-                best_s, best_d = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
-            n = best_s.shape[1]
-            if n:
-                yield pa.record_batch([pa.array(np.repeat(ids, n)), pa.array(best_d.ravel()), pa.array(best_s.ravel())], ["query_id", "seq", "score"])
+                r, c = best(s, k)
+                row, own, value = np.append(row, r), np.append(own, seq[c]), np.append(value, s[r, c])
+                keep = first(row, own, value, k)
+                row, own, value = row[keep], own[keep], value[keep]
+            if len(row):
+                yield pa.record_batch([pa.array(ids[row]), pa.array(own), pa.array(value)], ["query_id", "seq", "score"])
 
         return run
 

@@ -17,6 +17,7 @@ from ..operators import ann, bm25, evaluate, search
 from ..functions.text import STOP_WORDS
 from ..sources.scratch import new_path
 from ..sources.store import VectorDB, deletion_ratio, integrity, memory_estimate, partial_update, replay, upsert
+from ..streaming import replica
 from . import access, observe
 
 TEXT = "the hand of thing and er on the thing"
@@ -328,6 +329,48 @@ def _insert_batch(db):
 
 _STORED = f"WITH {_C} SELECT CAST(seq AS VARCHAR) AS id, text, 64 AS dim FROM c WHERE text IS NOT NULL AND fv IS NOT NULL"
 _NEW = "SELECT '00000000-0000-0000-0000-00000000000' || i AS id, CASE WHEN i = 0 THEN 'changed' ELSE 'new ' || i END AS text, 64 AS dim FROM range(6) t(i) WHERE i <> 1"
+_UUID = "00000000-0000-0000-0000-"
+
+
+def _by_uuid(s, d) -> VectorDB:
+    db = VectorDB(s, new_path(s, "db"))
+    db.create_collection("c", 64)
+    rows = collection(s, d).where("text is not null and embedding is not null")
+    db.insert_table("c", rows.select(F.concat(F.lit(_UUID), F.lpad(F.col("seq").cast("string"), 12, "0")).alias("id"), "text", "embedding", "metadata"))
+    for n in (3, 5, 8):
+        db.delete("c", f"{_UUID}{n:012d}")
+    return db
+
+
+def _store_get(s, d):
+    found = _by_uuid(s, d).get("c", f"{_UUID}{42:012d}")
+    return s.createDataFrame([(found["id"], found["text"], found["metadata"]["lang"])], "id string, text string, lang string")
+
+
+def _store_stats(s, d):
+    stats = _by_uuid(s, d).stats("c")
+    return s.createDataFrame([(stats.document_count, stats.deleted_count, stats.dimension, round(stats.deletion_ratio, 9))], "live bigint, deleted bigint, dimension int, ratio double")
+
+
+def _store_search(s, d):
+    found = _by_uuid(s, d).search("c", query_vector(s, d), k=10, filter=_EN)
+    return s.createDataFrame([(r.id, round(r.score, 6)) for r in found], "id string, score double")
+
+
+def _standby(s, d):
+    """What a standby holds after it followed a log of all events, file by file."""
+    log, target = new_path(s, "log"), new_path(s, "standby")
+    _log(s, d).repartition(7, "id").write.parquet(log)
+    replica.follow(s, log, target, new_path(s, "standby-checkpoint"), files_a_batch=2).awaitTermination()
+    return replica.state(s, target).select("id", "seq", "text")
+
+
+_STORE_C = f"{_C}, sc AS (SELECT *, '{_UUID}' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id FROM c WHERE text IS NOT NULL AND fv IS NOT NULL)"
+_add("store_get", _store_get, f"WITH {_STORE_C} SELECT id, text, lang FROM sc WHERE seq = 42")
+_add("store_stats", _store_stats, f"WITH {_STORE_C} SELECT count(*) FILTER (seq NOT IN (3, 5, 8)) AS live, count(*) FILTER (seq IN (3, 5, 8)) AS deleted, 64 AS dimension, round(count(*) FILTER (seq IN (3, 5, 8)) / count(*)::DOUBLE, 9) AS ratio FROM sc")
+_add("store_search", _store_search, f"""WITH {_STORE_C}, {_RESTORE} SELECT '{_UUID}' || lpad(CAST(seq AS VARCHAR), 12, '0') AS id, round(score, 6) AS score FROM (
+SELECT seq, CASE WHEN sc = 0 THEN 0 ELSE list_cosine_similarity(rv, q) END AS score FROM r, q WHERE lang = 'en' AND text IS NOT NULL AND seq NOT IN (3, 5, 8) ORDER BY score DESC, seq DESC LIMIT 10)""")
+_add("stream_standby", _standby, ORACLE_SQL["log_replay"])
 _add("store_insert_table", lambda s, d: _through_store(s, d, lambda db: None), _STORED)
 _add("store_insert_update_delete", lambda s, d: _through_store(s, d, _insert_batch), f"{_STORED} UNION ALL {_NEW}")
 _add("store_save_rebuild", lambda s, d: _through_store(s, d, lambda db: (_insert_batch(db), db.save("c"), db.rebuild("c"), db.compact())), f"{_STORED} UNION ALL {_NEW}")

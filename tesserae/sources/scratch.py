@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -19,7 +21,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+        folder = tempfile.mkdtemp(prefix="tesserae-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -41,11 +45,27 @@ def tidy_shuffles(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to a new shared table and read it back: lineage ends at files that outlive any executor."""
+def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = (), replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to a new shared table and read it back: lineage ends at files that outlive any executor.
+
+    ``replaces`` is a table of this kind that nothing reads any more once the new one is written; it is deleted then.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     with tidy_shuffles(spark):
         writer = df.write.partitionBy(*partition_by) if partition_by else df.write
         writer.option("parquet.block.size", 16 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        discard(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` made and that nothing reads any more; others are left alone."""
+    path = getattr(table, "scratch_path", None)
+    if isinstance(path, str):
+        spark = table.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
