@@ -8,7 +8,8 @@ d are Good-Turing discounts, for each order, of counts up to ``k``; a(h) makes e
 whose context ends in the same word have one home bucket, where lower orders are sums of higher ones and backoff from order
 to order needs no shuffle. Context words of more than ``share`` of all words are hot: there are at most 1 / share of them, and
 their n-grams live by the last two words instead, but for their bigrams, which live with the word that follows. A bucket is a
-row of packed arrays in a table; a task sends every distinct n-gram of a block of documents once.
+row of packed arrays in a table. ``train_and_score`` keeps, for each n-gram of a document, what its probability depends on as soon
+as it is counted, so that documents scored by a model of themselves are sent once; ``score`` is for any documents.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ._text import Tokens, pair, released, slices
 
 U64 = np.uint64
 BEGIN = U64(0x2545F4914F6CDD1D)  # stands for each word before the first
-WORD, HOT, GRAM, BACK, LOOK, FALL, SUM = range(1, 8)  # kinds of rows
+WORD, HOT, GRAM, BACK, LOOK, FALL, SUM, OWN = range(1, 9)  # kinds of rows
 _NAMES = ["kind", "bucket", "words", "at", "n", "many", "doc", "ids", "x"]
 _ROWS = "kind int, bucket int, words binary, at binary, n binary, many binary, doc binary, ids binary, x binary"
 _KIND = 1 << 24  # where kinds are counted together, their buckets are numbered apart
@@ -90,7 +91,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator
     n = docs = 0
     for b in batches:
         ids = b.column(0).to_numpy()
-        for i, j, data, offsets in slices(b.column(1), 1 << 20):
+        for i, j, data, offsets in slices(b.column(1), 1 << 17):  # its arrays of 8 bytes a byte stay in the cache
             t = Tokens(data, offsets)
             held.append((t.hash, t.doc + docs, ids[i:j], np.arange(len(t.hash)) - t.first[t.doc]))
             n, docs = n + len(data), docs + j - i
@@ -103,7 +104,12 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int, order: int) -> Iterator
 
 def _block(held: list[tuple], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     hashes, doc, ids, place = (np.concatenate(x) for x in zip(*held))
-    words, _, at, _ = distinct(np.append(hashes, BEGIN))
+    coded = pa.array(np.append(hashes, BEGIN)).dictionary_encode()
+    words = coded.dictionary.to_numpy()
+    order_of = np.argsort(words)
+    rank = np.empty(len(words), np.int32)
+    rank[order_of] = np.arange(len(words), dtype=np.int32)
+    words, at = words[order_of], rank[coded.indices.to_numpy()]
     c = np.empty((len(hashes), order), np.int32)
     c[:, 0] = at[:-1]
     for m in range(1, order):
@@ -136,13 +142,12 @@ def _in(key: np.ndarray, count: int) -> np.ndarray:
     return (key >> U64(64 - (count.bit_length() - 1))).astype(np.int64)
 
 
-def _homes(c: np.ndarray, hot: HotWords, count: int) -> tuple[np.ndarray, np.ndarray]:
+def _homes(words: np.ndarray, at: np.ndarray, hot: HotWords, count: int) -> tuple[np.ndarray, np.ndarray]:
     """The number of the last context word, 0 unless hot, and the home bucket of each n-gram; -1 for bigrams of hot words."""
-    h, key = hot.of(c[:, 1]), c[:, 1].copy()
-    if c.shape[1] > 2:
-        key[h > 0] = pair(c[h > 0, 1], c[h > 0, 2])
-    home = _in(key, count)
-    return h, np.where(h > 0, -1, home) if c.shape[1] == 2 else home
+    h = hot.of(words)[at[:, 1]]
+    home, some = _in(words, count)[at[:, 1]], np.flatnonzero(h)
+    home[some] = _in(pair(words[at[some, 1]], words[at[some, 2]]), count) if at.shape[1] > 2 else -1
+    return h, home
 
 
 class Packer:
@@ -151,21 +156,38 @@ class Packer:
     def __init__(self, words: np.ndarray):
         self.words, self.seen, self.rank = words, np.zeros(len(words), bool), np.empty(len(words), np.int32)
 
-    def pack(self, rows: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
-        """The words that occur, the number of each element among them, column by column, and the order in which rows are packed."""
+    def number(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words that occur, and the number of each element among them."""
         self.seen[rows.ravel()] = True
         own = np.flatnonzero(self.seen)
         self.seen[own], self.rank[own] = False, np.arange(len(own), dtype=np.int32)
-        at = self.rank[rows]
-        columns = (*range(1, rows.shape[1]), 0)
-        if len(own) ** len(columns) < 1 << 62:
-            key = np.zeros(len(rows), np.int64)
-            for k in columns:
-                key = key * len(own) + at[:, k]
-            order = np.argsort(key)
-        else:
-            order = np.lexsort([at[:, k] for k in columns[::-1]])
-        return ascending(self.words[own]), planes(at[order].T.ravel().astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)), order
+        return own, self.rank[rows]
+
+    def as_is(self, rows: np.ndarray) -> tuple[bytes, bytes]:
+        """Words and numbers, column by column, of rows in the order that they have."""
+        own, at = self.number(rows)
+        return ascending(self.words[own]), _numbers(at, len(own))
+
+    def pack(self, rows: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+        """The words that occur, the number of each element among them, column by column, and the order in which rows are packed."""
+        own, at = self.number(rows)
+        order = np.argsort(ranked(at, len(own)))
+        return ascending(self.words[own]), _numbers(at[order], len(own)), order
+
+
+def ranked(at: np.ndarray, words: int) -> np.ndarray:
+    """A number of each row of word numbers, in the order of rows by their context, last word first, and then their word."""
+    x, most = at[:, 1].astype(np.int64), words
+    for k in (*range(2, at.shape[1]), 0):
+        if most * words >= 1 << 62:
+            _, _, x, n = distinct(x)
+            most = len(n)
+        x, most = x * words + at[:, k], most * words
+    return x
+
+
+def _numbers(at: np.ndarray, words: int) -> bytes:
+    return planes(at.T.astype(np.uint16 if words <= 1 << 16 else np.uint32, order="C").ravel())
 
 
 def _unpack(words: bytes, at: bytes, columns: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,58 +258,103 @@ def _frequent(least: float):
     return run
 
 
-def _count(p: Params, count: int, hot: HotWords, part: int):
-    """Distinct n-grams of blocks, of the homes of one part; bigrams of hot words go out with the first."""
+def _count(p: Params, count: int, hot: HotWords, part: int, keep: bool):
+    """N-grams of blocks in the order of the text, of the homes of one part, with their documents if they are to be kept.
 
-    def send(kind: int, words: np.ndarray, rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-        c = words[rows]
-        _, first, _, n = distinct(pair(context(c, c.shape[1]), c[:, 0]))
-        rows, bucket, packer, out = rows[first], bucket[first], Packer(words), []
-        for k, own in _by_bucket(bucket):
-            own_words, at, order = packer.pack(rows[own])
-            out.append(_row(kind, k + kind * _KIND, words=own_words, at=at, n=planes(n[own][order].astype(np.uint32))))
-        return _batch(out)
+    Bigrams of hot words go out with the first part, distinct ones of a block once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, rows, _, _ in blocks(batches, p.block, p.order):
-            h, home = _homes(words[rows], hot, count)
-            some = home * p.parts // count == part
-            if some.any():
-                yield send(GRAM, words, rows[some], home[some])
+        for words, rows, doc, ids in blocks(batches, p.block, p.order):
+            h, home = _homes(words, rows, hot, count)
+            own, packer, out = np.flatnonzero(home * p.parts // count == part), Packer(words), []
+            for k, some in _by_bucket(home[own]):
+                some = own[some]
+                own_words, at = packer.as_is(rows[some])
+                out.append(_row(GRAM, k + GRAM * _KIND, words=own_words, at=at, **(_runs(doc[some], ids) if keep else {})))
+            if out:
+                yield _batch(out)
             some = h > 0
             if part == 0 and some.any():
-                yield send(HOT, words, rows[some][:, :2], _in(words[rows[some, 0]], count))
+                rows, out = rows[some][:, :2], []
+                key, _, _, n = distinct(rows[:, 1].astype(np.int64) << 32 | rows[:, 0])
+                rows = np.stack([key & 0xFFFFFFFF, key >> 32], axis=1).astype(np.int32)
+                for k, own in _by_bucket(_in(words, count)[rows[:, 0]]):
+                    own_words, at, order = packer.pack(rows[own])
+                    out.append(_row(HOT, k + HOT * _KIND, words=own_words, at=at, n=planes(n[own][order].astype(np.uint32))))
+                yield _batch(out)
 
     return released(run)
 
 
-def _sum(p: Params, hot: HotWords):
-    """Total counts of a bucket, with the counts of counts of each order."""
+def _runs(doc: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
+    """The ids of ascending places of documents, and how often each stands there."""
+    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    return {"ids": planes(ids[doc[head]]), "many": planes(np.diff(np.append(head, len(doc))).astype(np.uint32))}
+
+
+def _sum(p: Params, hot: HotWords, keep: bool):
+    """Total counts of a bucket, with the counts of counts of each order, and what the documents of its n-grams keep of them."""
 
     def reduce(bucket: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         kind, bucket = divmod(bucket, _KIND)
         columns = 2 if kind == HOT else p.order
         words, at = _unpack_all(rows, columns)
-        n = np.concatenate([unplanes(r["n"], np.uint32) for r in rows])
+        n = np.concatenate([unplanes(r["n"], np.uint32) for r in rows]) if kind == HOT else None
+        ids = [unplanes(r["ids"], np.int64) for r in rows] if keep and kind == GRAM else []
+        many = [unplanes(r["many"], np.uint32) for r in rows] if ids else []
         rows.clear()
-        c = words[at]
-        _, first, which, _ = distinct(pair(context(c, columns), c[:, 0]))
-        c, at, n = c[first], at[first], np.bincount(which, weights=n)
+        _, first, which, times = distinct(ranked(at, len(words)))  # these are in the order that rows are packed in
+        at, n = at[first], times if n is None else np.bincount(which, weights=n)
+        if ids:
+            yield _batch([_row(OWN, bucket, ids=planes(np.concatenate(ids)), many=planes(np.concatenate(many)), **_classes(at, n, which, p.k))])
+        del which, ids, many
         few = np.zeros((p.order + 1, p.k + 2), np.int64)
-        cold = hot.of(c[:, 1]) == 0
+        cold = hot.of(words)[at[:, 1]] == 0
         for m in range(2, columns + 1):
             if kind == HOT or m == p.order and p.order > 2:
                 few[m] = _few(n, p.k)
             else:
                 own = slice(None) if m > 2 else cold
-                _, _, which, _ = distinct(pair(context(c[own], m), c[own, 0]))
+                _, _, which, _ = distinct(ranked(at[own, :m], len(words)))
                 few[m] = _few(np.bincount(which, weights=n[own]), p.k)
-        words, at, order = Packer(words).pack(at)
-        yield _batch([_row(kind, bucket, words=words, at=at, n=planes(n[order].astype(np.uint64)), x=few.tobytes())])
+        yield _batch([_row(kind, bucket, words=ascending(words), at=_numbers(at, len(words)), n=planes(n.astype(np.uint64)), x=few.tobytes())])
 
     return reduce
 
 
+def _classes(at: np.ndarray, n: np.ndarray, which: np.ndarray, k: int) -> dict[str, bytes]:
+    """What probabilities depend on before discounts are known, and the number among these of each occurrence ``which``.
+
+    These are the count, the total of the context, and, by bits, which of the counts that are discounted the context has.
+    """
+    of = np.append(0, np.cumsum((at[1:, 1:] != at[:-1, 1:]).any(axis=1)))  # n-grams of a context stand together
+    total = np.bincount(of, weights=n).astype(np.uint64)
+    some = np.zeros(len(total), np.uint64)
+    for r in range(1, k + 1):
+        some[of[n == r]] |= U64(1 << r)
+    _, first, at, _ = distinct(pair(pair(total, some)[of], n.astype(np.uint64)))
+    own, at = of[first], at[which]
+    return {"n": planes(n[first].astype(np.uint64)), "at": planes(total[own]), "x": planes(some[own]), "doc": planes(at.astype(np.uint16 if len(first) <= 1 << 16 else np.uint32))}
+
+
+def _own_sums(k: int, d: np.ndarray):
+    """Sums of log probabilities by document and bucket, of the n-grams that were kept with their documents."""
+    less = U64(sum(1 << r for r in range(1, k + 1) if d[r] < 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                n, total, some, at, many, ids = (b.column(x)[i].as_py() for x in ("n", "at", "x", "doc", "many", "ids"))
+                n, total = unplanes(n, np.uint64).astype(float), unplanes(total, np.uint64).astype(float)
+                total += unplanes(some, np.uint64) & less == 0  # as in _enough
+                value = np.log10(discounted(n, d) / total)[unplanes(at, np.uint16 if len(n) <= 1 << 16 else np.uint32)]
+                ids, many = unplanes(ids, np.int64), unplanes(many, np.uint32).astype(np.int64)
+                yield pa.record_batch([pa.array(ids), pa.array(np.add.reduceat(value, np.cumsum(many) - many)), pa.array(many)], ["doc_id", "sum", "n"])
+
+    return released(run)
+
+
 def discounts(few: np.ndarray, k: int) -> np.ndarray:
     """Good-Turing discount of each count 0 .. k (Katz's form) from the counts of counts 0 .. k + 1.
 
@@ -453,10 +520,13 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
 
     Repeated rows count again. Without a word the tables are empty and every word is unknown, of probability 1.
     """
+    return _trained(docs.select("doc_id", "text").dropna().select(F.lit(0).cast("bigint").alias("doc_id"), "text"), buckets(docs, 4 << 20), p)[0]
+
+
+def _trained(rows: DataFrame, count: int, p: Params, keep: bool = False) -> tuple[Model, DataFrame]:
+    """The model, and the table of what documents keep of their n-grams."""
     if p.order < 2:
         raise ValueError("the order must be at least 2")
-    count = buckets(docs, 4 << 20)
-    rows = docs.select("doc_id", "text").dropna().select(F.lit(0).cast("bigint").alias("doc_id"), "text")
     words = materialize(exchange(rows.mapInArrow(_count_words(p, count), _ROWS), _sum_words(p), _ROWS), "word-counts")
     few = {1: np.zeros(p.k + 2)} | {m: np.zeros(p.k + 2) for m in range(2, p.order + 1)}
     total = 0
@@ -475,9 +545,9 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
         word[hot.of(np.array([w], np.int64).view(np.uint64))] = discounted(np.array([float(n)]), d[1]) / denominator
 
     # part by part, so that what is on its way at once is a share of the corpus
-    parts = [materialize(exchange(rows.mapInArrow(_count(p, count, hot, part), _ROWS), _sum(p, hot), _ROWS), "ngram-counts", ("kind",)) for part in range(p.parts)]
+    parts = [materialize(exchange(rows.mapInArrow(_count(p, count, hot, part, keep), _ROWS), _sum(p, hot, keep), _ROWS), "ngram-counts", ("kind",)) for part in range(p.parts)]
     table = reduce(DataFrame.unionByName, parts).select(*_NAMES)
-    for r in table.select("x").collect():  # a few numbers a bucket
+    for r in table.where(F.col("kind") != OWN).select("x").collect():  # a few numbers a bucket
         own = np.frombuffer(bytes(r.x), np.int64).reshape(p.order + 1, -1)
         for m in range(2, p.order + 1):
             few[m] += own[m]
@@ -494,7 +564,7 @@ def train(docs: DataFrame, p: Params = Params()) -> Model:
     asks = grams.select("bucket", "words", "at").mapInArrow(_ask(p.order, count, hot), _ROWS)
     told = materialize(exchange(asks.unionByName(words), _answer(hot), _ROWS), "lower-counts")
     backs = materialize(exchange(grams.unionByName(told), _weigh(p.order, d, denominator, size, hot), _ROWS), "backoff-weights", replaces=told)
-    return Model(p.order, count, words, grams.unionByName(backs), d, denominator, unknown, hot, size, back, word, both)
+    return Model(p.order, count, words, grams.unionByName(backs), d, denominator, unknown, hot, size, back, word, both), table.where(F.col("kind") == OWN)
 
 
 def _occurrences(c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -538,7 +608,7 @@ def _lookups(p: Params, count: int, hot: HotWords, order: int, part: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, at, doc, ids in blocks(batches, p.block, order):
             c = words[at]
-            h, home = _homes(c, hot, count)
+            h, home = _homes(words, at, hot, count)
             own, rows, packer = np.flatnonzero(home * p.parts // count == part), [], Packer(words)
             for k, some in _by_bucket(home[own]):
                 some = own[some]
@@ -658,6 +728,26 @@ def _scored(rows: DataFrame, m: Model, p: Params) -> DataFrame:
         none.append(got.where(F.col("kind") == FALL))
     done.append(exchange(reduce(DataFrame.unionByName, none).unionByName(m.words), _back_off(m), _ROWS))
     parts = reduce(DataFrame.unionByName, done).select("ids", "x", "n").mapInArrow(_rows, "doc_id bigint, sum double, n bigint")
+    return _summed(rows, parts)
+
+
+def _summed(rows: DataFrame, parts: DataFrame) -> DataFrame:
     parts = parts.unionByName(rows.select("doc_id", F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("n")))
     s, n = F.sum("sum"), F.sum("n")
     return parts.groupBy("doc_id").agg(n.alias("words"), F.round(s, 4).alias("log10_prob"), F.when(n > 0, F.round(F.pow(F.lit(10.0), -s / n), 4)).alias("perplexity"))
+
+
+def train_and_score(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``score(docs, train(docs, p), p)``, where n-grams are sent to their homes once, with their documents.
+
+    Every n-gram of the highest order was seen then, so its probability needs its count, the total of its context and the
+    discounts, which are known when all is counted.
+    """
+    if p.order == 2 or p.k > 62:  # bigrams of hot words have no home; counts are bits of a number
+        return score(docs, train(docs, p), p)
+
+    def run(rows: DataFrame) -> DataFrame:
+        model, own = _trained(rows, buckets(docs, 4 << 20), p, keep=True)
+        return _summed(rows, own.mapInArrow(_own_sums(p.k, model.d[p.order]), "doc_id bigint, sum double, n bigint"))
+
+    return numbered(docs.select("doc_id", "text").dropna(), run, "doc_id")

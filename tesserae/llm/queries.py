@@ -31,9 +31,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    p = katz.Params(order=3, parts=4)
-    return katz.score(docs, katz.train(docs, p), p)
+    return katz.train_and_score(_table(spark, sf_dir, "documents"), katz.Params(order=3, parts=4))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

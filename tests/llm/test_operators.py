@@ -241,6 +241,28 @@ def test_katz_does_not_depend_on_hot_words_parts_and_ids(spark, odd, order):
     assert scored == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 12_000, 7: 0, 90: 4}
 
 
+@pytest.mark.parametrize("order, share, parts", [(2, 0.02, 1), (3, 0.02, 3), (4, 1.0, 1)])
+def test_katz_scores_what_it_counts(spark, odd, order, share, parts):
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randrange(90))) for _ in range(70)]
+    twice = ["x y x y z"] * 9  # contexts without a count that is discounted
+    p = katz.Params(order=order, share=share, parts=parts, block=700)
+    seen = lambda df: {r.doc_id: (r.words, r.log10_prob, r.perplexity) for r in df.collect()}
+    for docs in (frame(spark, texts + twice, [i // 2 for i in range(79)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), frame(spark, twice), odd):
+        got, want = seen(katz.train_and_score(docs, p)), seen(katz.score(docs, katz.train(docs, p), p))
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-4) for i in want)
+    assert katz.train_and_score(odd.limit(0), p).count() == 0
+
+
+def test_katz_query_sends_ngrams_once(spark, tmp_path, monkeypatch):
+    """What the query costs: as many passes over the documents as parts, and one for words."""
+    from tesserae.llm import queries
+
+    frame(spark, ["a b c a b d", "b c a"]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(katz, "_lookups", lambda *_: pytest.fail("documents are sent again to be scored"))
+    assert {r.doc_id: r.words for r in queries.op4_katz(spark, str(tmp_path)).collect()} == {0: 6, 1: 3}
+
+
 def test_quality(spark, odd):
     rng = random.Random(4)
     texts = [prose(rng, 30) if i % 2 else " ".join(w + "!!" for w in prose(rng, 30).split()) for i in range(200)]
