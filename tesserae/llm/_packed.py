@@ -42,6 +42,28 @@ def unascending(raw: bytes, dtype=np.uint64) -> np.ndarray:
     return np.cumsum(unplanes(raw, dtype), dtype=dtype)
 
 
+def planes_by(x: np.ndarray, start: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
+    """``planes`` of each part ``x[start[g] : start[g + 1]]``, cut to ``sizes[g]`` bytes an element, without a loop over parts."""
+    n = np.diff(start)
+    sizes = np.full(len(n), x.itemsize) if sizes is None else sizes
+    stop = np.append(0, np.cumsum(sizes * n))
+    raw, out = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize), np.empty(stop[-1], np.uint8)
+    at, step = np.arange(len(x)) + np.repeat(stop[:-1] - start[:-1], n), np.repeat(n, n)
+    every, each = sizes.min(initial=x.itemsize), np.repeat(sizes, n)
+    for p in range(sizes.max(initial=0)):
+        some = slice(None) if p < every else each > p
+        out[at[some]] = raw[some, p]
+        at += step
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(out)])
+
+
+def ascending_by(x: np.ndarray, start: np.ndarray) -> pa.Array:
+    """``ascending`` of each part, none of which is empty."""
+    d = np.diff(x, prepend=x.dtype.type(0))
+    d[start[:-1]] = x[start[:-1]]
+    return planes_by(d, start)
+
+
 def bounds(keys: np.ndarray, count: int) -> np.ndarray:
     """Where each of ``count`` buckets (a power of two, by the top bits) begins and ends in the sorted ``keys``."""
     shift = 64 - (count.bit_length() - 1)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import materialize
 from ._ids import numbered
-from ._packed import ascending, bounds, buckets, exchange, planes, unascending, unplanes
+from ._packed import ascending, ascending_by, bounds, buckets, exchange, planes, planes_by, unascending, unplanes
 from ._text import Tokens, pair, released, slices
 
 U64 = np.uint64
@@ -156,21 +156,12 @@ class Packer:
     def __init__(self, words: np.ndarray):
         self.words, self.seen, self.rank = words, np.zeros(len(words), bool), np.empty(len(words), np.int32)
 
-    def number(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words that occur, and the number of each element among them."""
+    def pack(self, rows: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
+        """The words that occur, the number of each element among them, column by column, and the order in which rows are packed."""
         self.seen[rows.ravel()] = True
         own = np.flatnonzero(self.seen)
         self.seen[own], self.rank[own] = False, np.arange(len(own), dtype=np.int32)
-        return own, self.rank[rows]
-
-    def as_is(self, rows: np.ndarray) -> tuple[bytes, bytes]:
-        """Words and numbers, column by column, of rows in the order that they have."""
-        own, at = self.number(rows)
-        return ascending(self.words[own]), _numbers(at, len(own))
-
-    def pack(self, rows: np.ndarray) -> tuple[bytes, bytes, np.ndarray]:
-        """The words that occur, the number of each element among them, column by column, and the order in which rows are packed."""
-        own, at = self.number(rows)
+        at = self.rank[rows]
         order = np.argsort(ranked(at, len(own)))
         return ascending(self.words[own]), _numbers(at[order], len(own)), order
 
@@ -211,6 +202,41 @@ def _batch(rows: list[tuple], names: list[str] = _NAMES) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], pa.int32() if x in ("kind", "bucket") else pa.binary()) for k, x in enumerate(names)], names)
 
 
+def _columns(kind: int, bucket: np.ndarray, **values: pa.Array) -> pa.RecordBatch:
+    """A row of each bucket, from whole columns."""
+    none = pa.array([b""] * len(bucket), pa.binary())
+    return pa.record_batch([pa.array(np.full(len(bucket), kind, np.int32)), pa.array(bucket.astype(np.int32)), *[values.get(x, none) for x in _NAMES[2:]]], _NAMES)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where one of some columns changes, and the end."""
+    n = len(keys[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for x in keys:
+        new |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(np.append(True, new)) if n else 0, n)
+
+
+def _spread(words: np.ndarray, rows: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+    """The order by bucket, where each bucket begins in it, and its words and the numbers of its rows, for all buckets at once.
+
+    What this takes does not depend on how many buckets a block falls into, which grows with the corpus.
+    """
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max() < 1 << 16 else bucket, kind="stable")
+    start, columns = _heads(bucket[order]), rows.shape[1]
+    n = np.diff(start)
+    of = np.repeat(np.arange(len(n)), n)
+    own, _, at, _ = distinct((of[:, None] * len(words) + rows[order]).ravel())
+    cut = np.searchsorted(own, np.arange(len(n) + 1) * len(words))
+    at = at.reshape(-1, columns) - cut[of][:, None]
+    numbers = np.empty(at.size, np.uint32)
+    place = np.arange(len(of)) + ((columns - 1) * start[:-1])[of]
+    for k in range(columns):
+        numbers[place + k * n[of]] = at[:, k]
+    sizes = np.where(np.diff(cut) <= 1 << 16, 2, 4)
+    return order, start, {"words": ascending_by(words[own % len(words)], cut), "at": planes_by(numbers, columns * start, sizes)}
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places) of each bucket."""
     order = np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
@@ -225,8 +251,9 @@ def _count_words(p: Params, count: int):
         for words, c, _, _ in blocks(batches, p.block, 1):
             n = np.bincount(c[:, 0], minlength=len(words))
             words, n = words[n > 0], n[n > 0]
-            cut = bounds(words, count)
-            yield _batch([_row(WORD, k, words=ascending(words[cut[k] : cut[k + 1]]), n=planes(n[cut[k] : cut[k + 1]].astype(np.uint32))) for k in np.flatnonzero(np.diff(cut))])
+            if len(words):
+                start = _heads(bucket := _in(words, count))
+                yield _columns(WORD, bucket[start[:-1]], words=ascending_by(words, start), n=planes_by(n.astype(np.uint32), start))
 
     return released(run)
 
@@ -267,32 +294,26 @@ def _count(p: Params, count: int, hot: HotWords, part: int, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, rows, doc, ids in blocks(batches, p.block, p.order):
             h, home = _homes(words, rows, hot, count)
-            own, packer, out = np.flatnonzero(home * p.parts // count == part), Packer(words), []
-            for k, some in _by_bucket(home[own]):
-                some = own[some]
-                own_words, at = packer.as_is(rows[some])
-                out.append(_row(GRAM, k + GRAM * _KIND, words=own_words, at=at, **(_runs(doc[some], ids) if keep else {})))
-            if out:
-                yield _batch(out)
+            own = np.flatnonzero(home * p.parts // count == part)
+            if len(own):
+                order, start, packed = _spread(words, rows[own], home[own])
+                own = own[order]
+                if keep:
+                    head = _heads(home[own], doc[own])
+                    cut = np.searchsorted(head, start)
+                    packed |= {"ids": planes_by(ids[doc[own[head[:-1]]]], cut), "many": planes_by(np.diff(head).astype(np.uint32), cut)}
+                yield _columns(GRAM, home[own[start[:-1]]] + GRAM * _KIND, **packed)
             some = h > 0
             if part == 0 and some.any():
-                rows, out = rows[some][:, :2], []
-                key, _, _, n = distinct(rows[:, 1].astype(np.int64) << 32 | rows[:, 0])
-                rows = np.stack([key & 0xFFFFFFFF, key >> 32], axis=1).astype(np.int32)
-                for k, own in _by_bucket(_in(words, count)[rows[:, 0]]):
-                    own_words, at, order = packer.pack(rows[own])
-                    out.append(_row(HOT, k + HOT * _KIND, words=own_words, at=at, n=planes(n[own][order].astype(np.uint32))))
-                yield _batch(out)
+                key, _, _, n = distinct(rows[some, 1].astype(np.int64) << 32 | rows[some, 0])
+                rows = np.stack([key & 0xFFFFFFFF, key >> 32], axis=1)
+                bucket = _in(words, count)[rows[:, 0]]
+                order, start, packed = _spread(words, rows, bucket)
+                yield _columns(HOT, bucket[order[start[:-1]]] + HOT * _KIND, n=planes_by(n[order].astype(np.uint32), start), **packed)
 
     return released(run)
 
 
-def _runs(doc: np.ndarray, ids: np.ndarray) -> dict[str, bytes]:
-    """The ids of ascending places of documents, and how often each stands there."""
-    head = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    return {"ids": planes(ids[doc[head]]), "many": planes(np.diff(np.append(head, len(doc))).astype(np.uint32))}
-
-
 def _sum(p: Params, hot: HotWords, keep: bool):
     """Total counts of a bucket, with the counts of counts of each order, and what the documents of its n-grams keep of them."""
 
@@ -447,9 +468,9 @@ def _ask(order: int, count: int, hot: HotWords):
         for b in batches:
             for home, words, at in zip(*[b.column(k).to_pylist() for k in range(3)]):
                 w, h, _ = _asks(*_unpack(words, at, order), hot)
-                cut = bounds(w, count)
-                own = [(int(k), slice(cut[k], cut[k + 1])) for k in np.flatnonzero(np.diff(cut))]
-                yield _batch([_row(LOOK, k, words=ascending(w[s]), at=planes(h[s].astype(np.uint32)), x=int(home).to_bytes(4, "little")) for k, s in own])
+                start = _heads(bucket := _in(w, count))
+                x = pa.array([int(home).to_bytes(4, "little")] * (len(start) - 1), pa.binary())
+                yield _columns(LOOK, bucket[start[:-1]], words=ascending_by(w, start), at=planes_by(h.astype(np.uint32), start), x=x)
 
     return released(run)
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import sys
 import time
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.llm import chunks, katz, maxscore, mixing, near, pieces, quality, repeats, secrets, toxicity
+from tesserae.llm._packed import ascending, ascending_by, planes, planes_by
 from tesserae.llm._text import Tokens, buffers
 from tesserae.llm.components import components
 
@@ -254,6 +256,40 @@ def test_katz_scores_what_it_counts(spark, odd, order, share, parts):
     assert katz.train_and_score(odd.limit(0), p).count() == 0
 
 
+def test_planes_of_parts():
+    x, start = np.sort(np.random.default_rng(0).integers(0, 1 << 60, 50).astype(np.uint64)), np.array([0, 1, 20, 50])
+    parts = [x[a:b] for a, b in zip(start, start[1:])]
+    assert planes_by(x, start).to_pylist() == [planes(y) for y in parts] and ascending_by(x, start).to_pylist() == [ascending(y) for y in parts]
+    x = np.arange(50, dtype=np.uint32)
+    assert planes_by(x, start, np.array([2, 4, 2])).to_pylist() == [planes(x[a:b].astype(kind)) for a, b, kind in zip(start, start[1:], (np.uint16, np.uint32, np.uint16))]
+
+
+def test_katz_work_of_a_block_does_not_grow_with_buckets():
+    rng = random.Random(8)
+    batch = pa.record_batch([pa.array(range(40)), pa.array([prose(rng, 100) for _ in range(40)])], ["doc_id", "text"])
+    p, hot = katz.Params(order=3), katz.HotWords(np.append(Tokens(*buffers(pa.array(["w1 w2"]))).hash, katz.BEGIN))
+    asked = pa.record_batch([pa.array([3]), *[pa.array([x]) for x in katz.Packer(np.arange(1 << 10, dtype=np.uint64) << np.uint64(54)).pack(np.arange(1023)[:, None] + np.arange(2))[:2]]], ["bucket", "words", "at"])
+
+    def calls(run, batch):
+        n, most = 0, []
+
+        def count(*_):
+            nonlocal n
+            n += 1
+
+        sys.setprofile(count)
+        try:
+            most = [b.num_rows for b in run(iter([batch]))]
+        finally:
+            sys.setprofile(None)
+        return n, max(most)
+
+    for run, given in ((lambda c: katz._count_words(p, c), batch), (lambda c: katz._count(p, c, hot, 0, True), batch), (lambda c: katz._ask(2, c, hot), asked)):
+        list(run(16)(iter([given])))  # what is computed once
+        (few, _), (many, rows) = calls(run(16), given), calls(run(1 << 12), given)
+        assert rows > 200 and many < few + 100
+
+
 def test_katz_query_sends_ngrams_once(spark, tmp_path, monkeypatch):
     """What the query costs: as many passes over the documents as parts, and one for words."""
     from tesserae.llm import queries
