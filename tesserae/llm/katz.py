@@ -518,19 +518,22 @@ def _weigh(order: int, d: dict[int, np.ndarray], denominator: float, total: np.n
         told = sorted((r for r in rows if r["kind"] == LOOK), key=lambda r: int.from_bytes(r["x"], "little"))
         told = np.concatenate([unplanes(r["n"], np.uint64) for r in told]).astype(float)  # in the order of what was asked
         words, at = _unpack(own["words"], own["at"], order)
-        cold, levels = _levels(words, at, own["n"], order, d, hot)
-        _, h, at = _asks(words, at, hot)
+        n = unplanes(own["n"], np.uint64).astype(float)
+        rows.clear()
+        del own
+        cold = hot.of(words)[at[:, 1]] == 0
+        _, h, asked = _asks(words, at, hot)
         # the probability of each n-gram's word one order below, from the lowest that the bucket has
-        low = np.where(h > 0, discounted(told, d[2]) / total[h], discounted(told, d[1]) / denominator)[at]
+        low = np.where(h > 0, discounted(told, d[2]) / total[h], discounted(told, d[1]) / denominator)[asked]
+        del told, h, asked
         out = []
-        for m, level in levels.items():
-            here = low[cold] if m == 2 else low
-            rest = np.maximum(1 - np.bincount(level.of, weights=here[level.first]), 1e-12)
+        for m in range(2, order + 1):  # one level in memory at a time
+            some = cold if m == 2 else slice(None)
+            level = Level(words[at[some, :m]], n[some], m, d[m])
+            rest = np.maximum(1 - np.bincount(level.of, weights=low[some][level.first]), 1e-12)
             out.append(np.log10((1 - level.kept / level.total) / rest))
-            if m == 2:
-                low[cold] = level.p[level.at]
-            else:
-                low = level.p[level.at]
+            low[some] = level.p[level.at]
+            del level, rest
         yield _batch([_row(BACK, bucket, x=np.concatenate(out).tobytes())])
 
     return reduce
