@@ -20,6 +20,7 @@ from ..functions.limits import PQ_CENTROIDS, PQ_ITERATIONS
 from ..sources.scratch import new_path
 
 SHORT = 1e-4  # two vectors of at least this length have a cosine similarity that is not put to 0
+TILE = (512, 1024)  # queries and vectors whose scores are held at once
 
 
 def kmeans(x: np.ndarray, k: int, iterations: int = PQ_ITERATIONS, seed: int = 42) -> np.ndarray:
@@ -100,47 +101,103 @@ class Ivf:
         score = (1 - distance(self.metric, vector(query), F.col("embedding"))).alias("score")
         return self.probe(query, k, nprobe, ef_search).select("seq", score).orderBy(F.desc("score"), F.desc("seq")).limit(k)
 
-    def batch(self, queries: DataFrame, k: int, nprobe: int, block: int = 2000) -> DataFrame:
+    def batch(self, queries: DataFrame, k: int, nprobe: int, block: int | None = None) -> DataFrame:
         """(query_id, seq, score) of the k best of each row of ``queries`` (query_id, query) in its ``nprobe`` nearest lists.
 
-        Queries go out in blocks of ``block``; a batch of vectors of one list meets those that probe it.
+        Queries go out in blocks; a batch of vectors of one list meets those that probe it.
         """
-        spark = queries.sparkSession
-        asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query").cast("array<float>").alias("query")).dropna()
-        parts, out = -(-asked.count() // block) or 1, None
-        for part in range(parts):
-            own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-            mask = np.zeros((len(own), len(self.centres)), bool)
-            for i, r in enumerate(own):
-                mask[i, self.lists(r.query, k, nprobe)] = True
-            shared = spark.sparkContext.broadcast((np.array([r.query_id for r in own], np.int64), np.array([r.query for r in own], float), mask))
-            found = self.rows.mapInArrow(_probe(shared, self.metric, k), "query_id bigint, seq bigint, score double")
+        spark, out = queries.sparkSession, None
+        for ids, q in blocks(queries, k, block):
+            mask = np.zeros((len(ids), len(self.centres)), bool)
+            for i, one in enumerate(q):
+                mask[i, self.lists(one, k, nprobe)] = True
+            found = self.rows.mapInArrow(_probe(spark.sparkContext.broadcast((ids, q, mask)), self.metric, k), "query_id bigint, seq bigint, score double")
             out = found if out is None else out.unionByName(found)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("seq"))
         return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")
 
 
+def blocks(queries: DataFrame, k: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query_id, query) in blocks of ``block`` rows, or as many as have two million results, one block at least.
+
+    The driver holds one partition and one block at a time.
+    """
+    block = block or max(1, min(20_000, 2_000_000 // max(k, 1)))
+    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query").cast("array<float>").alias("query")).dropna()
+    ids, q, none = [], [], True
+    for r in asked.toLocalIterator():
+        ids.append(r[0])
+        q.append(np.array(r[1], np.float32))
+        if len(ids) == block:
+            yield np.array(ids, np.int64), np.stack(q)
+            ids, q, none = [], [], False
+    if ids or none:
+        yield np.array(ids, np.int64), np.stack(q) if q else np.zeros((0, 0), np.float32)
+
+
 def _probe(shared, metric: Metric, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, mask = shared.value
+        top = Top(metric, q, k)
         for b in batches:
-            if not b.num_rows or not len(ids):
+            if not b.num_rows or not len(ids) or k <= 0:
                 continue
             seq, lists = b.column("seq").to_numpy(), b.column("list").to_numpy()
-            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(seq), -1)
+            v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(len(seq), -1)
             for one in np.unique(lists):
                 at, who = np.flatnonzero(lists == one), np.flatnonzero(mask[:, one])
-                if not len(who):
-                    continue
-                s = scores(metric, q[who], v[at])
-                row, column = best(s, k)
-                own, value = seq[at][column], s[row, column]
-                keep = first(row, own, value, k)
-                yield pa.record_batch([pa.array(ids[who][row[keep]]), pa.array(own[keep]), pa.array(value[keep])], ["query_id", "seq", "score"])
+                if len(who):
+                    top.offer(seq[at], v[at], who)
+            top.trim()
+        if len(top.row):
+            yield pa.record_batch([pa.array(ids[top.row]), pa.array(top.seq), pa.array(top.score)], ["query_id", "seq", "score"])
 
     return run
 
 
+class Top:
+    """The k best vectors so far of each row of ``q``.
+
+    Scores are made tile by tile, so that what is held grows neither with the vectors nor with the product of batch and
+    queries; a score below the k-th of its query is dropped as soon as it is made.
+    """
+
+    def __init__(self, metric: Metric, q: np.ndarray, k: int):
+        self.metric, self.q, self.k = metric, q, k
+        self.row, self.seq, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.floor = np.full(len(q), -np.inf)
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def offer(self, seq: np.ndarray, v: np.ndarray, who: np.ndarray | None = None) -> None:
+        """Vectors that the queries ``who``, or all, are compared with."""
+        who = np.arange(len(self.q)) if who is None else who
+        for j in range(0, len(seq), TILE[1]):
+            some = v[j : j + TILE[1]].astype(float)
+            for i in range(0, len(who), TILE[0]):
+                own = who[i : i + TILE[0]]
+                s = scores(self.metric, self.q[own].astype(float), some)
+                floor = self.floor[own]
+                r, c = best(s, self.k) if np.isneginf(floor).any() else np.nonzero(s >= floor[:, None])
+                if len(r):
+                    self.new.append((own[r], seq[j + c], s[r, c]))
+                    self.waiting += len(r)
+            if self.waiting > max(1 << 18, len(self.row)):
+                self.trim()
+
+    def trim(self) -> None:
+        """Leave k a query, and raise the floors."""
+        if not self.new:
+            return
+        row, seq, score = (np.concatenate(x) for x in zip((self.row, self.seq, self.score), *self.new))
+        keep = first(row, seq, score, self.k)
+        self.row, self.seq, self.score, self.new, self.waiting = row[keep], seq[keep], score[keep], [], 0
+        full = np.flatnonzero(np.bincount(self.row, minlength=len(self.q)) == self.k)
+        least = np.full(len(self.q), np.inf)
+        np.minimum.at(least, self.row, self.score)
+        self.floor[full] = least[full]
+
+
 def best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best of each row of ``s``, ties at the k-th place too; only these need to be sorted."""
     n = s.shape[1]

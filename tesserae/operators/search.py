@@ -13,8 +13,9 @@ from ..functions.distance import Metric, distance, vector
 from ..functions.filters import compile_filter
 from ..functions.limits import DEFAULT_ALPHA, DEFAULT_FUSION, DEFAULT_K
 from ..functions.quantize import codes, compact_distance
+from ..sources.scratch import materialize
 from . import bm25
-from .ann import best, first, scores
+from .ann import Top, blocks
 from .fusion import fuse
 
 
@@ -40,40 +41,31 @@ def vector_search(docs: DataFrame, query, k: int = DEFAULT_K, metric: Metric | s
     return _at_least(ranked, min_similarity)
 
 
-def batch_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: Metric | str = Metric.COSINE, block: int = 2000) -> DataFrame:
+def batch_search(docs: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: Metric | str = Metric.COSINE, block: int | None = None) -> DataFrame:
     """(query_id, seq, score) of the ``k`` nearest documents of each row of ``queries`` (query_id, query).
 
-    Each task multiplies batches of vectors by blocks of queries and keeps k rows a query; the survivors are merged by a
-    window. ``queries`` are broadcast in blocks of ``block`` rows, so that what is broadcast does not grow with them.
+    Each task compares its vectors with a block of queries, tile by tile, and keeps k rows a query; the survivors are merged by
+    a window. ``queries`` are broadcast in blocks, so that what a task holds does not grow with them, and the vectors are written
+    once, as each block meets all of them.
     """
     metric, spark = Metric.of(metric), docs.sparkSession
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), F.col("query").cast("array<float>").alias("query")).dropna()
-    parts = -(-asked.count() // block) or 1
 
     def searcher(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            row, own, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            top = Top(metric, q, k)
             for b in batches:
-                if not b.num_rows or not len(ids) or k <= 0:
-                    continue
-                seq = b.column(0).to_numpy()
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(seq), -1)
-                s = scores(metric, q, v)
-                r, c = best(s, k)
-                row, own, value = np.append(row, r), np.append(own, seq[c]), np.append(value, s[r, c])
-                keep = first(row, own, value, k)
-                row, own, value = row[keep], own[keep], value[keep]
-            if len(row):
-                yield pa.record_batch([pa.array(ids[row]), pa.array(own), pa.array(value)], ["query_id", "seq", "score"])
+                if b.num_rows and len(ids) and k > 0:
+                    top.offer(b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            top.trim()
+            if len(top.row):
+                yield pa.record_batch([pa.array(ids[top.row]), pa.array(top.seq), pa.array(top.score)], ["query_id", "seq", "score"])
 
         return run
 
-    out = None
-    for part in range(parts):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).collect()
-        shared = spark.sparkContext.broadcast((np.array([r.query_id for r in rows], np.int64), np.array([r.query for r in rows], float)))
-        found = docs.where("embedding is not null").select("seq", "embedding").mapInArrow(searcher(shared), "query_id bigint, seq bigint, score double")
+    vectors, out = materialize(docs.where("embedding is not null").select("seq", "embedding"), "vectors"), None
+    for one in blocks(queries, k, block):
+        found = vectors.mapInArrow(searcher(spark.sparkContext.broadcast(one)), "query_id bigint, seq bigint, score double")
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("seq"))
     return out.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).drop("nth")

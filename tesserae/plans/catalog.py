@@ -15,7 +15,7 @@ from ..functions.quantize import codes, restored, symmetric_distance
 from ..functions.schema import metadata
 from ..operators import ann, bm25, evaluate, search
 from ..functions.text import STOP_WORDS
-from ..sources.scratch import new_path
+from ..sources.scratch import materialize, new_path
 from ..sources.store import VectorDB, deletion_ratio, integrity, memory_estimate, partial_update, replay, upsert
 from ..streaming import replica
 from . import access, observe
@@ -285,9 +285,9 @@ def _queries(s, d) -> DataFrame:
 
 
 def _recall(s, d):
-    c = collection(s, d)
+    c = materialize(collection(s, d).where("embedding is not null").select("seq", "embedding"), "vectors")
     index, q = ann.build_ivf(c), _queries(s, d)
-    true = search.batch_search(c, q, 10)
+    true = materialize(search.batch_search(c, q, 10), "neighbours")  # compared six times
     return s.createDataFrame([(n, ann.recall(index.batch(q, 10, n), true)) for n in (1, 2, 4, 8, 12, 16)], "nprobe int, recall double")
 
 
