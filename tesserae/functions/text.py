@@ -15,7 +15,12 @@ STOP_WORDS = sorted(
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
+def runs(text: Column) -> Column:
+    """All runs of letters and digits in order, and an empty one at an end without any."""
+    return F.split(F.lower(text), _SPLIT)
+
+
 def tokens(text: Column) -> Column:
     """The kept tokens of a text in order, repeats included."""
     # a list of literals this long becomes a hash set
-    return F.filter(F.split(F.lower(text), _SPLIT), lambda t: (F.octet_length(t) > 1) & ~t.isin(*STOP_WORDS))
+    return F.filter(runs(text), lambda t: (F.octet_length(t) > 1) & ~t.isin(*STOP_WORDS))
