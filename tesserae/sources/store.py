@@ -51,12 +51,25 @@ def deletion_ratio(docs: DataFrame) -> DataFrame:
 
 
 def memory_estimate(docs: DataFrame, raw: bool = False) -> DataFrame:
-    """(bytes) that an in-memory index of the documents would need, without a graph."""
+    """(bytes) that an in-memory index of the documents would need, without a graph.
+
+    Terms are counted with the sizes in one pass, in which no text is shuffled by term; only where numbers repeat or are missing
+    are the texts of those counted by number.
+    """
     none = F.lit(0)
-    dim, words = F.when(F.col("embedding").isNull(), none).otherwise(F.size("embedding")), bm25.postings(docs).groupBy("term").agg(F.count("*").alias("df"))
+    dim = F.when(F.col("embedding").isNull(), none).otherwise(F.size("embedding"))
     each = dim * (5 if raw else 1) + 8 + 2 + 4 + F.coalesce(F.octet_length("text"), none) + 16 + F.size("metadata") * 64 + 64 + 24 + 16
-    terms = words.agg(F.sum(F.octet_length("term") + 24 + F.col("df") * 8 + 24).alias("t"))
-    return docs.agg(F.sum(each).alias("d")).crossJoin(terms).select((F.coalesce("d", F.lit(0)) + F.coalesce("t", F.lit(0))).cast("bigint").alias("bytes"))
+    rows = docs.select("seq", "text", F.coalesce(each, none).alias("size"))
+    again = docs.where("text is not null").groupBy("seq").agg(F.count("*").alias("n")).where("n > 1 or seq is null").select(F.col("seq").alias("of"))
+    if not again.limit(1).count():
+        terms = bm25.tally(rows)
+    else:
+        marked = rows.join(again.withColumn("again", F.lit(True)), F.col("seq").eqNullSafe(F.col("of")), "left")
+        words = bm25.postings(marked.where("again")).groupBy("term").agg(F.count("*").alias("df"), F.lit(0).cast("bigint").alias("size"))
+        terms = bm25.tally(marked.withColumn("text", F.when(F.col("again").isNull(), F.col("text")))).unionByName(words)
+    terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+    total = F.sum(F.when(F.col("term").isNull(), F.col("size")).otherwise(F.octet_length("term") + 24 + F.col("df") * 8 + 24))
+    return terms.agg(F.coalesce(total, none).cast("bigint").alias("bytes"))
 
 
 def integrity(docs: DataFrame, dimension: int) -> DataFrame:
