@@ -23,7 +23,7 @@ from ..functions.distance import Metric
 from ..functions.filters import compile_filter
 from ..functions.schema import DOCUMENT, finite, tagged, untagged
 from ..operators import ann, bm25, search
-from .scratch import new_path
+from .scratch import new_path, tidy_shuffles
 
 LOG = "seq bigint, op string, id string, text string, embedding array<float>, metadata map<string,struct<b:boolean,i:bigint,f:double,s:string>>"
 
@@ -343,13 +343,17 @@ class VectorDB:
         data = [(state["next"] + i, *r) for i, r in enumerate(rows)]
         self._publish(name, state, self.spark.createDataFrame(data, LOG).coalesce(1), state["next"] + len(rows))
 
-    def _publish(self, name: str, state: dict, rows: DataFrame, end: int | None = None) -> None:
-        """Write log rows aside, commit the numbers that they take, then move them into the log."""
+    def _publish(self, name: str, state: dict, rows: DataFrame, end: int | None = None, check=None) -> None:
+        """Write log rows aside, commit the numbers that they take unless ``check`` of them raises, then move them into the log."""
         aside = f"{self.dir}/{name}/aside-{uuid.uuid4().hex}"
-        rows.write.parquet(aside)
-        if end is None:
-            end = (self.spark.read.schema(LOG).parquet(aside).agg(F.max("seq")).first()[0] or state["next"] - 1) + 1
         try:
+            with tidy_shuffles(self.spark):
+                rows.write.parquet(aside)
+            written = self.spark.read.schema(LOG).parquet(aside)
+            if check is not None:
+                check(written)
+            if end is None:
+                end = (written.agg(F.max("seq")).first()[0] or state["next"] - 1) + 1
             fs, p = self._fs(f"{self.dir}/{name}/log")
             fs.mkdirs(p)
             self._commit(name, state, next=end)
@@ -412,13 +416,19 @@ class VectorDB:
             F.col("id").isNotNull() & (F.octet_length("text") <= limits.MAX_TEXT_BYTES) & (F.size("embedding") == state["config"]["dimension"]) & finite(F.col("embedding"))
             & (F.coalesce(F.size("metadata"), F.lit(0)) <= limits.MAX_METADATA_KEYS) & (meta <= limits.MAX_METADATA_BYTES)
         )
-        if docs.where(~F.coalesce(good, F.lit(False))).limit(1).count():
-            raise BadRequest("a row has no id, text or embedding, a wrong dimension, a value that is not finite, or is too large")
-        if self.max_memory_bytes is not None:
-            self._reserve(docs.agg(F.sum(F.size("embedding") * 4 + F.octet_length("text") + 256)).first()[0] or 0)
+        size = F.size("embedding") * 4 + F.octet_length("text") + 256
+
+        def check(written: DataFrame) -> None:
+            bad, most = written.agg(F.count_if(~F.coalesce(good, F.lit(False))), F.sum(size)).first()
+            if bad:
+                raise BadRequest("a row has no id, text or embedding, a wrong dimension, a value that is not finite, or is too large")
+            if self.max_memory_bytes is not None:
+                self._reserve(most or 0)
+
         # sorted partitions follow each other, and so do their numbers, with gaps
         ordered = docs.orderBy("id").select((F.monotonically_increasing_id() + state["next"]).alias("seq"), F.lit("insert").alias("op"), "id", "text", "embedding", "metadata")
-        self._publish(collection, state, ordered)
+        # rows are checked as they lie aside, so that docs are computed once
+        self._publish(collection, state, ordered, check=check)
 
     def get(self, collection: str, id: str) -> dict:
         row = self.documents(collection, str(uuid.UUID(id))).first()
